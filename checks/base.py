@@ -40,6 +40,11 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def cents(col: str):
+    """Whole numbers, so that sums do not depend on the order of the rows."""
+    return F.round(F.col(col) * 100)
+
+
 # Roles, as DataFrames -------------------------------------------------------------------------
 
 def dimension(spark, d) -> DataFrame:
@@ -59,7 +64,7 @@ def placed_orders(spark, d) -> DataFrame:
 def cases(spark, d) -> DataFrame:
     """Cases by province and day: the grain at which all series operators work."""
     return placed_orders(spark, d).groupBy("fecha", "prov", "region").agg(
-        F.count("*").alias("num_casos"), F.sum("o_totalprice").alias("importe"))
+        F.count("*").alias("num_casos"), F.sum(cents("o_totalprice")).alias("importe"))
 
 
 def outcomes(spark, d) -> DataFrame:
@@ -71,13 +76,13 @@ def outcomes(spark, d) -> DataFrame:
 def national(spark, d) -> DataFrame:
     """One row per day that has orders."""
     return (table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("fecha"))
-            .agg(F.count("*").alias("casos"), F.sum("o_totalprice").alias("importe")))
+            .agg(F.count("*").alias("casos"), F.sum(cents("o_totalprice")).alias("importe")))
 
 
 def flows(spark, d) -> DataFrame:
     """Trips: shipped lines from the nation of the supplier to the nation of the customer."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("fecha"),
-                                              F.col("l_quantity").cast("double").alias("viajes"), F.col("l_extendedprice").alias("viajes_km"))
+                                              F.col("l_quantity").cast("double").alias("viajes"), cents("l_extendedprice").alias("viajes_km"))
     order = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dest"))
     supplier = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("origin"))
@@ -98,13 +103,13 @@ def interest(spark, d) -> DataFrame:
 DIM = "dim AS (SELECT n_nationkey, n_name AS prov, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)"
 PLACED = ("placed AS (SELECT *, CAST(o_orderdate AS DATE) AS fecha FROM orders JOIN customer ON o_custkey = c_custkey "
           "JOIN dim ON c_nationkey = n_nationkey)")
-CASES = "cases AS (SELECT fecha, prov, region, count(*) AS num_casos, sum(o_totalprice) AS importe FROM placed GROUP BY ALL)"
+CASES = "cases AS (SELECT fecha, prov, region, count(*) AS num_casos, sum(round(o_totalprice * 100)) AS importe FROM placed GROUP BY ALL)"
 OUTCOMES = ("outcomes AS (SELECT fecha, prov, region, " + ", ".join(
     f"CAST(sum(CASE WHEN o_orderstatus = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
     for s, n in (("F", "num_hosp"), ("O", "num_uci"), ("P", "num_def"))) + " FROM placed GROUP BY ALL)")
-NATIONAL = "national AS (SELECT CAST(o_orderdate AS DATE) AS fecha, count(*) AS casos, sum(o_totalprice) AS importe FROM orders GROUP BY ALL)"
+NATIONAL = "national AS (SELECT CAST(o_orderdate AS DATE) AS fecha, count(*) AS casos, sum(round(o_totalprice * 100)) AS importe FROM orders GROUP BY ALL)"
 FLOWS = ("flows AS (SELECT CAST(l_shipdate AS DATE) AS fecha, s_nationkey AS origin, c_nationkey AS dest, CAST(l_quantity AS DOUBLE) AS viajes, "
-         "l_extendedprice AS viajes_km FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
+         "round(l_extendedprice * 100) AS viajes_km FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
          "JOIN supplier ON l_suppkey = s_suppkey)")
 INTEREST = ("interest AS (SELECT CAST(ts AS DATE) AS fecha, r_name AS region, event_type AS variable, sum(value) AS value "
             "FROM events JOIN region ON user_id % 5 = r_regionkey GROUP BY ALL)")
@@ -117,7 +122,7 @@ def dense_sql(name: str, source: str, keys: list[str], cols: list[str], fill: st
     part = f"PARTITION BY {', '.join(keys)} " if keys else ""
     on = " AND ".join([f"s.{k} IS NOT DISTINCT FROM g.{k}" for k in keys] + ["s.fecha = g.fecha"])
     out = [f"{name}_days AS (SELECT {head}CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS fecha FROM "
-           f"(SELECT {head}{lo or 'min(fecha)'} AS a, {hi or 'max(fecha)'} AS b FROM {source} {'GROUP BY ALL' if keys else ''}))",
+           f"(SELECT DISTINCT {head}{lo or 'min(fecha)'} AS a, {hi or 'max(fecha)'} AS b FROM {source} {'GROUP BY ALL' if keys else ''}))",
            f"{name}_raw AS (SELECT {''.join(f'g.{k}, ' for k in keys)}g.fecha, {', '.join(f's.{c}' for c in cols)} "
            f"FROM {name}_days g LEFT JOIN {source} s ON {on})"]
     if fill == "zero":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from panelspark.functions.tails import chi2_pvalue, normal_cdf
-from panelspark.operators.gram import Gram, fit, packed_gram
+from panelspark.operators.gram import Gram, fit, packed_gram, spread
 from panelspark.operators.series import series_window
 
 
@@ -49,7 +49,7 @@ def pacf(acf_df: DataFrame, keys: list[str]) -> DataFrame:
 
     vector = F.transform(F.sort_array(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"])
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["lag int, pacf double"])
-    return acf_df.groupBy(*keys).agg(vector.alias("_r")).mapInPandas(recurse, schema)
+    return spread(acf_df.groupBy(*keys).agg(vector.alias("_r")), keys).mapInPandas(recurse, schema)
 
 
 def portmanteau(acf_df: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,48 +107,53 @@ def adf(df: DataFrame, keys: list[str], date: str, col: str, maxlag: int | None
     """Augmented Dickey-Fuller test with constant: statistic, p-value, lags, n, critical values.
 
     With ``autolag`` the lag count has the least AIC on the common sample of all candidates, and the
-    test is fitted again on the full sample of that count. Both steps read one Gram per series.
+    test is fitted again on the full sample of that count. Rows that belong to every sample are
+    summed once; the few first rows, which only shorter lags may use, are kept and added as needed.
     Without ``maxlag`` each series has its own bound from its length; the longest sets the width.
     """
-    sizes = df.where(_q(col).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    width = maxlag if maxlag is not None else default_maxlag(sizes.agg(F.max("_n")).first()[0] or 0)
+    width = maxlag
+    if width is None:
+        sizes = df.where(_q(col).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+        width = default_maxlag(sizes.agg(F.max("n")).first()[0] or 0)
     design = _adf_design(df, keys, date, col, width)
-    kinds = dict(design.dtypes)
-    head = [f"`{k}` {kinds[k]}" for k in keys]
-    lag_cols = [f"_d{k}" for k in range(1, width + 1)]
-    bound = F.lit(maxlag) if maxlag is not None else F.greatest(F.least(
-        F.ceil(12.0 * F.pow(F.col("_n") / 100.0, F.lit(0.25))), F.floor(F.col("_n") / 2) - 2), F.lit(0)).cast("int")
-    bounds = sizes.select(*keys, bound.alias("_lag"))
-
-    def sample(chosen: DataFrame) -> DataFrame:
-        # Lags beyond the chosen count are not used, so an empty one may read 0.
-        joined = design.join(chosen, keys) if keys else design.select("*", chosen.scalar().alias("_lag"))
-        rows = joined.where(F.col("_i") > F.col("_lag"))
-        return packed_gram(rows.select(*keys, "_lag", "_level", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in lag_cols], "_dy"),
-                           ["_level", *lag_cols, "_dy"], [*keys, "_lag"])
-
-    y = width + 1
-    if autolag:
-        def choose(batches):
-            for batch in batches:
-                for row in batch.to_dict("records"):
-                    g, top = Gram.unpack(row["n"], row["mean"], row["cp"]), int(row["_lag"])
-                    scores = []
-                    for p in range(top + 1):
-                        ssr = max(fit(g, range(p + 1), y).ssr, 1e-300)
-                        scores.append(g.n * (math.log(2 * math.pi * ssr / g.n) + 1.0) + 2.0 * (p + 2))
-                    yield pd.DataFrame({**{k: [row[k]] for k in keys}, "_lag": [int(np.argmin(scores))]})
-
-        bounds = sample(bounds).mapInPandas(choose, ", ".join([*head, "_lag int"]))
-
-    def finish(batches):
+    cols = ["_level", *[f"_d{k}" for k in range(1, width + 1)], "_dy"]
+    main = packed_gram(design.where(F.col("_i") > width), cols, keys)
+    # A lag that does not exist yet reads 0: no sample that uses it holds that row.
+    values = F.array(*[F.coalesce(c, F.lit(0.0)) for c in cols])
+    heads = (design.where(F.col("_i") <= width + 1).groupBy(*keys)
+             .agg(F.sort_array(F.collect_list(F.struct("_i", values.alias("x")))).alias("_heads")))
+    joined = heads.join(main, keys, "left") if keys else heads.join(main, how="left")
+    kinds, y = dict(design.dtypes), width + 1
+
+    def test(row: dict) -> dict:
+        early = {h["_i"]: np.asarray(h["x"], float) for h in row["_heads"] if h["_i"] <= width}
+        late = Gram.unpack(row["n"], row["mean"], row["cp"]) if row["cp"] is not None else None
+
+        def sample(p: int) -> Gram | None:
+            extra = [x for i, x in early.items() if i > p]
+            if not extra:
+                return late
+            return Gram.of(np.array(extra)) + late if late else Gram.of(np.array(extra))
+
+        n_rows = len(early) + (late.n if late else 0)
+        lags = min(maxlag if maxlag is not None else default_maxlag(n_rows + 1), width)
+        if autolag:
+            common, scores = sample(lags), []
+            for p in range(lags + 1):
+                ssr = max(fit(common, range(p + 1), y).ssr, 1e-300) if common else math.nan
+                scores.append(common.n * (math.log(2 * math.pi * ssr / common.n) + 1.0) + 2.0 * (p + 2) if common else math.inf)
+            lags = int(np.argmin(scores))
+        g = sample(lags)
+        f = fit(g, range(lags + 1), y) if g else None
+        tau = float(f.coef[1] / f.se[1]) if f and f.se[1] > 0 else math.nan
+        n = g.n if g else 0
+        return {**{k: row[k] for k in keys}, "statistic": tau, "p_value": df_pvalue(tau), "lags": lags, "n": n,
+                **{f"critical_{a[:-1]}": df_critical(a, n) if n else math.nan for a in DF_CRITICAL}}
+
+    def run(batches):
         for batch in batches:
-            for row in batch.to_dict("records"):
-                g, p = Gram.unpack(row["n"], row["mean"], row["cp"]), int(row["_lag"])
-                f = fit(g, range(p + 1), y)
-                tau = float(f.coef[1] / f.se[1]) if f.se[1] > 0 else math.nan
-                yield pd.DataFrame({**{k: [row[k]] for k in keys}, "statistic": [tau], "p_value": [df_pvalue(tau)],
-                                    "lags": [p], "n": [g.n], **{f"critical_{a[:-1]}": [df_critical(a, g.n)] for a in DF_CRITICAL}})
-
-    return sample(bounds).mapInPandas(finish, ", ".join(
-        [*head, "statistic double, p_value double, lags int, n bigint, critical_1 double, critical_5 double, critical_10 double"]))
+            yield pd.DataFrame([test(row) for row in batch.to_dict("records")])
+
+    return spread(joined, keys).mapInPandas(run, ", ".join(
+        [f"`{k}` {kinds[k]}" for k in keys]
+        + ["statistic double, p_value double, lags int, n bigint, critical_1 double, critical_5 double, critical_10 double"]))

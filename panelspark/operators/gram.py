@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.tails import t_pvalue, t_two_sided
-from panelspark.operators.scalars import with_scalars
 
 NATIVE_LIMIT = 13  # columns; 91 pair aggregates still compile to one aggregate operator
 COLUMN_LIMIT = 1500  # a packed row of this width is 9 MB
@@ -28,52 +29,58 @@ def _names(df_by) -> list[str]:
 def packed_gram(df: DataFrame, cols: list[str], by=None, method: str = "auto") -> DataFrame:
     """Rows ``(by..., n, mean, cp)`` over the rows where all ``cols`` are present.
 
-    ``native`` uses Spark's own mergeable covariance aggregates in one pass. ``arrow`` is for wide
-    designs: a first pass gives the means, then each task adds up its centred ``Z'Z`` with numpy and
-    the partial cells are summed by a grouped aggregate.
+    Both ways read the rows once. ``native`` uses Spark's own mergeable covariance aggregates.
+    ``arrow`` is for wide designs: each task forms the matrix of its rows with numpy, and only these
+    matrices are shuffled and merged.
     """
     by, m = _names(by), len(cols)
     if m > COLUMN_LIMIT:
         raise ValueError(f"{m} columns give a matrix too large for one row; the limit is {COLUMN_LIMIT}")
-    rows = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]).dropna()
+    # The row travels as one array: a NULL test over many columns that are later renamed would make
+    # the optimizer derive a constraint for every combination of old and new names.
+    rows = (df.select(*by, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_x"))
+            .where(F.forall("_x", lambda v: v.isNotNull())))
     if method == "native" or (method == "auto" and m <= NATIVE_LIMIT):
+        x = [F.col("_x")[i] for i in range(m)]
         pairs = [(i, j) for i in range(m) for j in range(i, m)]
-        made = rows.groupBy(*by).agg(
-            F.count("*").alias("n"), *[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(m)],
-            *[F.covar_pop(f"_x{i}", f"_x{j}").alias(f"_c{k}") for k, (i, j) in enumerate(pairs)])
-        return made.select(*by, "n", F.array(*[f"_m{i}" for i in range(m)]).alias("mean"),
-                           F.array(*[F.col(f"_c{k}") * F.col("n") for k in range(len(pairs))]).alias("cp"))
-    means = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.avg(f"_x{i}") for i in range(m)]).alias("mean"))
-    beside = rows.join(means, by) if by else with_scalars(rows, means).select("*", "_s.mean")
-    centred = beside.select(*by, *[(F.col(f"_x{i}") - F.col("mean")[i]).alias(f"_x{i}") for i in range(m)])
+        made = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.avg(v) for v in x]).alias("mean"),
+                                     F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).alias("_c"))
+        return made.select(*by, "n", "mean", F.transform("_c", lambda c: c * F.col("n")).alias("cp"))
     kinds = dict(rows.dtypes)
-    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["_cell int", "_v double"])
-    cells = (centred.mapInPandas(_partial_products(by, m), schema).groupBy(*by, "_cell").agg(F.sum("_v").alias("_v"))
-             .groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_cell", "_v"))), lambda x: x["_v"]).alias("cp")))
-    if by:
-        return means.join(cells, by).select(*by, "n", "mean", "cp")
-    return with_scalars(cells, means).select("_s.n", "_s.mean", "cp")
+    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["_salt int, n bigint, mean array<double>, cp array<double>"])
+    partial = rows.mapInArrow(_partial_grams(by, m), schema)
+    final = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["n bigint, mean array<double>, cp array<double>"])
+    # Partial sums of many tasks are merged in two levels, so that no group is read by one task at once.
+    return (partial.groupBy(*by, "_salt").applyInPandas(_merge_grams([*by, "_salt"]), schema)
+            .drop("_salt").groupBy(*by).applyInPandas(_merge_grams(by), final))
 
 
-def _partial_products(by: list[str], m: int):
-    """Upper triangle of ``Z'Z`` per task, and per group; groups are let go when many are held."""
-    upper = np.triu_indices(m)
+SALTS = 64
 
+
+def _partial_grams(by: list[str], m: int):
+    """One packed Gram per task, and per group; groups are let go when many are held."""
     def emit(held: dict):
-        for key, total in held.items():
-            out = pd.DataFrame({"_cell": np.arange(len(upper[0]), dtype="int32"), "_v": total[upper]})
-            for name, value in zip(by, key):
-                out.insert(0, name, value)
-            yield out[[*by, "_cell", "_v"]]
+        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % SALTS
+        if held:
+            grams = [g for _, g in held.values()]
+            yield pa.RecordBatch.from_pydict({
+                **{b: pa.concat_arrays([pa.array([k[i].as_py()], k[i].type) for k, _ in held.values()]) for i, b in enumerate(by)},
+                "_salt": np.full(len(grams), salt, dtype="int32"), "n": np.array([g.n for g in grams], dtype="int64"),
+                "mean": pa.array([g.mean for g in grams], pa.list_(pa.float64())),
+                "cp": pa.array([g.packed_cp() for g in grams], pa.list_(pa.float64()))})
 
     def run(batches):
-        held: dict[tuple, np.ndarray] = {}
+        held: dict = {}
         for batch in batches:
-            groups = batch.groupby(by, sort=False) if by else [((), batch)]
-            for key, part in groups:
-                z = part[[f"_x{i}" for i in range(m)]].to_numpy()
-                key = key if isinstance(key, tuple) else (key,)
-                held[key] = held.get(key, 0.0) + z.T @ z
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            places = batch.select(by).to_pandas().groupby(by, sort=False).indices if by else {None: slice(None)}
+            for name, at in places.items():
+                g = Gram.of(x[at])
+                if name in held:
+                    held[name] = (held[name][0], held[name][1] + g)
+                elif g.n:
+                    held[name] = ([batch.column(b)[int(at[0])] for b in by], g)
             if len(held) * m * m > 4_000_000:
                 yield from emit(held)
                 held = {}
@@ -82,6 +89,23 @@ def _partial_products(by: list[str], m: int):
     return run
 
 
+def _merge_grams(keys: list[str]):
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for row in rows.itertuples():
+            g = Gram.unpack(row.n, row.mean, row.cp)
+            total = g if total is None else total + g
+        return pd.DataFrame({**{k: rows[k].iloc[:1] for k in keys}, "n": [total.n], "mean": [total.mean], "cp": [total.packed_cp()]})
+
+    return merge
+
+
+def spread(packed: DataFrame, by: list[str]) -> DataFrame:
+    """Deal the groups out to all cores. The rows are few and small, so that left to itself the
+    adaptive planner would solve them all in one task."""
+    return packed.repartition(packed.sparkSession.sparkContext.defaultParallelism, *by) if by else packed
+
+
 def gram(df: DataFrame, cols: list[str], by=None, method: str = "auto") -> DataFrame:
     """Cross-products of the standardised columns as rows ``(by..., i, j, s)``, population scale.
 
@@ -112,6 +136,15 @@ class Gram:
         full[np.triu_indices(len(mean))] = np.asarray(cp, float)
         return cls(int(n), mean, full + np.triu(full, 1).T)
 
+    @classmethod
+    def of(cls, x: np.ndarray) -> "Gram":
+        mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+        z = x - mean
+        return cls(len(x), mean, z.T @ z)
+
+    def packed_cp(self) -> np.ndarray:
+        return self.cp[np.triu_indices(len(self.mean))]
+
     def __add__(self, other: "Gram") -> "Gram":
         n = self.n + other.n
         gap = other.mean - self.mean
@@ -126,7 +159,6 @@ class Fit:
     constant: bool
     coef: np.ndarray
     se: np.ndarray
-    p: np.ndarray
     df_resid: float
     ssr: float
     r2: float
@@ -134,6 +166,11 @@ class Fit:
     inverse: np.ndarray
     scale: np.ndarray
 
+    @property
+    def p(self) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return t_two_sided(self.coef / self.se, self.df_resid)
+
 
 def fit(g: Gram, xs: list[int], y: int, constant: bool = True) -> Fit:
     """Fit ``y`` on the standardised columns ``xs``; collinear columns share their effect (pseudo-inverse)."""
@@ -153,11 +190,9 @@ def fit(g: Gram, xs: list[int], y: int, constant: bool = True) -> Fit:
     sigma2 = ssr / df_resid if df_resid > 0 else np.nan
     coef = np.concatenate([[g.mean[y]] if constant else [], beta])
     se = np.sqrt(sigma2 * np.concatenate([[1.0 / g.n] if constant else [], np.maximum(np.diag(inverse), 0.0)]))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = t_two_sided(coef / se, df_resid)
     r2 = 1.0 - ssr / total if total > 0 else np.nan
     r2_adj = 1.0 - (g.n - int(constant)) / df_resid * (1.0 - r2) if df_resid > 0 else np.nan
-    return Fit(xs, constant, coef, se, p, df_resid, ssr, r2, r2_adj, inverse, scale)
+    return Fit(xs, constant, coef, se, df_resid, ssr, r2, r2_adj, inverse, scale)
 
 
 def raw_coefficients(g: Gram, f: Fit) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +224,7 @@ def ols(df: DataFrame, y: str, xs: list[str], by=None, method: str = "auto") ->
 
     schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["feature string, coefficient double, std_error double, t double, "
                                                           "p_value double, n bigint, r2 double, r2_adj double"])
-    return packed.mapInPandas(solve, schema)
+    return spread(packed, by).mapInPandas(solve, schema)
 
 
 def load_gram(packed: DataFrame, key: str | None = None) -> dict:

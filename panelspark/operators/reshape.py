@@ -31,7 +31,7 @@ def pivot_agg(df: DataFrame, index: list[str], columns: str | list[str], members
 
 def pivot_unique(df: DataFrame, index: list[str], column: str, members: list, value: str) -> DataFrame:
     """Pivot without aggregation: a second row for one cell stops the query with an error."""
-    only = F.when(F.count("*") > 1, F.raise_error(F.lit(f"duplicate entries for {index} and {column}"))).otherwise(F.first(value))
+    only = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"duplicate entries for {index} and {column}"))).otherwise(F.first(value))
     return df.groupBy(*index).pivot(column, members).agg(only)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelspark.operators.gram import Fit, Gram, fit, load_gram, packed_gram, raw_coefficients
+from panelspark.operators.gram import Fit, Gram, fit, load_gram, packed_gram, raw_coefficients, spread
 from panelspark.operators.scalars import with_scalars
 from panelspark.operators.series import series_window
 
@@ -115,8 +115,9 @@ def search_subsets(df: DataFrame, y: str, groups: dict[str, list[str]], split: s
         model = backward(train, xs, y_at, limit, rounds) if eliminate else fit(train, xs, y_at)
         if model is None:
             return {**out, "status": "no term left"}
+        p_values = model.p
         features = (["const"] if model.constant else []) + [cols[i] for i in model.order]
-        terms = [{"feature": a, "coefficient": float(b), "p_value": float(p)} for a, b, p in zip(features, model.coef, model.p)]
+        terms = [{"feature": a, "coefficient": float(b), "p_value": float(p)} for a, b, p in zip(features, model.coef, p_values)]
         score = r2_on(test, train, model, y_at)
         return {**out, "columns": features, "n_features": len(features), "r2_adj_train": float(model.r2_adj), "r2_test": score,
                 "status": "ok" if np.isfinite(score) and np.isfinite(model.r2_adj) else "degenerate", "terms": terms}
@@ -188,7 +189,7 @@ def walk_forward(df: DataFrame, keys: list[str], date: str, col: str, p: int, d:
 
     joined = sums.join(tests, keys) if keys else with_scalars(sums, tests, "_t").select("_parts", "_t._tests")
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{date}` {kinds[date]}", "y double, yhat double"])
-    return joined.mapInPandas(predict, schema)
+    return spread(joined, keys).mapInPandas(predict, schema)
 
 
 def ar_design(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int) -> DataFrame:
@@ -201,5 +202,7 @@ def ar_design(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: in
     one, two = F.lag(y, 1).over(w), F.lag(y, 2).over(w)
     base = {0: F.lit(0.0), 1: one, 2: 2 * one - two}[d]
     steps = df.where(F.col(f"`{col}`").isNotNull()).select(*keys, date, y.alias("_y"), base.alias("_base"), (y - base).alias("_w"))
-    lags = steps.select("*", *[F.lag("_w", k).over(w).alias(f"_l{k}") for k in range(1, p + 1)])
-    return lags.dropna(subset=["_w", *[f"_l{k}" for k in range(1, p + 1)]])
+    place = F.row_number().over(w)
+    lags = steps.select("*", *[F.lag("_w", k).over(w).alias(f"_l{k}") for k in range(1, p + 1)], place.alias("_i"))
+    # The first d + p rows lack a difference or a lag; the position says so with one plain test.
+    return lags.where(F.col("_i") > p + d).drop("_i")

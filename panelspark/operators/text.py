@@ -43,12 +43,15 @@ def near(col: str | Column, n: int, *words: str) -> Column:
     numbered = F.transform(tokens(col), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     found = F.filter(numbered, lambda x: F.array_contains(wanted, x["t"]))
 
+    def holds(window: Column, x: Column, word: str) -> Column:
+        return F.exists(window, lambda y: (y["t"] == word.lower()) & (y["i"] - x["i"] <= n))
+
     def starts_span(hits: Column) -> Column:
         def reaches_all(x: Column, place: Column) -> Column:
             window = F.slice(hits, place + 1, F.lit(n + 1))
             inside = F.lit(True)
-            for w in words:
-                inside = inside & F.exists(window, lambda y, w=w: (y["t"] == w.lower()) & (y["i"] - x["i"] <= n))
+            for word in words:
+                inside = inside & holds(window, x, word)
             return inside
 
         return F.exists(F.transform(hits, reaches_all), lambda ok: ok)
