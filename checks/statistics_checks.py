@@ -62,12 +62,13 @@ def ols_multi(spark, d):
     return G.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_linestatus")
 
 
-@check("press_simple", with_(NATIONAL, "f AS (SELECT regr_slope(importe, casos) AS b, regr_intercept(importe, casos) AS a, regr_sxx(importe, casos) AS sxx, regr_syy(importe, casos) AS syy, "
-                             "count(*) AS n, avg(casos) AS mx FROM national)", "e AS (SELECT (importe - a - b * casos) AS res, 1.0 / n + (casos - mx) * (casos - mx) / sxx AS h, syy, n FROM national, f)")
-       + f"SELECT n, {r('sum(pow(res / (1 - h), 2)) / 1e6', 3)} AS press, {r('sum(res * res) / 1e6', 3)} AS rss, {r('1 - sum(pow(res / (1 - h), 2)) / syy')} AS r2_predicted FROM e GROUP BY n, syy")
+@check("press_simple", with_(NATIONAL, "d AS (SELECT casos, importe / 1e8 AS importe FROM national)",
+                             "f AS (SELECT regr_slope(importe, casos) AS b, regr_intercept(importe, casos) AS a, regr_sxx(importe, casos) AS sxx, regr_syy(importe, casos) AS syy, "
+                             "count(*) AS n, avg(casos) AS mx FROM d)", "e AS (SELECT (importe - a - b * casos) AS res, 1.0 / n + (casos - mx) * (casos - mx) / sxx AS h, syy, n FROM d, f)")
+       + f"SELECT n, {r('sum(pow(res / (1 - h), 2))', 4)} AS press, {r('sum(res * res)', 4)} AS rss, {r('1 - sum(pow(res / (1 - h), 2)) / syy')} AS r2_predicted FROM e GROUP BY n, syy")
 def press_simple(spark, d):
-    out = G.press(national(spark, d), "importe", ["casos"])
-    return out.select("n", F.round(F.col("press") / 1e6, 3).alias("press"), F.round(F.col("rss") / 1e6, 3).alias("rss"), F.round("r2_predicted", 6).alias("r2_predicted"))
+    out = G.press(national(spark, d).select("casos", (F.col("importe") / 1e8).alias("importe")), "importe", ["casos"])
+    return out.select("n", F.round("press", 4).alias("press"), F.round("rss", 4).alias("rss"), F.round("r2_predicted", 6).alias("r2_predicted"))
 
 
 SPLIT = "CASE WHEN ((epoch(fecha::TIMESTAMP)::BIGINT // 86400 + 42) * 48271 % 2147483647 * 69621) % 2147483647 % 10000 < 3000 THEN 'test' ELSE 'train' END"

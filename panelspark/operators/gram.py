@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.tails import t_pvalue, t_two_sided
 
-NATIVE_LIMIT = 13  # columns; 91 pair aggregates still compile to one aggregate operator
+NATIVE_LIMIT = 5  # columns; beyond 15 pair aggregates the matrix product is the faster way
 COLUMN_LIMIT = 1500  # a packed row of this width is 9 MB
 
 
@@ -47,31 +47,38 @@ def packed_gram(df: DataFrame, cols: list[str], by=None, method: str = "auto") -
                                      F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).alias("_c"))
         return made.select(*by, "n", "mean", F.transform("_c", lambda c: c * F.col("n")).alias("cp"))
     kinds = dict(rows.dtypes)
-    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["_salt int, n bigint, mean array<double>, cp array<double>"])
-    partial = rows.mapInArrow(_partial_grams(by, m), schema)
     final = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["n bigint, mean array<double>, cp array<double>"])
-    # Partial sums of many tasks are merged in two levels, so that no group is read by one task at once.
-    return (partial.groupBy(*by, "_salt").applyInPandas(_merge_grams([*by, "_salt"]), schema)
-            .drop("_salt").groupBy(*by).applyInPandas(_merge_grams(by), final))
+    partial = rows.mapInArrow(_partial_grams(by, m), final + ", _salt int")
+    # Two levels, so that the matrices of a group found in every task do not all go to one task.
+    salted = [*by, "_salt"]
+    few = (partial.repartition(*salted).sortWithinPartitions(*salted).mapInArrow(_merge_grams(salted, m), final + ", _salt int")
+           .drop("_salt"))
+    together = few.repartition(*by).sortWithinPartitions(*by) if by else few.repartition(1)
+    return together.mapInArrow(_merge_grams(by, m), final)
 
 
 SALTS = 64
 
 
+def _to_batch(keys: list[str], found: list[tuple[list, "Gram"]], **more) -> pa.RecordBatch:
+    """``found`` pairs Arrow key values with Grams."""
+    grams = [g for _, g in found]
+    return pa.RecordBatch.from_pydict({
+        **{k: pa.array([values[i].as_py() for values, _ in found], found[0][0][i].type) for i, k in enumerate(keys) if k != "_salt"},
+        "n": pa.array([g.n for g in grams], pa.int64()), "mean": pa.array([g.mean for g in grams], pa.list_(pa.float64())),
+        "cp": pa.array([g.packed_cp() for g in grams], pa.list_(pa.float64())),
+        **({"_salt": pa.array([values[keys.index("_salt")].as_py() for values, _ in found], pa.int32())} if "_salt" in keys else {}), **more})
+
+
 def _partial_grams(by: list[str], m: int):
     """One packed Gram per task, and per group; groups are let go when many are held."""
-    def emit(held: dict):
-        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % SALTS
-        if held:
-            grams = [g for _, g in held.values()]
-            yield pa.RecordBatch.from_pydict({
-                **{b: pa.concat_arrays([pa.array([k[i].as_py()], k[i].type) for k, _ in held.values()]) for i, b in enumerate(by)},
-                "_salt": np.full(len(grams), salt, dtype="int32"), "n": np.array([g.n for g in grams], dtype="int64"),
-                "mean": pa.array([g.mean for g in grams], pa.list_(pa.float64())),
-                "cp": pa.array([g.packed_cp() for g in grams], pa.list_(pa.float64()))})
-
     def run(batches):
+        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % SALTS
         held: dict = {}
+
+        def emit():
+            return _to_batch(by, list(held.values()), _salt=pa.array([salt] * len(held), pa.int32()))
+
         for batch in batches:
             x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
             places = batch.select(by).to_pandas().groupby(by, sort=False).indices if by else {None: slice(None)}
@@ -82,22 +89,40 @@ def _partial_grams(by: list[str], m: int):
                 elif g.n:
                     held[name] = ([batch.column(b)[int(at[0])] for b in by], g)
             if len(held) * m * m > 4_000_000:
-                yield from emit(held)
-                held = {}
-        yield from emit(held)
+                yield emit()
+                held.clear()
+        if held:
+            yield emit()
 
     return run
 
 
-def _merge_grams(keys: list[str]):
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for row in rows.itertuples():
-            g = Gram.unpack(row.n, row.mean, row.cp)
-            total = g if total is None else total + g
-        return pd.DataFrame({**{k: rows[k].iloc[:1] for k in keys}, "n": [total.n], "mean": [total.mean], "cp": [total.packed_cp()]})
+def _merge_grams(keys: list[str], m: int):
+    """Merge neighbouring rows of equal keys as they stream by; only one Gram is held at a time."""
+    def run(batches):
+        current = values = total = None
+        done: list = []
+        for batch in batches:
+            means = batch.column("mean").flatten().to_numpy().reshape(-1, m)
+            cps = batch.column("cp").flatten().to_numpy().reshape(-1, m * (m + 1) // 2)
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                g = Gram.unpack(n, means[i], cps[i])
+                if names[i] == current:
+                    total = total + g
+                    continue
+                if current is not None:
+                    done.append((values, total))
+                current, values, total = names[i], [batch.column(k)[i] for k in keys], g
+            if len(done) * m * m > 4_000_000:
+                yield _to_batch(keys, done)
+                done = []
+        if current is not None:
+            done.append((values, total))
+        if done:
+            yield _to_batch(keys, done)
 
-    return merge
+    return run
 
 
 def spread(packed: DataFrame, by: list[str]) -> DataFrame:

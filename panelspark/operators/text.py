@@ -56,13 +56,18 @@ def near(col: str | Column, n: int, *words: str) -> Column:
 
         return F.exists(F.transform(hits, reaches_all), lambda ok: ok)
 
-    # The one-element array binds the hits to a name, so that they are found once per text.
-    return F.exists(F.array(found), starts_span)
+    # A text that lacks one of the words as plain characters is not split into tokens at all. The
+    # one-element array binds the hits to a name, so that they are found once per text.
+    text, possible = F.lower(as_column(col)), F.lit(True)
+    for word in words:
+        possible = possible & F.contains(text, F.lit(word.lower()))
+    return F.when(possible, F.exists(F.array(found), starts_span)).otherwise(F.lit(False))
 
 
 def repeat(col: str | Column, n: int, word: str) -> Column:
-    """True where the word occurs at least ``n`` times."""
-    return F.size(F.filter(tokens(col), lambda t: t == word.lower())) >= n
+    """True where the word occurs at least ``n`` times as a whole token; counted without splitting."""
+    alone = r"(?<![\p{L}\p{N}])\Q" + word.lower() + r"\E(?![\p{L}\p{N}])"
+    return F.regexp_count(F.lower(as_column(col)), F.lit(alone)) >= n
 
 
 def postal_map(postal: DataFrame, municipality: DataFrame, marker: str = "_AM") -> DataFrame:
