@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.session import stage
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -20,8 +22,15 @@ def check(name: str, sql: str | None = None):
     return add
 
 
+_schemas: dict[str, object] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table; its schema is read from the file once and given to later reads."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def shown(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -73,6 +82,22 @@ def outcomes(spark, d) -> DataFrame:
         *[F.sum((status == s).cast("bigint")).alias(n) for s, n in (("F", "num_hosp"), ("O", "num_uci"), ("P", "num_def"))])
 
 
+WORDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def daily_facts(spark, d) -> DataFrame:
+    """Cases, outcomes and word counts by province and day from one pass over the orders, staged.
+
+    Designs read it many times; each use prunes other columns, so Spark could not share the join.
+    """
+    when = lambda test: F.sum(test.cast("double"))
+    facts = placed_orders(spark, d).groupBy("fecha", "prov", "region").agg(
+        F.count("*").alias("num_casos"), F.sum(cents("o_totalprice")).alias("importe"),
+        *[when(F.col("o_orderstatus") == s).alias(n) for s, n in (("F", "num_hosp"), ("O", "num_uci"), ("P", "num_def"))],
+        *[when(F.col("o_orderpriority") == w).alias(w) for w in WORDS])
+    return stage(facts, "facts")
+
+
 def national(spark, d) -> DataFrame:
     """One row per day that has orders."""
     return (table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("fecha"))

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import FLOWS, NATIONAL, OUTCOMES, PANEL, cases, check, dense_sql, flows, national, outcomes, r, shown, table, with_
+from checks.base import NATIONAL, PANEL, check, daily_facts, flows, national, r, shown, table, with_
 from checks.series_checks import DAILY, DENSE, daily, panel
 from checks.statistics_checks import SPLIT
 from panelspark.operators import models as M
-from panelspark.operators.aggregate import collapse
+from panelspark.operators.aggregate import group_sum
 from panelspark.operators.gram import metrics
 from panelspark.operators.joins import assemble
 from panelspark.operators.project import calendar_features
@@ -78,9 +78,10 @@ def ar_forecast(spark, d):
 
 def wide_design(spark, d):
     """Daily design of the wide forecast: target, lagged sources, calendar; staged, as fits read it often."""
-    target = collapse(outcomes(spark, d), "sum").select("fecha", F.col("num_def").cast("double").alias("num_def"))
-    target = resample_daily(target, [], "fecha", ["num_def"], "zero")
-    casos = lag_features(daily(spark, d), [], "fecha", ["casos", "importe"], [1, 10, 15, 21])
+    facts = resample_daily(group_sum(daily_facts(spark, d), ["fecha"], ["num_def", "num_casos", "importe"]), [], "fecha",
+                           ["num_def", "num_casos", "importe"], "zero")
+    target = facts.select("fecha", "num_def")
+    casos = lag_features(facts.select("fecha", F.col("num_casos").alias("casos"), "importe"), [], "fecha", ["casos", "importe"], [1, 10, 15, 21])
     trips = flows(spark, d).groupBy("fecha").agg(F.sum("viajes").alias("viajes"))
     mitma = lag_features(resample_daily(trips, [], "fecha", ["viajes"], "linear"), [], "fecha", ["viajes"], [0, 5, 10, 21])
     joined = calendar_features(assemble(target, {"casos": casos, "mitma": mitma}, ["casos", "mitma"]), "fecha")

@@ -2,17 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import FLOWS, NATIONAL, OUTCOMES, PANEL, cases, check, dense_sql, dimension, flows, national, outcomes, r, shown, table, with_
+from checks.base import NATIONAL, PANEL, WORDS, check, daily_facts, flows, national, r, shown, table, with_
 from checks.model_checks import small_panel
-from checks.series_checks import DAILY, DENSE, daily, panel
+from checks.series_checks import DAILY, DENSE, daily
 from checks.statistics_checks import SPLIT
 from panelspark.operators import search as Q
-from panelspark.operators.aggregate import collapse
+from panelspark.operators.aggregate import collapse, group_sum
 from panelspark.operators.joins import assemble
 from panelspark.operators.models import hash_split
 from panelspark.operators.project import add_prefix
-from panelspark.operators.reshape import coef_matrix, pivot_agg
-from panelspark.operators.series import cumulative_to_daily, holiday_panel, lag_features, resample_daily
+from panelspark.operators.reshape import coef_matrix
+from panelspark.operators.series import holiday_panel, lag_features, resample_daily
 from panelspark.session import stage
 
 SOURCES = ["casos_uci", "casos", "aemet", "googletrends", "mitma", "mscbs", "holidays"]
@@ -33,23 +33,21 @@ def lagged(df, name, cols, lags, how="sum", keys=("prov",)):
 
 def search_design(spark, d):
     """Target seven days ahead and seven lagged sources, one row per day, staged once."""
-    by_prov = outcomes(spark, d)
-    target = lagged(by_prov.select("prov", "fecha", F.col("num_def").cast("double").alias("num_def")), "target", ["num_def"], [-7])
+    facts = daily_facts(spark, d)
+    at = facts.select("fecha", "prov", "num_casos", "importe", "num_hosp", "num_uci", "num_def")
+    target = lagged(at.select("fecha", "prov", "num_def"), "target", ["num_def"], [-7])
     stations = (table(spark, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("fecha"), "l_discount", "l_tax")
                 .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
                 .groupBy("fecha", F.col("s_nationkey").alias("prov")).agg(F.avg("l_discount").alias("tmed"), F.avg("l_tax").alias("prec")))
-    words = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    counts = (table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("fecha"), "o_orderpriority").agg(F.count("*").cast("double").alias("n")))
-    trends = pivot_agg(counts, ["fecha"], "o_orderpriority", words, "n")
     trips = flows(spark, d).groupBy("fecha", F.col("dest").alias("prov")).agg(F.sum("viajes").alias("viajes"), F.sum("viajes_km").alias("viajes_km"))
-    by_day = collapse(cases(spark, d), "sum").select("fecha", "num_casos")
-    rate = by_day.select("fecha", F.col("num_casos").cast("double").alias("daily"))
-    free = holiday_panel(cases(spark, d).where(F.day("fecha") == 1), dimension(spark, d), "1995-01-01", "2001-08-01")
+    rate = facts.groupBy("fecha").agg(F.sum("num_casos").cast("double").alias("daily"))
+    trends = group_sum(facts, ["fecha"], WORDS)
+    free = holiday_panel(facts.where(F.day("fecha") == 1), facts, "1995-01-01", "2001-08-01")
     sources = {
-        "casos_uci": lagged(by_prov, "casos_uci", ["num_hosp", "num_uci", "num_def"], [1, 7, 14, 21]),
-        "casos": lagged(cases(spark, d), "casos", ["num_casos", "importe"], [0, 7, 14, 21]),
+        "casos_uci": lagged(at, "casos_uci", ["num_hosp", "num_uci", "num_def"], [1, 7, 14, 21]),
+        "casos": lagged(at, "casos", ["num_casos", "importe"], [0, 7, 14, 21]),
         "aemet": lagged(stations, "aemet", ["tmed", "prec"], [10, 20, 30], "mean"),
-        "googletrends": lagged(trends, "googletrends", words, [10, 20, 30], keys=()),
+        "googletrends": lagged(trends, "googletrends", WORDS, [10, 20, 30], keys=()),
         "mitma": lagged(trips, "mitma", ["viajes", "viajes_km"], [10, 20, 30]),
         "mscbs": lagged(rate, "mscbs", ["daily"], [10, 20, 30], keys=()),
         "holidays": lagged(free, "holidays", ["holiday"], [10, 20, 30], "max"),

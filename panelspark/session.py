@@ -15,6 +15,8 @@ SETTINGS = {
     # A hot key is split even when that costs one more shuffle after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python line of every column expression costs more than building wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _local_base: dict[str, str] = {}
