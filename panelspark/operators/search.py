@@ -13,6 +13,7 @@ from panelspark.operators.scalars import with_scalars
 from panelspark.operators.series import series_window
 
 SUBSET_LIMIT = 20  # 2**20 fits; each more source doubles the work
+MATRIX_BYTES = 1 << 30  # room for the matrices of all patterns of missing sources
 
 
 def subsets(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -71,7 +72,7 @@ def _null_mask(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 
 
 def search_subsets(df: DataFrame, y: str, groups: dict[str, list[str]], split: str = "split", eliminate: bool = True,
-                   limit: float = 0.05, rounds: int = 5, sample: str = "common", numeric_partitions: int | None = None) -> DataFrame:
+                   limit: float = 0.05, rounds: int = 5, sample: str = "common", tasks: int | None = None) -> DataFrame:
     """Fit every non-empty subset of ``groups`` (name to columns) and score it on the test rows.
 
     One pass over ``df`` gives the cross-products of train and test; each subset is then solved from
@@ -90,7 +91,10 @@ def search_subsets(df: DataFrame, y: str, groups: dict[str, list[str]], split: s
     if sample == "per_subset":
         filled = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in cols]
         rows = _null_mask(rows, groups).select("_null", split, y, *filled)
-        parts = packed_gram(rows, [*cols, y], ["_null", split]).collect()
+        room = MATRIX_BYTES // (8 * (len(cols) + 1) ** 2)
+        parts = packed_gram(rows, [*cols, y], ["_null", split]).limit(room + 1).collect()
+        if len(parts) > room:
+            raise ValueError(f"more than {room} patterns of missing sources; fill the sources or use sample='common'")
         grams = {(r["_null"], r[split]): Gram.unpack(r["n"], r["mean"], r["cp"]) for r in parts}
     else:
         grams = {(0, s): g for s, g in load_gram(packed_gram(rows, [*cols, y], split), split).items()}
@@ -128,8 +132,8 @@ def search_subsets(df: DataFrame, y: str, groups: dict[str, list[str]], split: s
             yield out.where(out.notna(), None)
 
     n = 2 ** len(names) - 1
-    tasks = numeric_partitions or max(1, min(spark.sparkContext.defaultParallelism, n // 64 + 1))
-    return spark.range(1, n + 1, 1, tasks).select(F.col("id").alias("mask")).mapInPandas(solve, RESULT_SCHEMA)
+    width = tasks or max(1, min(spark.sparkContext.defaultParallelism, n // 16 + 1))
+    return spark.range(1, n + 1, 1, width).select(F.col("id").alias("mask")).mapInPandas(solve, RESULT_SCHEMA)
 
 
 def coefficients(results: DataFrame) -> DataFrame:
