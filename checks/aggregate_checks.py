@@ -21,13 +21,13 @@ def od_multi_agg(spark, d):
 
 
 @check("station_multi_agg", f"""
-SELECT s_nationkey AS nacion, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS VARCHAR)[1:10] AS mes, {stats_sql('l_discount', 6)}, {stats_sql('l_tax', 6)}
+SELECT s_nationkey AS nacion, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS VARCHAR)[1:10] AS mes, {stats_sql('l_discount', 9)}, {stats_sql('l_tax', 9)}
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
 def station_multi_agg(spark, d):
     rows = (table(spark, d, "lineitem").select("l_suppkey", "l_discount", "l_tax", F.trunc("l_shipdate", "month").alias("mes"))
             .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumnRenamed("s_nationkey", "nacion"))
     out = A.multi_agg(rows, ["nacion", "mes"], {"l_discount": list(FIVE), "l_tax": list(FIVE)})
-    return shown(out.withColumn("nacion", F.col("nacion").cast("int"))).withColumn("nacion", F.col("nacion").cast("int"))
+    return shown(out, 9).withColumn("nacion", F.col("nacion").cast("int"))
 
 
 @check("daily_totals", with_(*PANEL) + f"SELECT CAST(fecha AS VARCHAR) AS fecha, CAST(sum(num_casos) AS BIGINT) AS num_casos, {r('sum(importe)', 2)} AS importe FROM cases GROUP BY ALL")

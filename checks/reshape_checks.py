@@ -48,10 +48,9 @@ def melt(spark, d):
 
 
 @check("complete_panel", with_(*PANEL, *dense_sql("full_panel", "cases", ["prov"], ["num_casos", "importe"], "linear", "(SELECT min(fecha) FROM cases)", "(SELECT max(fecha) FROM cases)"))
-       + f"SELECT prov, CAST(fecha AS VARCHAR) AS fecha, {r('num_casos')} AS num_casos, {r('importe', 3)} AS importe FROM full_panel")
+       + f"SELECT prov, CAST(fecha AS VARCHAR) AS fecha, {r('num_casos')} AS num_casos, {r('importe')} AS importe FROM full_panel")
 def complete_panel(spark, d):
-    out = R.complete_panel(cases(spark, d), ["prov"], "fecha", ["num_casos", "importe"], "linear")
-    return shown(out.withColumn("importe", F.round("importe", 3)))
+    return shown(R.complete_panel(cases(spark, d), ["prov"], "fecha", ["num_casos", "importe"], "linear"))
 
 
 THEMES = {"click": "behavior", "view": "behavior", "signup": "policy", "error": "symptom", "purchase": "policy"}

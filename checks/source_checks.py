@@ -9,7 +9,8 @@ from panelspark.sources.files import (assign_chunk, date_chunks, dated_paths, ex
                                       read_delimited, read_json_records, save_table)
 from panelspark.streaming.ingest import ingest_daily
 
-EVENT_STATS = ", ".join(f"{r(f'{f}(value)', 4)} AS value__{n}" for f, n in (
+# Eight digits: the mean of up to 127 two-digit values never ends in a 5 there.
+EVENT_STATS = ", ".join(f"{r(f'{f}(value)', 8)} AS value__{n}" for f, n in (
     ("sum", "sum"), ("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max")))
 
 
@@ -78,7 +79,7 @@ def ingest(spark, d):
     stats = {"value": ["sum", "mean", "std", "min", "max"]}
     ingest_daily(spark, base + "/in", base + "/out", base + "/progress", "fecha date, event_type string, value double",
                  lambda rows: multi_agg(rows, ["fecha", "event_type"], stats), unit=r"^(.*)/[^/]*$")
-    return shown(load_table(spark, base + "/out"), 4)
+    return shown(load_table(spark, base + "/out"), 8)
 
 
 @check("gap_report", with_(DIM, PLACED, CASES) + """

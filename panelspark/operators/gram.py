@@ -298,5 +298,8 @@ def metrics(df: DataFrame, y: str, yhat: str, by=None) -> DataFrame:
 def ttest_1samp(df: DataFrame, col: str, mu: float = 0.0, by=None) -> DataFrame:
     v = F.col(f"`{col}`").cast("double")
     agg = df.groupBy(*_names(by)).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
-    t = F.try_divide(F.col("mean") - F.lit(float(mu)), F.col("std") / F.sqrt("n"))
+    gap, error = F.col("mean") - F.lit(float(mu)), F.col("std") / F.sqrt("n")
+    # Values without any spread are infinitely far from another mean, and undecided at the mean itself.
+    limit = F.when(gap > 0, F.lit(float("inf"))).when(gap < 0, F.lit(float("-inf")))
+    t = F.when(error > 0, F.try_divide(gap, error)).when(error == 0, limit)
     return agg.withColumn("t", t).withColumn("p_value", t_pvalue(F.col("t"), (F.col("n") - 1).cast("double")))

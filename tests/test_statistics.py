@@ -187,3 +187,12 @@ def test_ar_forecast_follows_its_coefficients(spark):
     got = M.ar_forecast(df, ["k"], "fecha", "v", 3, 1, 5).orderBy("step").collect()
     assert [r["forecast"] for r in got] == pytest.approx(want)
     assert got[0]["fecha"] == DAY0 + timedelta(days=80)
+
+
+def test_ttest_without_spread(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 4.0), ("c", 3.0)], "k string, v double")
+    got = {r["k"]: r for r in G.ttest_1samp(df, "v", 2.0, "k").collect()}
+    assert (got["a"]["t"], got["a"]["p_value"]) == (-np.inf, 0.0)
+    assert got["b"]["t"] == pytest.approx(1.0) and got["b"]["p_value"] == pytest.approx(0.5)
+    assert got["c"]["t"] is None
+    assert G.ttest_1samp(df.where("k = 'a'"), "v", 1.0).first()["t"] is None
