@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_WORDS = 200_000  # words remembered by one task; forgetting them changes no result
+CACHED_WORDS = 400_000  # texts and pieces remembered by one task; forgetting them changes no result
 LONG_WORD = 64  # longer words are encoded each time, so that the memory of a task is bounded
 ROWS_OUT = 512
 # str.split() also cuts at the separators U+001C..U+001F, which are no white space for the pattern.
@@ -99,14 +99,31 @@ class _Words(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.pieces: dict[str, tuple[bytes, str]] = {}
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
-        ids = [i for piece in self.vocabulary.pieces.findall(word) for i in self.vocabulary.merge(piece)]
-        out = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.vocabulary.strings.__getitem__, ids))
-        if len(word) <= LONG_WORD:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = out
+        pieces = self.vocabulary.pieces.findall(word)
+        if len(pieces) == 1:
+            out = self.piece(pieces[0])
+        else:
+            parts = [self.piece(p) for p in pieces]
+            out = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return self.keep(self, word, out)
+
+    def piece(self, piece: str) -> tuple[bytes, str]:
+        out = self.pieces.get(piece)
+        if out is None:
+            ids = self.vocabulary.merge(piece)
+            strings = self.vocabulary.strings
+            out = self.keep(self.pieces, piece, (struct.pack(f"<{len(ids)}I", *ids), " ".join([strings[i] for i in ids])))
+        return out
+
+    @staticmethod
+    def keep(store: dict, key: str, out: tuple[bytes, str]) -> tuple[bytes, str]:
+        if len(key) <= LONG_WORD:
+            if len(store) >= CACHED_WORDS:
+                store.clear()
+            store[key] = out
         return out
 
 
