@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, simhash
+from panelspark.llm import bpe, hostrules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), ngram=4, distance=4)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query("op5_host_rules", hostrules.SQL)
+def op5_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return hostrules.verdicts(table(spark, folder, "documents"))
