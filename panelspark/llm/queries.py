@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, hostrules, simhash
+from panelspark.llm import bpe, decontam, hostrules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_host_rules", hostrules.SQL)
 def op5_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return hostrules.verdicts(table(spark, folder, "documents"))
+
+
+@query("op8_decontamination", decontam.SQL)
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
