@@ -177,6 +177,11 @@ def _excess(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return toxic * np.log(share / usual) + (clean * np.log((1 - share) / (1 - usual)) if clean else 0.0)
 
 
+def _forms(unit: str) -> list[str]:
+    """A unit and its beginnings: evidence on a stem adds up over its endings."""
+    return [unit, *(unit[:k] + "-" for k in range(4, min(8, len(unit))))]
+
+
 def _disturbed(unit: str) -> str:
     """The unit with one letter more within it, at a place and with a letter that depend on the unit alone."""
     at = zlib.crc32(unit.encode())
@@ -197,14 +202,16 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = 200, rounds: int =
            for i, t in enumerate(texts) if i % 3 or len(texts) < 3]
     seen = {1: Counter(), 0: Counter()}
     for sentences, label in own:
-        seen[label].update({u for s in sentences for u in s})
+        seen[label].update({form for s in sentences for u in s for form in _forms(u)})
     n = {k: max(1, sum(label == k for _, label in own)) for k in (0, 1)}
     excess = {u: _excess(c, seen[0][u], n[1], n[0]) for u, c in seen[1].items()}
     sure = np.log(len(excess) + 1) + 5  # by chance, less than one unit in a hundred corpora is that frequent in toxic documents
-    marks = {u for u, v in excess.items() if v > sure} or set(sorted(excess, key=lambda u: (-excess[u], u))[:20])
+    vocabulary = {u for sentences, _ in own for s in sentences for u in s}
+    excess |= {u: max(excess.get(form, 0.0) for form in _forms(u)) for u in vocabulary if u in seen[1]}
+    marks = {u for u in vocabulary if excess.get(u, 0.0) > sure and 8 * seen[0][u] * n[1] <= seen[1][u] * n[0]} or set(sorted(vocabulary & excess.keys(), key=lambda u: (-excess[u], u))[:20])
     if not marks:
         return None
-    usual = [u for u, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0]))]
+    usual = [u for u, _ in sorted(((u, seen[0][u]) for u in vocabulary if seen[0][u]), key=lambda x: (-x[1], x[0]))]
     negative = usual[:1500] + _spread(usual[1500:], 6000)
     hard: set[str] = set()
     machine = None
@@ -215,10 +222,10 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = 200, rounds: int =
         strong, worth = strong + [_disturbed(u) for u in strong], np.concatenate([worth, worth / 2])
         machine = fit_machine(strong, worth, sorted({*negative, *hard} - marks), list(dict.fromkeys(base)))
         if r + 1 < rounds:
-            words = sorted({u for sentences, _ in own for s in sentences for u in s})
+            words = sorted(vocabulary)
             score = dict(zip(words, machine.scores(words).tolist()))
-            marks = {u for u in seen[1] if score[u] > SURE and excess[u] > 0.9 and not seen[0][u]} | {u for u in marks if score[u] > 0}
-            hard = set(sorted((u for u in seen[0] if score[u] > -0.8 and u not in marks), key=lambda u: (-score[u], u))[:6000])
+            marks = {u for u in vocabulary & seen[1].keys() if score[u] > SURE and excess[u] > 0.9 and not seen[0][u]} | {u for u in marks if score[u] > 0}
+            hard = set(sorted((u for u in vocabulary if seen[0][u] and score[u] > -0.8 and u not in marks), key=lambda u: (-score[u], u))[:6000])
     scorer, texts = Scorer(machine), [(t, 1) for t in toxic[::3]] + [(t, 0) for t in clean[::3]]
     machine.slope = _logistic(scorer.summaries([t for t, _ in texts]), np.array([label for _, label in texts], float))
     return machine
