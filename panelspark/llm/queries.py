@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, decontam, hostrules, langid, simhash, toxicity
+from panelspark.llm import bpe, chat, decontam, hostrules, langid, simhash, toxicity
 from panelspark.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_preferences", chat.SQL)
+def op9_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_arrays(chat.swap_last_reply(table(spark, folder, "conversations")))
