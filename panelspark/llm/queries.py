@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontam, hostrules, langid, simhash, toxicity
+from panelspark.llm import bpe, chat, decontam, hostrules, langid, pii, simhash, toxicity
 from panelspark.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,13 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_preferences", chat.SQL)
 def op9_preferences(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_arrays(chat.swap_last_reply(table(spark, folder, "conversations")))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
