@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontam, hostrules, langid, pii, simhash, toxicity
+from panelspark.llm import bpe, chat, decontam, hostrules, langid, linededup, pii, simhash, toxicity
 from panelspark.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.deduplicate(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "is_copy", F.sha2("kept", 256).alias("kept_sha256"))
