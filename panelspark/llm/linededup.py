@@ -130,14 +130,17 @@ def removals(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str =
     return first.join(found, "key", "left")
 
 
-def deduplicate(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``n_lines`` (not blank), ``n_removed``, ``is_copy`` (of an earlier document) and ``kept``, the text left."""
+def deduplicate(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: the id, ``n_lines`` (not blank), ``n_removed``, ``is_copy`` (of an earlier document),
+    ``kept``, the text left, and the columns ``carry`` as they are."""
     found = stage(removals(docs, rare, min_chars, id_col, text_col), "removals")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.md5(text.cast("binary")).alias("key")).join(found, "key")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.md5(text.cast("binary")).alias("key"),
+                       *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]).join(found, "key")
+    carried = [f"_c{i}" for i in range(len(carry))]
     copy = ~F.col("_id").eqNullSafe(F.col("first"))
     schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()),
-                           T.StructField("is_copy", T.BooleanType()), T.StructField("kept", T.StringType())])
+                           T.StructField("is_copy", T.BooleanType()), T.StructField("kept", T.StringType()), *[rows.schema[c] for c in carried]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +149,10 @@ def deduplicate(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: st
                 texts, removed, copies = (part.column(i).to_pylist() for i in (1, 2, 3))
                 made = [without(t, None if c else r) if c or r else (count_lines(t), 0, t) for t, r, c in zip(texts, removed, copies)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
-                                                  part.column(3), pa.array([m[2] for m in made], pa.string())], names=[f.name for f in schema])
+                                                  part.column(3), pa.array([m[2] for m in made], pa.string()), *part.columns[4:]], names=[f.name for f in schema])
 
-    return rows.select("_id", "_text", "removed", copy.alias("is_copy")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    made = rows.select("_id", "_text", "removed", copy.alias("is_copy"), *carried).mapInArrow(run, schema)
+    return made.withColumnsRenamed({"_id": id_col, **dict(zip(carried, carry))})
 
 
 BLANKS = " \t\n\x0b\f\r"
