@@ -1,13 +1,56 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Documents are rows (doc_id, text, lang, source, n_chars). Rows that share an id are one document and share
+its decisions; rows without an id share theirs. Null texts are empty texts, null hosts no hosts; other
+columns than the five are not read. Every stage decides on what the stage before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelspark.llm import bpe, decontam, hostrules, linededup, queries, simhash
 from panelspark.session import stage
 
-STAGES: list = []
-ORACLE_SQL = None
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose id is in ``kept``."""
+    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, or whose host does, go."""
+    return _only(docs, hostrules.verdicts(docs).where("kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document holds are deleted; documents of which nothing is left go."""
+    found = linededup.deduplicate(docs, carry=("lang", "source")).where("n_lines = 0 OR n_removed < n_lines")
+    return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id stays. Documents without an id stay if
+    a group has nothing else."""
+    return _only(docs, simhash.near_duplicates(docs, ngram=4, distance=4).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return _only(docs, decontam.contamination(docs, queries.table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed), their count, and the text that they decode to."""
+    return bpe.round_trip(docs, queries.tokenizer_path())
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("bpe", tokenize)]
+ORACLE_SQL = None  # alignment, fingerprints and merges have no SQL form; tests compare with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
