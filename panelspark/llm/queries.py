@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontam, hostrules, langid, linededup, pii, simhash, toxicity
+from panelspark.llm import bpe, chat, decontam, hostrules, langid, linededup, pii, simhash, suffix, toxicity
 from panelspark.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = linededup.deduplicate(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "is_copy", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_suffix")
+def op6_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, folder, "documents"), length=50)
