@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from checks.base import CASES, DIM, FLOWS, NATIONAL, PANEL, cases, check, dimension, flows, national, r, shown, table, with_
 from panelspark.operators import aggregate as A
+from panelspark.operators.project import per_100k
+from panelspark.operators.series import lag_features
 
 FIVE = ("sum", "mean", "std", "min", "max")
 SQL_STAT = {"sum": "sum", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
@@ -107,3 +109,54 @@ def kde(spark, d):
 def scalar_aggs(spark, d):
     out = A.scalar_aggs(table(spark, d, "lineitem"), "l_tax")
     return shown(out.withColumn("sum_squares", F.round("sum_squares", 4)))
+
+
+@check("merged_stats_large", with_(FLOWS) + f"""
+SELECT dest, {r('sum(viajes + 1e9)', 0)} AS viajes__sum, {r('avg(viajes) + 1e9', 4)} AS viajes__mean, {r('stddev_samp(viajes)', 4)} AS viajes__std,
+{r('min(viajes) + 1e9', 2)} AS viajes__min, {r('max(viajes) + 1e9', 2)} AS viajes__max FROM flows GROUP BY ALL""")
+def merged_stats_large(spark, d):
+    """Values near 1e9 with little spread keep their deviation through the roll-up."""
+    far = flows(spark, d).withColumn("viajes", F.col("viajes") + 1e9)
+    out = A.merge_stats(A.mergeable_stats(far, ["fecha", "origin", "dest"], ["viajes"]), ["dest"], ["viajes"])
+    digits = {"sum": 0, "mean": 4, "std": 4, "min": 2, "max": 2}
+    return out.select(F.col("dest").cast("int").alias("dest"), *[F.round(f"viajes__{s}", n).alias(f"viajes__{s}") for s, n in digits.items()])
+
+
+@check("mobility_rates", with_(FLOWS, "pop AS (SELECT c_nationkey, count(*) AS total FROM customer GROUP BY ALL)", f"f AS (SELECT fecha, dest, {', '.join(f'{SQL_STAT[s]}(viajes) AS viajes__{s}' for s in FIVE)} FROM flows GROUP BY ALL)")
+       + "SELECT CAST(fecha AS VARCHAR) AS fecha, dest, " + ", ".join(f"{r(f'viajes__{s}', 4)} AS viajes__{s}, {r(f'viajes__{s} / total * 100000', 3)} AS ratio_population__viajes__{s}" for s in FIVE)
+       + " FROM f JOIN pop ON dest = c_nationkey")
+def mobility_rates(spark, d):
+    """Flows reduced to state by day and pair, rolled up by destination, with rates: as over the rows themselves."""
+    state = A.mergeable_stats(flows(spark, d), ["fecha", "origin", "dest"], ["viajes"])
+    people = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("total"))
+    names = [f"viajes__{s}" for s in FIVE]
+    placed = A.merge_stats(state, ["fecha", "dest"], ["viajes"]).join(people, F.col("dest") == F.col("c_nationkey"))
+    return per_100k(placed, names, "total").select(
+        F.col("fecha").cast("string").alias("fecha"), F.col("dest").cast("int").alias("dest"), *[F.round(c, 4).alias(c) for c in names],
+        *[F.round(f"ratio_population__{c}", 3).alias(f"ratio_population__{c}") for c in names])
+
+
+@check("profile_special", f"""
+WITH t AS (SELECT o_totalprice AS v FROM orders), n AS (SELECT count(*) AS n FROM t)
+SELECT n AS "count", {r('quantile_cont(v, 0.25)', 3)} AS q1, {r('quantile_cont(v, 0.5)', 3)} AS median, {r('quantile_cont(v, 0.75)', 3)} AS q3
+FROM (SELECT v FROM t UNION ALL SELECT -1e308 FROM t WHERE v > 400000 UNION ALL SELECT 1e308 FROM t WHERE v < 3000), n GROUP BY n""")
+def profile_special(spark, d):
+    """Quartiles with NaN set aside and infinities at the ends."""
+    prices = table(spark, d, "orders").select(F.col("o_totalprice").alias("v"))
+    ends = [prices.where("v > 400000").select(F.lit(float("-inf")).alias("v")), prices.where("v < 3000").select(F.lit(float("inf")).alias("v")),
+            prices.where("v > 300000").select(F.lit(float("nan")).alias("v"))]
+    rows = prices
+    for more in ends:
+        rows = rows.union(more)
+    found = A.exact_quantiles(rows, ["v"], [0.25, 0.5, 0.75])
+    return prices.agg(F.count("*").alias("count"), *[F.round(F.lit(found["v", p]), 3).alias(q) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+
+
+LAGGED = [f"num_casos__lag_{k}" for k in range(1, 9)]
+
+
+@check("corr_lagged", with_(*PANEL, "l AS (SELECT " + ", ".join(f"lag(num_casos, {k}) OVER (PARTITION BY prov ORDER BY fecha) AS {c}" for k, c in enumerate(LAGGED, 1)) + " FROM cases)")
+       + "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})')} AS r FROM l" for i, a in enumerate(LAGGED) for b in LAGGED[:i]))
+def corr_lagged(spark, d):
+    """Columns with NULL holes at the start of each series: every pair has its own rows."""
+    return shown(A.corr_matrix(lag_features(cases(spark, d), ["prov"], "fecha", ["num_casos"], list(range(1, 9))), LAGGED))

@@ -65,3 +65,9 @@ THEMES_USED = {w: t for w, t in THEMES.items() if w != "signup"}
 def keywords(spark, d):
     weekly = interest(spark, d).groupBy(F.trunc("fecha", "week").alias("fecha"), "region", "variable").agg(F.sum("value").alias("value"))
     return shown(keyword_groups(weekly, THEMES_USED, ["region"]), 4)
+
+
+@check("pivot_listed", with_(INTEREST) + "SELECT CAST(fecha AS VARCHAR) AS fecha, " + ", ".join(f"{r(f'''coalesce(sum(CASE WHEN variable = '{w}' THEN value END), 0)''', 4)} AS {w}" for w in WORDS[:2]) + " FROM interest WHERE variable IN (" + ", ".join(f"'{w}'" for w in WORDS[:2]) + ") GROUP BY ALL")
+def pivot_listed(spark, d):
+    """Some members only, asked for openly; without that a member that is not listed stops the query."""
+    return shown(R.pivot_agg(interest(spark, d), ["fecha"], "variable", WORDS[:2], "value", drop_unlisted=True), 4)

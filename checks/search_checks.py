@@ -120,14 +120,14 @@ def search_single(spark, d):
 @check("backward")
 def backward(spark, d):
     df, y, groups = search_design(spark, d)
-    columns = {c: [c] for c in [*groups["casos"], *groups["holidays"]][:8]}
-    return Q.coefficients(Q.search_subsets(df, y, columns).where(F.col("length") == 8))
+    columns = {c: [c] for c in [*groups["casos"], *groups["holidays"]]}
+    return Q.coefficients(Q.search_subsets(df, y, columns).where(F.col("length") == len(columns)))
 
 
 @check("column_search")
 def column_search(spark, d):
     df, y, groups = search_design(spark, d)
-    columns = {c: [c] for c in groups["casos"] + groups["mitma"][:4]}
+    columns = {c: [c] for c in groups["casos"] + groups["mitma"]}
     return Q.search_subsets(df, y, columns, eliminate=False).drop("terms", "columns").orderBy(F.desc("r2_test"), F.asc("length"), F.asc("mask"))
 
 

@@ -147,3 +147,10 @@ def mobility_daily(spark, d):
     into = flows(spark, d).where("dest = 7").groupBy("fecha", "origin").agg(F.sum("viajes").alias("viajes"))
     m = join_dim(into, dimension(spark, d), "origin", "n_nationkey").groupBy("fecha", "region").agg(F.sum("viajes").alias("viajes"))
     return shown(complete_panel(m, ["region"], "fecha", ["viajes"], "linear"), 4)
+
+
+@check("resample_inner", with_(*PANEL, *dense_sql("wide", "cases", ["prov"], ["num_casos"], "linear"))
+       + f"SELECT prov, {DAY}, {r('num_casos')} AS num_casos FROM wide WHERE fecha BETWEEN DATE '1996-03-10' AND DATE '1997-08-20'")
+def resample_inner(spark, d):
+    """Bounds inside the data: rows beyond them still take part in the interpolation."""
+    return shown(S.resample_daily(cases(spark, d), ["prov"], "fecha", ["num_casos"], "linear", "1996-03-10", "1997-08-20"))

@@ -148,3 +148,14 @@ def adf_lag0(spark, d):
 @check("adf")
 def adf(spark, d):
     return D.adf(panel(spark, d).select("prov", "fecha", "num_casos"), ["prov"], "fecha", "num_casos")
+
+
+WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
+
+
+@check("gram_null_keys", "\nUNION ALL ".join(f"SELECT nullif(l_returnflag, 'N') AS flag, '{a}' AS i, '{b}' AS j, {r(f'count(*) * covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))', 3)} AS s "
+                                             "FROM lineitem GROUP BY ALL" for a in WIDE for b in WIDE))
+def gram_null_keys(spark, d):
+    """Six columns and a NULL group: the matrix way keeps the group, as the aggregates do."""
+    rows = table(spark, d, "lineitem").withColumn("flag", F.expr("nullif(l_returnflag, 'N')"))
+    return shown(G.gram(rows, WIDE, "flag"), 3)

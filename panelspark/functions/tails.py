@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 _TINY = 1e-300
+NORMAL_FROM = 1e6  # degrees of freedom from which the t tail is the normal tail with its first correction
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -30,8 +31,15 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > _TINY else _TINY
             total *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return total
+            return total
+    return math.nan  # no convergence
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log of gamma(a + b) / gamma(a); the difference of two large logarithms would lose its digits."""
+    if b != 0.5 or a < 100:
+        return math.lgamma(a + b) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a ** 3)
 
 
 def beta_regularized(a: float, b: float, x: float, complement: float) -> float:
@@ -40,8 +48,8 @@ def beta_regularized(a: float, b: float, x: float, complement: float) -> float:
         return 0.0
     if complement <= 0.0:
         return 1.0
-    log_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                 + a * math.log(x) + b * math.log(complement))
+    log_x = math.log1p(-complement) if complement < 0.5 else math.log(x)
+    log_front = _log_gamma_ratio(a, b) - math.lgamma(b) + a * log_x + b * math.log(complement)
     if x < (a + 1.0) / (a + b + 2.0):
         return math.exp(log_front) * _beta_fraction(a, b, x) / a
     return 1.0 - math.exp(log_front) * _beta_fraction(b, a, complement) / b
@@ -54,6 +62,9 @@ def t_two_sided(t, df):
     for i in np.ndindex(t.shape):
         if df[i] > 0 and np.isinf(t[i]):
             out[i] = 0.0
+        elif df[i] > NORMAL_FROM and np.isfinite(t[i]):
+            z = abs(t[i]) * (1 - 1 / (4 * df[i])) / math.sqrt(1 + t[i] * t[i] / (2 * df[i]))
+            out[i] = math.erfc(z / math.sqrt(2))
         elif df[i] > 0 and np.isfinite(t[i]):
             square = t[i] * t[i]
             out[i] = beta_regularized(df[i] / 2, 0.5, df[i] / (df[i] + square), square / (df[i] + square))
@@ -94,6 +105,8 @@ def chi2_upper(x, df):
                 h *= c * d
                 if abs(c * d - 1.0) < 1e-15:
                     break
+            else:
+                h = math.nan  # no convergence
             out[i] = front * h
     return out
 

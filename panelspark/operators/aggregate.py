@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelspark.functions.clean import flat_name
 from panelspark.operators.scalars import with_scalars
@@ -49,32 +52,48 @@ def two_level(df: DataFrame, inner_keys: list[str], outer_keys: list[str], col:
         flat_name(name, outer), flat_name(col, inner, outer))
 
 
+STATE = ("sum", "count", "mean", "m2", "min", "max")
+
+
 def mergeable_stats(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Sum, count, sum of squares, min and max: daily state that a later roll-up can merge exactly."""
+    """State that a later roll-up can merge without loss: sum, count, mean, squared deviations from it, min and max."""
     aggs = []
     for c in cols:
         value = F.col(f"`{c}`").cast("double")
-        aggs += [STATS["sum"](value).alias(flat_name(c, "sum")), F.count(value).alias(flat_name(c, "count")),
-                 STATS["sum"](value * value).alias(flat_name(c, "sumsq")), F.min(value).alias(flat_name(c, "min")),
-                 F.max(value).alias(flat_name(c, "max"))]
+        made = {"sum": STATS["sum"](value), "count": F.count(value), "mean": F.avg(value),
+                "m2": F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)), "min": F.min(value), "max": F.max(value)}
+        aggs += [made[s].alias(flat_name(c, s)) for s in STATE]
     return df.dropna(subset=keys).groupBy(*keys).agg(*aggs)
 
 
-def merge_stats(state: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Roll mergeable state up to ``keys`` and finish it as sum, mean, std, min and max."""
+def merge_state(state: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Roll mergeable state up to ``keys``; the result is state again.
+
+    Deviations are moved to the common mean part by part, so large values with little spread keep it."""
+    w, n = W.partitionBy(*keys), lambda c: F.col(flat_name(c, "count"))
+    centred = state.select("*", *[F.try_divide(F.sum(flat_name(c, "sum")).over(w), F.sum(n(c)).over(w)).alias(f"_g{i}") for i, c in enumerate(cols)])
     aggs = []
-    for c in cols:
-        aggs += [F.sum(flat_name(c, s)).alias(flat_name(c, s)) for s in ("sum", "count", "sumsq")]
-        aggs += [F.min(flat_name(c, "min")).alias(flat_name(c, "min")), F.max(flat_name(c, "max")).alias(flat_name(c, "max"))]
-    rolled = state.groupBy(*keys).agg(*aggs)
+    for i, c in enumerate(cols):
+        off = F.col(flat_name(c, "mean")) - F.col(f"_g{i}")
+        made = {"sum": F.sum(flat_name(c, "sum")), "count": F.sum(n(c)), "mean": F.first(f"_g{i}"),
+                "m2": F.sum(F.col(flat_name(c, "m2")) + F.coalesce(n(c) * off * off, F.lit(0.0))),
+                "min": F.min(flat_name(c, "min")), "max": F.max(flat_name(c, "max"))}
+        aggs += [made[s].alias(flat_name(c, s)) for s in STATE]
+    return centred.groupBy(*keys).agg(*aggs)
+
+
+def finish_stats(state: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """State as sum, mean, std, min and max."""
     out = [F.col(k) for k in keys]
     for c in cols:
-        total, n, squares = (F.col(flat_name(c, s)) for s in ("sum", "count", "sumsq"))
-        spread = F.greatest(squares - F.try_divide(total * total, n), F.lit(0.0))
-        out += [total.alias(flat_name(c, "sum")), F.try_divide(total, n).alias(flat_name(c, "mean")),
-                F.sqrt(F.try_divide(spread, F.nullif(n - 1, F.lit(0)))).alias(flat_name(c, "std")),
-                F.col(flat_name(c, "min")), F.col(flat_name(c, "max"))]
-    return rolled.select(*out)
+        std = F.sqrt(F.try_divide(F.col(flat_name(c, "m2")), F.nullif(F.col(flat_name(c, "count")) - 1, F.lit(0))))
+        out += [std.alias(flat_name(c, s)) if s == "std" else F.col(flat_name(c, s)) for s in ("sum", "mean", "std", "min", "max")]
+    return state.select(*out)
+
+
+def merge_stats(state: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Roll mergeable state up to ``keys`` and finish it as sum, mean, std, min and max."""
+    return finish_stats(merge_state(state, keys, cols), keys, cols)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -105,13 +124,38 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlations below the diagonal; each pair uses the rows where both are present."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    one = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"c{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)]
-    return one.select(F.inline(F.array(*rows)))
+    """Pearson correlations below the diagonal; each pair uses the rows where both are present (neither NULL nor NaN).
+
+    Each task forms the sums of all pairs with a few matrix products, on values moved to the column
+    means so that no digits are lost; only one row per pair and task is shuffled.
+    """
+    m = len(cols)
+    values = [F.when(~F.isnan(v), v) for v in (F.col(f"`{c}`").cast("double") for c in cols)]
+    centre = [x or 0.0 for x in df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()]
+    i, j = np.tril_indices(m, -1)
+
+    def sums(batches):
+        total = np.zeros((6, m, m))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m) - centre
+            known = ~np.isnan(x)
+            x, known = np.where(known, x, 0.0), known.astype(float)
+            n, left, right = known.T @ known, x.T @ known, (x * x).T @ known
+            total += np.stack([n, left, left.T, right, right.T, x.T @ x])
+        flat = total[:, i, j]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(i))), *map(pa.array, flat)], names=["k", *names])
+
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+    rows = df.select(F.array(*values).alias("x")).mapInArrow(sums, "k bigint, " + ", ".join(f"{c} double" for c in names))
+    made = rows.groupBy("k").agg(*[F.sum(c).alias(c) for c in names])
+    c = F.col
+    spread = lambda s, q: c(q) - F.try_divide(c(s) * c(s), c("n"))
+    both = F.sqrt(F.greatest(spread("sa", "saa"), F.lit(0.0)) * F.greatest(spread("sb", "sbb"), F.lit(0.0)))
+    r = F.try_divide(c("sab") - F.try_divide(c("sa") * c("sb"), c("n")), F.nullif(both, F.lit(0.0)))
+    name = lambda at: F.element_at(F.array(*[F.lit(x) for x in cols]), F.element_at(F.array(*[F.lit(int(a) + 1) for a in at]), (c("k") + 1).cast("int")))
+    if not len(i):
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    return made.select(name(i).alias("a"), name(j).alias("b"), r.alias("r"))
 
 
 def kde(df: DataFrame, col: str, points: int = 50, cut: float = 3.0) -> DataFrame:
@@ -143,14 +187,23 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
     """
     spark = df.sparkSession
     long = (df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-            .unpivot([], cols, "name", "v").where(F.col("v").isNotNull()))
-    seen = {r["name"]: r for r in long.groupBy("name").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+            .unpivot([], cols, "name", "v").where(F.col("v").isNotNull() & ~F.isnan("v")))
+    # Infinite values have their ranks, but no place in a bracket.
+    finite = F.when(F.abs("v") < math.inf, F.col("v"))
+    below_all = F.sum((F.col("v") == -math.inf).cast("bigint"))
+    seen = {r["name"]: r for r in long.groupBy("name").agg(F.count("v").alias("n"), F.count(finite).alias("finite"), below_all.alias("low"),
+                                                           F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()}
+    long = long.where(F.abs("v") < math.inf)
     wanted = {(c, p): (seen[c]["n"] - 1) * p for c in cols if c in seen for p in probs}
     found: dict[tuple[str, int], float] = {}
     open_ranks = {}
     for (c, _), position in wanted.items():
         for rank in {math.floor(position), math.ceil(position)}:
-            open_ranks[c, rank] = (seen[c]["lo"], seen[c]["hi"], 0)
+            low, count = seen[c]["low"], seen[c]["finite"]
+            if low <= rank < low + count:
+                open_ranks[c, rank] = (seen[c]["lo"], seen[c]["hi"], low)
+            else:
+                found[c, rank] = -math.inf if rank < low else math.inf
     while True:
         for key, (lo, hi, _) in list(open_ranks.items()):
             if lo == hi:
@@ -160,9 +213,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
             break
         brackets = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()})
         side = spark.createDataFrame(brackets, "name string, lo double, hi double")
-        step = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-        # The bracket table has at most two rows per column and probability.
-        counted = (long.join(F.broadcast(side), "name").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        # Halved, so that a bracket over the whole range of doubles has a finite width.
+        step = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        counted = (long.join(side, "name").where(F.col("v").between(F.col("lo"), F.col("hi")))
                    .groupBy("name", "lo", "hi", step.alias("bin"))
                    .agg(F.count("v").alias("n"), F.min("v").alias("first"), F.max("v").alias("last")).collect())
         cells: dict[tuple, list] = {}
@@ -182,7 +235,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
                 continue
             position = wanted[c, p]
             a, b = found[c, math.floor(position)], found[c, math.ceil(position)]
-            out[c, p] = a + (b - a) * (position - math.floor(position))
+            share = position - math.floor(position)
+            out[c, p] = a if a == b or share == 0 else a + (b - a) * share
     return out
 
 

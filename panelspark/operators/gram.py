@@ -27,7 +27,7 @@ def _names(df_by) -> list[str]:
 
 
 def packed_gram(df: DataFrame, cols: list[str], by=None, method: str = "auto") -> DataFrame:
-    """Rows ``(by..., n, mean, cp)`` over the rows where all ``cols`` are present.
+    """Rows ``(by..., n, mean, cp)`` over the rows where all ``cols`` are present (neither NULL nor NaN).
 
     Both ways read the rows once. ``native`` uses Spark's own mergeable covariance aggregates.
     ``arrow`` is for wide designs: each task forms the matrix of its rows with numpy, and only these
@@ -39,7 +39,7 @@ def packed_gram(df: DataFrame, cols: list[str], by=None, method: str = "auto") -
     # The row travels as one array: a NULL test over many columns that are later renamed would make
     # the optimizer derive a constraint for every combination of old and new names.
     rows = (df.select(*by, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_x"))
-            .where(F.forall("_x", lambda v: v.isNotNull())))
+            .where(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v))))
     if method == "native" or (method == "auto" and m <= NATIVE_LIMIT):
         x = [F.col("_x")[i] for i in range(m)]
         pairs = [(i, j) for i in range(m) for j in range(i, m)]
@@ -70,6 +70,17 @@ def _to_batch(keys: list[str], found: list[tuple[list, "Gram"]], **more) -> pa.R
         **({"_salt": pa.array([values[keys.index("_salt")].as_py() for values, _ in found], pa.int32())} if "_salt" in keys else {}), **more})
 
 
+def _groups(batch: pa.RecordBatch, by: list[str]):
+    """Key values, NULL included as None, and the rows that have them."""
+    if not by:
+        yield None, slice(None)
+        return
+    codes = batch.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(codes, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else []:
+        yield tuple(batch.column(b)[int(at[0])].as_py() for b in by), at
+
+
 def _partial_grams(by: list[str], m: int):
     """One packed Gram per task, and per group; groups are let go when many are held."""
     def run(batches):
@@ -81,8 +92,7 @@ def _partial_grams(by: list[str], m: int):
 
         for batch in batches:
             x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
-            places = batch.select(by).to_pandas().groupby(by, sort=False).indices if by else {None: slice(None)}
-            for name, at in places.items():
+            for name, at in _groups(batch, by):
                 g = Gram.of(x[at])
                 if name in held:
                     held[name] = (held[name][0], held[name][1] + g)

@@ -97,16 +97,22 @@ def _assemble(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
 
 
+def _depth(depth: int) -> int:
+    if depth > DEPTH_LIMIT:
+        raise ValueError(f"a tree can have {DEPTH_LIMIT} levels in Spark, not {depth}")
+    return depth
+
+
 def forest(train: DataFrame, y: str, features: list[str], trees: int = 100, depth: int = DEPTH_LIMIT, seed: int = 42) -> PipelineModel:
     """Random forest in which every split may use all features."""
-    learner = RandomForestRegressor(featuresCol="_features", labelCol=y, numTrees=trees, maxDepth=min(depth, DEPTH_LIMIT),
+    learner = RandomForestRegressor(featuresCol="_features", labelCol=y, numTrees=trees, maxDepth=_depth(depth),
                                     featureSubsetStrategy="all", seed=seed)
     return Pipeline(stages=[_assemble(features), learner]).fit(train)
 
 
 def boosting(train: DataFrame, y: str, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Gradient boosted trees. A depth beyond Spark's limit is lowered to it."""
-    learner = GBTRegressor(featuresCol="_features", labelCol=y, maxIter=rounds, stepSize=rate, maxDepth=min(depth, DEPTH_LIMIT), seed=seed)
+    """Gradient boosted trees. A depth beyond Spark's limit is an error."""
+    learner = GBTRegressor(featuresCol="_features", labelCol=y, maxIter=rounds, stepSize=rate, maxDepth=_depth(depth), seed=seed)
     return Pipeline(stages=[_assemble(features), learner]).fit(train)
 
 
@@ -130,7 +136,7 @@ def pca_forest(train: DataFrame, y: str, features: list[str], share: float = 0.9
     tail = Pipeline(stages=[
         PCA(k=k, inputCol="_centred", outputCol="_components"),
         StandardScaler(inputCol="_components", outputCol="_scaled", withMean=True, withStd=True),
-        RandomForestRegressor(featuresCol="_scaled", labelCol=y, numTrees=trees, maxDepth=min(depth, DEPTH_LIMIT), featureSubsetStrategy="all", seed=seed),
+        RandomForestRegressor(featuresCol="_scaled", labelCol=y, numTrees=trees, maxDepth=_depth(depth), featureSubsetStrategy="all", seed=seed),
     ]).fit(head.transform(train))
     return PipelineModel(stages=[*head.stages, *tail.stages])
 

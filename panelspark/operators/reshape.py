@@ -11,8 +11,8 @@ from panelspark.operators.series import resample_daily
 
 
 def pivot_agg(df: DataFrame, index: list[str], columns: str | list[str], members: list, values: list[str] | str,
-              agg: str = "sum", fill: float | None = 0) -> DataFrame:
-    """Aggregating pivot. With several values the columns are ``value__member``, else ``member``.
+              agg: str = "sum", fill: float | None = 0, drop_unlisted: bool = False) -> DataFrame:
+    """Aggregating pivot. A member that is not listed stops the query, unless ``drop_unlisted``. With several values the columns are ``value__member``, else ``member``.
 
     With two column keys a member is the tuple of both; its name joins them with ``__``.
     """
@@ -20,7 +20,7 @@ def pivot_agg(df: DataFrame, index: list[str], columns: str | list[str], members
     cols = [values] if isinstance(values, str) else list(values)
     labels = [flat_name(*m) if isinstance(m, tuple) else str(m) for m in members]
     label = F.concat_ws("__", *[F.col(k).cast("string") for k in keys])
-    wide = (df.dropna(subset=[*index, *keys]).withColumn("_member", label).groupBy(*index).pivot("_member", labels)
+    wide = (_listed(df.dropna(subset=[*index, *keys]).withColumn("_member", label), "_member", labels, drop_unlisted).groupBy(*index).pivot("_member", labels)
             .agg(*[STATS[agg](F.col(f"`{c}`")).alias(c) for c in cols]))
     if len(cols) == 1:
         made = {m: F.col(f"`{m}`") for m in labels}
@@ -29,8 +29,18 @@ def pivot_agg(df: DataFrame, index: list[str], columns: str | list[str], members
     return wide.select(*index, *[(x if fill is None else F.coalesce(x, F.lit(fill))).alias(n) for n, x in made.items()])
 
 
-def pivot_unique(df: DataFrame, index: list[str], column: str, members: list, value: str) -> DataFrame:
-    """Pivot without aggregation: a second row for one cell stops the query with an error."""
+def _listed(df: DataFrame, column: str, members: list, drop_unlisted: bool) -> DataFrame:
+    """Rows of the listed members; another member is left out or is an error. NULL is no member and passes."""
+    known = F.col(column).isNull() | F.col(column).isin(members)
+    if drop_unlisted:
+        return df.where(known)
+    stop = F.raise_error(F.concat(F.lit(f"not in the list of members of {column}: "), F.col(column).cast("string"))).cast(df.schema[column].dataType)
+    return df.withColumn(column, F.when(known, F.col(column)).otherwise(stop))
+
+
+def pivot_unique(df: DataFrame, index: list[str], column: str, members: list, value: str, drop_unlisted: bool = False) -> DataFrame:
+    """Pivot without aggregation: a second row for one cell stops the query with an error, as does a member that is not listed."""
+    df = _listed(df, column, members, drop_unlisted)
     only = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"duplicate entries for {index} and {column}"))).otherwise(F.first(value))
     return df.groupBy(*index).pivot(column, members).agg(only)
 

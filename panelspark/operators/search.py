@@ -141,14 +141,15 @@ def coefficients(results: DataFrame) -> DataFrame:
     return results.select("mask", "combination", F.inline("terms"))
 
 
-def candidates(results: DataFrame, size: int | None = None, must: str | None = None, k: int = 20) -> DataFrame:
-    """Best subsets of a size that hold a given source: by test R2, then the shorter one, then its mask."""
+def candidates(results: DataFrame, size: int | None = None, must: str | None = None, k: int | None = None) -> DataFrame:
+    """All subsets, or the best ``k``, of a size that hold a given source: by test R2, then the shorter one, then its mask."""
     rows = results.where("status = 'ok'")
     if size is not None:
         rows = rows.where(F.col("length") == size)
     if must is not None:
         rows = rows.where(F.array_contains(F.split("combination", ","), must))
-    return rows.orderBy(F.desc("r2_test"), F.asc("length"), F.asc("mask")).limit(k)
+    ordered = rows.orderBy(F.desc("r2_test"), F.asc("length"), F.asc("mask"))
+    return ordered if k is None else ordered.limit(k)
 
 
 def time_folds(df: DataFrame, date: str, folds: int = 3, horizon: int = 7) -> DataFrame:

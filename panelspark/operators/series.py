@@ -41,16 +41,15 @@ def resample_daily(df: DataFrame, keys: list[str], date: str, cols: list[str], f
     """One row per key and day. ``fill`` is ``zero``, ``linear`` (both directions) or ``null``.
 
     Each row is expanded to the days up to its successor, so one shuffle of the given rows is all:
-    no calendar is joined. ``start`` and ``end`` widen every key to a common range. Two rows for
-    one key and day are an error.
+    no calendar is joined. ``start`` and ``end`` bring every key to a common range: rows outside it
+    are still used to interpolate, then their days are left out. Two rows for one key and day are an error.
     """
     lo = None if start is None else (start if isinstance(start, Column) else F.lit(start)).cast("date")
     hi = None if end is None else (end if isinstance(end, Column) else F.lit(end)).cast("date")
     rows = df.dropna(subset=[*keys, date])
-    if lo is not None:
-        rows = rows.where(_q(date) >= lo)
-    if hi is not None:
-        rows = rows.where(_q(date) <= hi)
+    if fill != "linear":  # a row outside the range gives nothing to the days within it
+        rows = rows.where(_q(date) >= lo) if lo is not None else rows
+        rows = rows.where(_q(date) <= hi) if hi is not None else rows
     w = series_window(keys, date)
     here = {c: F.when(_q(c).isNotNull(), F.struct(_q(date).alias("d"), _q(c).cast("double").alias("v"))) for c in cols}
     near = []
@@ -61,7 +60,9 @@ def resample_daily(df: DataFrame, keys: list[str], date: str, cols: list[str], f
     step = rows.select(*keys, date, *cols, *near, F.lag(date).over(w).alias("_before"), F.lead(date).over(w).alias("_after"))
     first = F.when(F.col("_before").isNull(), lo).otherwise(_q(date)) if lo is not None else _q(date)
     last = F.coalesce(F.date_sub("_after", 1), hi if hi is not None else _q(date))
-    days = F.explode(F.sequence(first, last, F.make_dt_interval(F.lit(1))))
+    first = F.greatest(first, lo) if lo is not None else first
+    last = F.least(last, hi) if hi is not None else last
+    days = F.explode(F.when(first <= last, F.sequence(first, last, F.make_dt_interval(F.lit(1)))))
     dense = step.withColumn("_day", days)
     on_day = F.col("_day") == _q(date)
     made = []

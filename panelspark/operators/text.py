@@ -19,7 +19,7 @@ def keyword_groups(df: DataFrame, mapping: dict[str, str], keys: list[str], date
     """
     themes = list(dict.fromkeys(mapping.values()))
     themed = df.withColumn("_theme", F.try_element_at(literal_map(mapping), F.col(word)))
-    wide = pivot_agg(themed, [date, *keys], "_theme", themes, value, fill=None)
+    wide = pivot_agg(themed, [date, *keys], "_theme", themes, value, fill=None, drop_unlisted=True)
     return resample_daily(wide, keys, date, themes, "linear")
 
 

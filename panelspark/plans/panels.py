@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.clean import comma_decimal, prefix_code, recode, safe_date, spanish_date, thousands_int
-from panelspark.operators.aggregate import group_sum, multi_agg
+from panelspark.operators.aggregate import group_sum, merge_stats, mergeable_stats, multi_agg
 from panelspark.operators.joins import expand_region, join_dim, outer_merge
 from panelspark.operators.project import extend_last, per_100k
 from panelspark.operators.reshape import complete_panel, pivot_agg
@@ -113,7 +113,7 @@ def weather_wide(readings: DataFrame, stations: DataFrame, dim: DataFrame, regio
 
 def trends_regions(interest: DataFrame, words: list[str]) -> DataFrame:
     """Weekly search interest to daily, one column per word: ``(region, fecha, words...)``."""
-    wide = pivot_agg(interest.withColumnsRenamed({"date": "fecha", "ca": "region"}), ["region", "fecha"], "variable", words, "value", fill=None)
+    wide = pivot_agg(interest.withColumnsRenamed({"date": "fecha", "ca": "region"}), ["region", "fecha"], "variable", words, "value", fill=None, drop_unlisted=True)
     return resample_daily(wide, ["region"], "fecha", words, "linear")
 
 
@@ -130,10 +130,13 @@ def trends_themes(interest: DataFrame, dim: DataFrame) -> DataFrame:
     return expand_region(keyword_groups(named, P.KEYWORD_THEMES, ["region"]), places(dim), "region")
 
 
+FLOWS = ["viajes", "viajes_km"]
+
+
 def mobility_aggregate(rows: DataFrame) -> DataFrame:
-    """Reduce one day of trips between municipalities to provinces; the step of the file stream."""
+    """Reduce one day of trips between municipalities to mergeable state by provinces; the step of the file stream."""
     named = rows.select("fecha", prefix_code("origen").alias("origen_num"), prefix_code("destino").alias("destino_num"), "viajes", "viajes_km")
-    return multi_agg(named, ["fecha", "origen_num", "destino_num"], {"viajes": P.FLOW_STATS, "viajes_km": P.FLOW_STATS})
+    return mergeable_stats(named, ["fecha", "origen_num", "destino_num"], FLOWS)
 
 
 def mobility_placed(daily: DataFrame, dim: DataFrame) -> DataFrame:
@@ -142,20 +145,26 @@ def mobility_placed(daily: DataFrame, dim: DataFrame) -> DataFrame:
     return join_dim(origin, codes.select(F.col("prov_num").alias("_d"), "prov"), "destino_num", "_d")
 
 
-def mobility_long(daily: DataFrame, dim: DataFrame) -> DataFrame:
-    values = [f"{c}__{s}" for c in ("viajes", "viajes_km") for s in P.FLOW_STATS]
-    into = group_sum(mobility_placed(daily, dim), ["fecha", "prov"], values)
-    return complete_panel(into, ["prov"], "fecha", values, "linear").join(places(dim), "prov")
+def mobility_long(daily: DataFrame, dim: DataFrame, population: DataFrame | None = None) -> DataFrame:
+    """Statistics of all trips into a province, as over the rows before they were reduced; rates if a population by province is given."""
+    values = [f"{c}__{s}" for c in FLOWS for s in P.FLOW_STATS]
+    into = merge_stats(mobility_placed(daily, dim), ["fecha", "prov"], FLOWS)
+    panel = complete_panel(into, ["prov"], "fecha", values, "linear").join(places(dim), "prov")
+    return _rates(panel, values, population, ["prov"])
 
 
-def mobility_wide(daily: DataFrame, dim: DataFrame, regions: list[str], province: str = P.TARGET_PROVINCE) -> DataFrame:
-    """Trips into one province by region of origin."""
-    into = mobility_placed(daily, dim).where(F.col("prov") == province)
-    return resample_daily(pivot_agg(into, ["fecha"], "origen_region", regions, "viajes__sum"), [], "fecha", regions, "linear")
+def mobility_wide(daily: DataFrame, dim: DataFrame, regions: list[str], province: str = P.TARGET_PROVINCE, census: DataFrame | None = None) -> DataFrame:
+    """Trips into one province by region of origin; per 100,000 inhabitants of that region if a census by region is given."""
+    into, value = mobility_placed(daily, dim).where(F.col("prov") == province), "viajes__sum"
+    if census is not None:
+        by_origin = group_sum(into.withColumnRenamed("origen_region", "region"), ["fecha", "region"], [value])
+        into, value = _rates(by_origin, [value], census, ["region"]).withColumnRenamed("region", "origen_region"), f"ratio_population__{value}"
+    return resample_daily(pivot_agg(into, ["fecha"], "origen_region", regions, value), [], "fecha", regions, "linear")
 
 
-def vaccination_regions(doses: DataFrame, dim: DataFrame, start: str = P.START) -> DataFrame:
-    """Running total and daily doses by region, zero before the campaign: ``(region, fecha, cumulative, daily)``.
+def vaccination_regions(doses: DataFrame, dim: DataFrame, start: str = P.START, census: DataFrame | None = None) -> DataFrame:
+    """Running total and daily doses by region, zero before the campaign: ``(region, fecha, cumulative, daily)``,
+    and both per 100,000 inhabitants if a census by region is given.
 
     ``doses`` holds ``(label, fecha, dosis)`` with running totals.
     """
@@ -163,11 +172,12 @@ def vaccination_regions(doses: DataFrame, dim: DataFrame, start: str = P.START)
     named = join_dim(doses.withColumn("label", recode("label", P.REGION_FIXES)), labels, "label", "region_mscbs")
     total = group_sum(named, ["region", "fecha"], ["dosis"]).withColumnRenamed("dosis", "cumulative")
     filled = zero_history(complete_panel(total, ["region"], "fecha", ["cumulative"], "linear"), ["region"], "fecha", ["cumulative"], start)
-    return outer_merge(filled, cumulative_to_daily(filled, ["region"], "fecha", "cumulative"), ["region", "fecha"])
+    both = outer_merge(filled, cumulative_to_daily(filled, ["region"], "fecha", "cumulative"), ["region", "fecha"])
+    return _rates(both, ["cumulative", "daily"], census, ["region"])
 
 
-def vaccination_long(doses: DataFrame, dim: DataFrame, start: str = P.START) -> DataFrame:
-    return expand_region(vaccination_regions(doses, dim, start), places(dim), "region")
+def vaccination_long(doses: DataFrame, dim: DataFrame, start: str = P.START, census: DataFrame | None = None) -> DataFrame:
+    return expand_region(vaccination_regions(doses, dim, start, census), places(dim), "region")
 
 
 def vaccination_wide(doses: DataFrame, dim: DataFrame, regions: list[str], start: str = P.START) -> DataFrame:

@@ -41,7 +41,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         context = spark.sparkContext
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = _local_base.setdefault(context.applicationId, tempfile.mkdtemp(prefix="panelspark-"))
+        if context.applicationId not in _local_base:
+            _local_base[context.applicationId] = tempfile.mkdtemp(prefix="panelspark-")
+        base = _local_base[context.applicationId]
     return f"{base.rstrip('/')}/panelspark/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -124,7 +124,9 @@ def test_wide_forecast_over_real_shapes(landed, dim):
     assert report["acf"].count() == 6 and report["ar"].count() == 4 and report["adf"].count() == 1 and report["mean"].first()["n"] == counts["train"]
     pca = M.pca_forest(train, wide_forecast.TARGET, features, trees=3, depth=4)
     assert wide_forecast.scores(pca, design).count() == 2
-    boosted = M.boosting(train, wide_forecast.TARGET, features, rounds=3, depth=1000)
+    boosted = M.boosting(train, wide_forecast.TARGET, features, rounds=3, depth=M.DEPTH_LIMIT)
+    with pytest.raises(ValueError):
+        M.boosting(train, wide_forecast.TARGET, features, rounds=3, depth=1000)
     assert boosted.stages[-1].getMaxDepth() == 30
 
 
