@@ -4,18 +4,19 @@ Every byte that lies in a string of ``length`` bytes which also starts in a docu
 removed. The work is cut so that equal strings always meet in the same, bounded index:
 
 1. Every window of ``length`` bytes has an anchor, the 16 bytes within it with the smallest hash. Equal windows
-   have equal anchors. One pass over the texts lists the anchors of each distinct text, packed by bucket.
-2. Anchors that occur in two or more different texts are found bucket by bucket; buckets are as many as the
-   corpus needs to keep each small.
-3. Around each such anchor the bytes of its windows are cut out. Equal pieces become one, with the smallest id.
+   have equal anchors. One pass over the texts lists the anchors of each document, packed by bucket, each with a
+   hash of the piece of text that its windows cover. Buckets are as many as the corpus needs to keep each small.
+2. Anchors of two or more documents are found bucket by bucket. Where all have the same piece, it is covered in
+   all but the first document.
+3. Where the pieces of an anchor differ, they are cut out of the texts. Equal pieces become one, with the smallest id.
 4. Pieces that share an anchor go to one block. ``RunIndex`` builds the run-compressed transform of the block
    with suffix positions sampled at run ends, streams matching statistics of every piece through it, and gives
    for each window the smallest id that holds it.
 5. Windows whose smallest id is below the document's own are marked; the bytes they cover go.
 
-Scale: per text, 8 bytes for each bucket it meets and 5 for each anchor (about one in 18 bytes) are shuffled,
-then the repeated parts only. A text that many documents share is handled once; its copies are covered from
-end to end. A passage that many share is one piece from the first partial aggregation on.
+Scale: per text, 12 bytes for each bucket it meets and 11 for each anchor (about one in 18 bytes) are shuffled,
+then numbers of shared anchors and the pieces that differ. A text that many documents share is looked at once;
+its copies are covered from end to end.
 
 Defined results: a null text is an empty text. Texts shorter than ``length`` lose nothing. Rows without an id
 come after all others; rows with equal ids do not remove each other's bytes. Repeated rows give repeated
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,82 +215,105 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
 
 
+def _numbers(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Anchors as they travel: 40 bits of the hash beside the bucket that other bits of it chose."""
+    return (h >> np.uint64(24) << np.uint64(24)) | h % np.uint64(buckets)
+
+
 def _anchor_lists(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Packed anchors ``(bucket, keys, counts, anchors)``: text keys, how many anchors each has, 40 bits of each."""
+    """Packed anchors by bucket: ids, how many anchors each has, 40 bits of each anchor and 48 of the hash of its piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owner, anchors = batch.column(0).to_numpy(), [], []
+            ids, parts = batch.column(0).to_numpy(), []
             for i in range(batch.num_rows):
-                h = np.unique(scan(batch.column(1)[i].as_py(), length)[0])
-                anchors.append(h)
-                owner.append(np.full(len(h), i, np.int64))
-            h, own = np.concatenate(anchors), np.concatenate(owner)
-            where = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((own, where))
-            h, own, where = h[order], own[order], where[order]
+                text = batch.column(1)[i].as_py()
+                h, first, last = scan(text, length)
+                names = np.array([name(text[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], np.uint64)
+                if len(h):
+                    parts.append(np.stack([h % np.uint64(buckets), np.full(len(h), i, np.uint64), h >> np.uint64(24), names >> np.uint64(16)]))
+            if not parts:
+                continue
+            all_ = np.concatenate(parts, axis=1)
+            where, own, anchors, names = all_[:, np.lexsort((all_[1], all_[0]))]
+            cuts = np.concatenate((np.flatnonzero(np.diff(where.astype(np.int64), prepend=-1)), [len(where)]))
             rows = []
-            for lo, hi in zip(*(lambda b: (b[:-1], b[1:]))(np.concatenate((np.flatnonzero(np.diff(where, prepend=-1)), [len(where)])))):
-                texts_here, n = np.unique(own[lo:hi], return_counts=True)
-                packed = (h[lo:hi] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                rows.append((int(where[lo]), keys[texts_here].astype("<i8").tobytes(), n.astype("<u4").tobytes(), packed))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "keys", "counts", "anchors"])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                here, n = np.unique(own[lo:hi], return_counts=True)
+                low = lambda v, k: np.ascontiguousarray(v[lo:hi]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k]
+                rows.append((int(where[lo]), ids[here.astype(np.int64)].astype("<i8").tobytes(), n.astype("<u4").tobytes(),
+                             np.concatenate([low(anchors, 5), low(names, 6)], axis=1).tobytes()))
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "ids", "counts", "anchors"])
 
-    return texts.select("key", "text").mapInArrow(run, "bucket bigint, keys binary, counts binary, anchors binary")
+    name = xxhash.xxh3_64_intdigest
+    return texts.select("ord", "text").mapInArrow(run, "bucket bigint, ids binary, counts binary, anchors binary")
 
 
 def _shared(lists: DataFrame) -> DataFrame:
-    """``(key, anchors)``: the anchors, packed, that a text has in common with a different text; several rows for a text."""
-    def flush(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        keys = np.concatenate([np.repeat(np.frombuffer(k, "<i8"), np.frombuffer(n, "<u4")) for k, n, _ in held])
-        raw = np.concatenate([np.frombuffer(a, np.uint8) for *_, a in held]).reshape(-1, 5)
-        anchors = np.zeros((len(raw), 8), np.uint8)
-        anchors[:, :5] = raw
-        anchors = anchors.view("<u8").ravel()
-        order = np.lexsort((keys, anchors))
-        keys, anchors = keys[order], anchors[order]
+    """``(ord, covered, mixed)`` with packed anchors that documents have in common; several rows for a document.
+
+    If all documents have the same piece around an anchor, it is ``covered`` in all but the one with the
+    smallest id. If pieces differ, the anchor is ``mixed`` and its pieces must be indexed."""
+    def flush(bucket: int, held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        ids = np.concatenate([np.repeat(np.frombuffer(k, "<i8"), np.frombuffer(n, "<u4")) for k, n, _ in held])
+        raw = np.concatenate([np.frombuffer(a, np.uint8) for *_, a in held]).reshape(-1, 11)
+        wide = np.zeros((2, len(raw), 8), np.uint8)
+        wide[0, :, :5], wide[1, :, :6] = raw[:, :5], raw[:, 5:]
+        anchors, names = wide.view("<u8").reshape(2, -1)
+        order = np.lexsort((ids, anchors))
+        ids, anchors, names = ids[order], anchors[order], names[order]
         begin = np.concatenate(([0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1))
-        end = np.concatenate((begin[1:], [len(anchors)]))
-        keep = np.repeat(keys[begin] != keys[end - 1], end - begin)
-        keys, anchors = keys[keep], anchors[keep]
-        order = np.argsort(keys, kind="stable")
-        keys, anchors = keys[order], anchors[order]
-        own, at = np.unique(keys, return_index=True)
-        ends = np.concatenate((at[1:], [len(keys)]))
-        packed = [anchors[a:b].astype("<u8").tobytes() for a, b in zip(at, ends)]
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(packed, pa.binary())], names=["key", "anchors"])
+        size = np.diff(np.concatenate((begin, [len(anchors)])))
+        spread = lambda v: np.repeat(v, size)
+        shared = spread(ids[begin] != ids[begin + size - 1])
+        mixed = spread(np.minimum.reduceat(names, begin) != np.maximum.reduceat(names, begin))
+        take = shared & (mixed | (ids > spread(ids[begin])))
+        ids, anchors, mixed = ids[take], (anchors[take] << np.uint64(24)) | np.uint64(bucket), mixed[take]
+        order = np.argsort(ids, kind="stable")
+        ids, anchors, mixed = ids[order], anchors[order], mixed[order]
+        own, at = np.unique(ids, return_index=True)
+        ends = np.concatenate((at[1:], [len(ids)])) if len(at) else at
+        pack = lambda a, b, which: np.unique(anchors[a:b][mixed[a:b] == which]).astype("<u8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[pa.array([pack(a, b, w) for a, b in zip(at, ends)], pa.binary()) for w in (False, True)]],
+                                          names=["ord", "covered", "mixed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
         for batch in batches:
             for b, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and b != bucket:
-                    yield flush(held)
+                    yield flush(bucket, held)
                     held = []
                 bucket = b
                 held.append(tuple(row))
         if held:
-            yield flush(held)
+            yield flush(bucket, held)
 
-    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, anchors binary")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "ord bigint, covered binary, mixed binary")
 
 
-def _pieces(texts: DataFrame, length: int) -> DataFrame:
-    """``(ord, key, at, anchor, piece)``: the bytes of all windows of each anchor that is shared."""
+def _findings(texts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """``(ord, key, at, upto, anchor, piece)``: ranges of bytes that are covered (without a piece), and the pieces to index."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
-                shared = np.unique(np.concatenate([np.frombuffer(b, "<u8") for b in batch.column(2)[i].as_py()]))
                 h, first, last = scan(text, length)
-                hit = np.isin(h >> np.uint64(24), shared)
-                h, first, last = h[hit], first[hit], last[hit]
-                if len(h):
+                number, upto = _numbers(h, buckets), last + length
+                listed = [np.concatenate([np.frombuffer(b, "<u8") for b in batch.column(c)[i].as_py()]) for c in (3, 4)]
+                covered, mixed = (np.flatnonzero(np.isin(number, x)) for x in listed)
+                # Neighbouring covered ranges become one.
+                cut = np.flatnonzero(np.diff(covered, prepend=-2) > 1)
+                a, b = covered[cut], covered[np.concatenate((cut[1:], [len(covered)])) - 1] if len(cut) else covered
+                n = len(a) + len(mixed)
+                if n:
+                    pieces = [None] * len(a) + [text[x:y] for x, y in zip(first[mixed].tolist(), upto[mixed].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(batch.column(0)[i], len(h)), pa.repeat(batch.column(3)[i], len(h)), pa.array(first), pa.array(h.view(np.int64)),
-                         pa.array([text[a:b + length] for a, b in zip(first.tolist(), last.tolist())], pa.binary())], names=["ord", "key", "at", "anchor", "piece"])
+                        [pa.repeat(batch.column(0)[i], n), pa.repeat(batch.column(2)[i], n), pa.array(np.concatenate((first[a], first[mixed]))),
+                         pa.array(np.concatenate((upto[b], upto[mixed]))), pa.array(np.concatenate((h[a], h[mixed])).view(np.int64)), pa.array(pieces, pa.binary())],
+                        names=["ord", "key", "at", "upto", "anchor", "piece"])
 
-    return texts.select("ord", "text", "anchors", "key").mapInArrow(run, "ord bigint, key bigint, at bigint, anchor bigint, piece binary")
+    return texts.select("ord", "text", "key", "covered", "mixed").mapInArrow(run, "ord bigint, key bigint, at bigint, upto bigint, anchor bigint, piece binary")
 
 
 def _answers(distinct: DataFrame, length: int) -> DataFrame:
@@ -325,15 +350,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     rows = stage(texts.select("_id", "ord", "key", F.length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
     leads = rows.groupBy("key").agg(F.min("ord").alias("lead"))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    shared = _shared(_anchor_lists(texts, length, max(8, -(-total // BUCKET_BYTES)))).groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
-    # One row of each text that shares an anchor, with its text; read twice, so it is written.
-    touched = stage(texts.join(shared.join(leads, "key"), "key").where("ord = lead").select("ord", "key", "text", "anchors"), "touched")
-    pieces = stage(_pieces(touched, length), "pieces")
+    buckets = max(8, -(-total // BUCKET_BYTES))
+    shared = (_shared(_anchor_lists(texts, length, buckets)).groupBy("ord")
+              .agg(F.collect_list("covered").alias("covered"), F.collect_list("mixed").alias("mixed")))
+    # One row of each text is looked at; its copies are covered from end to end.
+    looked = shared.join(leads.withColumnRenamed("lead", "ord"), "ord")
+    found = stage(_findings(texts.join(looked, ["ord", "key"]).dropDuplicates(["ord", "key"]), length, buckets), "findings")
+    pieces = found.where("piece IS NOT NULL")
     distinct = pieces.groupBy("anchor", "piece").agg(F.min("ord").alias("least"))
-    answers = _answers(distinct, length)
-    marks = (pieces.select("ord", "key", "at", "anchor", F.xxhash64("piece").alias("name")).join(answers, ["anchor", "name"])
-             .select("ord", "key", "at", F.explode("runs").alias("r")).where("r.id < ord")
-             .groupBy("ord", "key").agg(F.sort_array(F.collect_list(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + length).alias("b")))).alias("spans")))
+    indexed = (pieces.select("ord", "key", "at", "anchor", F.xxhash64("piece").alias("name")).join(_answers(distinct, length), ["anchor", "name"])
+               .select("ord", "key", "at", F.explode("runs").alias("r")).where("r.id < ord")
+               .select("ord", "key", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + length).alias("b")))
+    marks = (found.where("piece IS NULL").select("ord", "key", F.col("at").alias("a"), F.col("upto").alias("b")).union(indexed)
+             .groupBy("ord", "key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
                                               pa.array([m[2] for m in made], pa.string())], names=["key", "removed", "spans", "kept"])
 
-    changed = touched.select("ord", "key", "text").dropDuplicates(["ord", "key"]).join(marks, ["ord", "key"]).select("key", "text", "spans").mapInArrow(cut, "key bigint, removed bigint, spans bigint, kept string")
+    changed = texts.select("ord", "key", "text").join(marks, ["ord", "key"]).dropDuplicates(["ord", "key"]).select("key", "text", "spans").mapInArrow(cut, "key bigint, removed bigint, spans bigint, kept string")
     whole = (F.col("ord") > F.col("lead")) & (F.col("n_bytes") >= length)
     out = rows.join(leads.join(changed, "key", "left"), "key")
     return out.select(F.col("_id").alias(id_col), "n_bytes",
