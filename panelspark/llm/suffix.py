@@ -80,19 +80,22 @@ def scan(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class RunIndex:
     """Run-compressed transform of a text of symbols, for backward search that carries a text position."""
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, length: int = 0):
         self.text, n = symbols.astype(np.int64), len(symbols)
+        self.depth, self.coarse = 0, np.zeros(n, np.int64)  # ranks by the most symbols, up to ``length``, that doubling met
         key = np.zeros(n, np.int64)
         for d in range(7):  # seven symbols of nine bits
             key = key * 512
             key[:max(n - d, 0)] += self.text[d:] + 1
         depth = 7
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ranked = key[order]
             new = np.concatenate(([True], ranked[1:] != ranked[:-1])).cumsum() - 1
             rank = np.empty(n, np.int64)
             rank[order] = new
+            if depth <= length:
+                self.depth, self.coarse = depth, rank
             if new[-1] == n - 1:
                 break
             key = rank * (n + 1)
@@ -175,7 +178,17 @@ class RunIndex:
         """Rows that begin a class of suffixes which share their first ``length`` symbols."""
         order = np.empty(self.n, np.int64)
         order[self.row] = np.arange(self.n)
-        same = self.common(order[:-1], order[1:], np.full(self.n - 1, length)) >= length
+        p, q = order[:-1], order[1:]
+        if 0 < self.depth <= length:  # equal ranks mean that this many symbols are equal
+            same = self.coarse[p] == self.coarse[q]
+            p, q = p[same], q[same]
+        else:
+            same = np.ones(self.n - 1, bool)
+        if 0 < self.depth <= length <= 2 * self.depth:  # two ranks that overlap decide; a place at the end is unlike any other
+            ranks, off = np.concatenate((self.coarse, [-1])), length - self.depth
+            same[same] = ranks[p + off] == ranks[q + off]
+        else:
+            same[same] = self.common(p, q, np.full(len(p), length)) >= length
         return np.concatenate(([0], np.flatnonzero(~same) + 1))
 
 
@@ -187,7 +200,7 @@ def least_ids(pieces: list[bytes], ids: np.ndarray, length: int) -> list[list[tu
     inside = np.ones(len(symbols), bool)
     inside[bounds - 1] = False  # each piece is followed by a separator
     symbols[inside] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 1
-    index = RunIndex(symbols)
+    index = RunIndex(symbols, length)
     starts = index.classes(length)
     least = np.full(len(starts), LAST)
     begin = bounds - sizes - 1

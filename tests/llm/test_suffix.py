@@ -96,3 +96,17 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = sorted(map(tuple, queries.op6_suffix(spark, folder).collect()))
     assert got == sorted(brute(rows)) and sum(r[2] for r in got) > 0
+
+
+def test_classes_of_equal_starts():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n, length = int(r.integers(1, 90)), int(r.integers(7, 40))
+        text = np.append(r.integers(0, r.integers(1, 4), n), 0)
+        index = suffix.RunIndex(text, length)
+        group = np.searchsorted(index.classes(length), index.row, "right") - 1
+        seen = {}
+        for i in range(n + 1):  # suffixes that are too short are alone
+            start = tuple(text[i:i + length]) if i + length <= n + 1 else i
+            assert seen.setdefault(start, group[i]) == group[i]
+        assert len(set(seen.values())) == len(seen)
