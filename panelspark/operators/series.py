@@ -62,7 +62,8 @@ def resample_daily(df: DataFrame, keys: list[str], date: str, cols: list[str], f
     last = F.coalesce(F.date_sub("_after", 1), hi if hi is not None else _q(date))
     first = F.greatest(first, lo) if lo is not None else first
     last = F.least(last, hi) if hi is not None else last
-    days = F.explode(F.when(first <= last, F.sequence(first, last, F.make_dt_interval(F.lit(1)))))
+    twice = F.raise_error(F.lit("two rows for one key and day"))
+    days = F.explode(F.when(F.col("_after") == _q(date), twice).when(first <= last, F.sequence(first, last, F.make_dt_interval(F.lit(1)))))
     dense = step.withColumn("_day", days)
     on_day = F.col("_day") == _q(date)
     made = []
