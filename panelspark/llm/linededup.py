@@ -32,11 +32,36 @@ from pyspark.sql import types as T
 from panelspark.session import stage
 
 
+def unique(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of what occurs once on either side, rising on the first."""
+    left, right = Counter(a), Counter(b)
+    place = {x: j for j, x in enumerate(b) if right[x] == 1}
+    return [(i, place[x]) for i, x in enumerate(a) if left[x] == 1 and x in place]
+
+
+def nth(a: list, b: list) -> list[tuple[int, int]]:
+    """The same with the k-th occurrence on one side for the k-th on the other."""
+    def numbered(side: list) -> list[tuple]:
+        seen: Counter = Counter()
+        out = []
+        for x in side:
+            out.append((x, seen[x]))
+            seen[x] += 1
+        return out
+
+    return unique(numbered(a), numbered(b))
+
+
+def neighbours(lines: list[int]) -> list[tuple[int, int]]:
+    return list(zip(lines, lines[1:]))
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Patience diff: pairs of equal places, rising on both sides.
 
     Equal ends of a range are paired; lines that occur once on either side are paired along their longest
-    rising run; the ranges between are treated the same way, until one has no such line."""
+    rising run; the ranges between are treated the same way. Where a range has no such line, the k-th occurrence
+    of two neighbouring lines on one side is taken for the k-th on the other, or else that of a line."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         lo, hi, low, high = todo.pop()
@@ -48,11 +73,10 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((hi, high))
         if lo == hi or low == high:
             continue
-        left, right = Counter(a[lo:hi]), Counter(b[low:high])
-        place = {x: j for j, x in enumerate(b[low:high], low) if right[x] == 1}
-        once = [(i, place[x]) for i, x in enumerate(a[lo:hi], lo) if left[x] == 1 and x in place]
+        once = unique(a[lo:hi], b[low:high]) or nth(neighbours(a[lo:hi]), neighbours(b[low:high])) or nth(a[lo:hi], b[low:high])
         if not once:
             continue
+        once = [(i + lo, j + low) for i, j in once]
         # Piles: tops holds the smallest end of a rising run of each length, back the run itself.
         tops: list[int] = []
         ends: list[int] = []
@@ -72,17 +96,44 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shortest_runs(sizes: list[int], min_chars: int) -> list[tuple[int, int]]:
+    """``(first, last)`` of the shortest runs of lines from each start and to each end that have ``min_chars`` characters.
+
+    Every line of a block of so many characters lies in such a run within the block."""
+    out: set[tuple[int, int]] = set()
+    for flip in (False, True):
+        row, hi, total = sizes[::-1] if flip else sizes, 0, 0
+        for lo in range(len(row)):
+            while hi < len(row) and (hi <= lo or total < min_chars):
+                total, hi = total + row[hi], hi + 1
+            if total < min_chars:
+                break
+            out.add((len(row) - hi, len(row) - 1 - lo) if flip else (lo, hi - 1))
+            total -= row[lo]
+    return sorted(out)
+
+
 def common_blocks(a: list[int], b: list[int], sizes: list[int], min_chars: int) -> list[int]:
-    """Places of ``b`` in aligned blocks that have ``min_chars`` characters; ``sizes`` are the lengths of its lines."""
-    out, block = [], []
+    """Places of ``b`` in aligned blocks that have ``min_chars`` characters, and in further copies of what these
+    hold; ``sizes`` are the lengths of its lines."""
+    out: set[int] = set()
+    ends: dict[int, int] = {}  # the last place of the block of each place
+    block: list[int] = []
     pairs = align(a, b)
     for at, (i, j) in enumerate(pairs):
         block.append(j)
         if at + 1 == len(pairs) or pairs[at + 1] != (i + 1, j + 1):
             if sum(sizes[x] for x in block) >= min_chars:
-                out += block
+                out |= set(block)
+                ends |= dict.fromkeys(block, block[-1])
             block = []
-    return out
+    if out and len(out) < len(b) and len(set(b)) < len(b):
+        runs = shortest_runs(sizes, min_chars)
+        known = {tuple(b[i:j + 1]) for i, j in runs if j <= ends.get(i, -1)}
+        for i, j in runs:
+            if tuple(b[i:j + 1]) in known:
+                out |= set(range(i, j + 1))
+    return sorted(out)
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -73,3 +73,8 @@ def test_query(spark):
     want = sorted((i, n, k, c, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, c, t in brute(rows))
     got = sorted(map(tuple, queries.op3_line_dedup(spark, folder).collect()))
     assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_passages_held_twice():
+    assert linededup.common_blocks([1, 8, 9, 2, 8, 9, 3], [4, 8, 9, 5], [20] * 4, 30) == [1, 2]
+    assert linededup.common_blocks([1, 8, 9, 3], [4, 8, 9, 5, 8, 9, 6], [20] * 7, 30) == [1, 2, 4, 5]
