@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document holds are deleted; documents of which nothing is left go."""
-    found = linededup.deduplicate(docs, carry=("lang", "source")).where("n_lines = 0 OR n_removed < n_lines")
+    found = linededup.deduplicate(docs, carry=("lang", "source"), whole=True).where("n_lines = 0 OR n_removed < n_lines")
     return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
 
 

@@ -7,7 +7,9 @@ Which pairs: documents with the same text are one class, led by its smallest id;
 with it from end to end and lose all their lines. Between classes, a rare line (held by ``rare`` classes or
 fewer) pairs every two of its holders. A more frequent line pairs each holder with the first holder only, so
 that its occurrences give as many pairs, not their square; every line that an earlier document holds is
-still compared with one that holds it. No line is left out for being frequent.
+still compared with one that holds it. With ``whole`` (the registered query and the pipeline) what an earlier
+class holds and this pass leaves is tried against its other earlier holders until one deletes it or none is
+left, so the result is that of aligning all earlier holders.
 
 Scale: what is shuffled for the search are line hashes; the texts move once, at the end, to be rewritten.
 A document that thousands of others are compared with is a skewed join key, which AQE splits.
@@ -24,7 +26,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,9 +149,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(hashed, "lines")
 
 
-def pairs(lines: DataFrame, first: DataFrame, rare: int) -> DataFrame:
+def pairs(texts: DataFrame, rare: int) -> DataFrame:
     """``(later, earlier)`` keys of classes to align."""
-    held = lines.dropDuplicates(["key"]).join(first, "key").select(F.struct(F.col("first").isNull().alias("n"), "first", "key").alias("d"), F.explode(F.array_distinct("lines")).alias("line"))
+    held = texts.select(F.struct(F.col("first").isNull().alias("n"), "first", "key").alias("d"), F.explode(F.array_distinct("lines")).alias("line"))
     held = stage(held, "held")
     known = held.groupBy("line").agg(F.count("*").alias("df"), F.min("d").alias("lead")).where("df > 1")
     near = held.join(known.where(F.col("df") <= rare).select("line"), "line").groupBy("line").agg(F.array_sort(F.collect_list("d")).alias("ds"))
@@ -158,16 +162,33 @@ def pairs(lines: DataFrame, first: DataFrame, rare: int) -> DataFrame:
     return close.union(far).distinct()
 
 
-def removals(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, first, removed)`` of each distinct text: the id that leads it and the places, among its lines that
-    are not blank, to delete from the leading document."""
-    lines = classes(docs, id_col, text_col)
-    first = stage(lines.groupBy("key").agg(F.min("id").alias("first")), "first")
-    arrays = lines.select("key", "lines", "sizes").dropDuplicates(["key"])
-    to_align = (pairs(lines, first, rare)
-                .join(arrays.select(F.col("key").alias("earlier"), F.col("lines").alias("a")), "earlier")
-                .join(arrays.select(F.col("key").alias("later"), F.col("lines").alias("b"), "sizes"), "later")
-                .select("later", "a", "b", "sizes"))
+def windows(texts: DataFrame, min_chars: int) -> DataFrame:
+    """``(d, window, places)``: hashes of the shortest runs of lines of each class, with all places that such a run takes."""
+    taken = texts.select(F.struct(F.col("first").isNull().alias("n"), "first", "key").alias("d"), "lines", "sizes")
+    schema = T.StructType([taken.schema["d"], *T._parse_datatype_string("w array<struct<window: bigint, places: array<int>>>").fields])
+    item = pa.list_(pa.struct([("window", pa.int64()), ("places", pa.list_(pa.int32()))]))
+
+    def made(lines: list[int], sizes: list[int]) -> list[dict]:
+        raw, at = np.array(lines, "<i8"), {}
+        for i, j in shortest_runs(sizes, min_chars):
+            at.setdefault(xxhash.xxh3_64_intdigest(raw[i:j + 1].tobytes()) - (1 << 63), set()).update(range(i, j + 1))
+        return [{"window": w, "places": sorted(x)} for w, x in at.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                found = [made(*row) for row in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, item)], names=["d", "w"])
+
+    return taken.mapInArrow(run, schema).select("d", F.explode("w").alias("w")).select("d", "w.window", "w.places")
+
+
+def aligned(to_align: DataFrame, texts: DataFrame, min_chars: int) -> DataFrame:
+    """``(key, places)`` that the pairs ``(later, earlier)`` delete from the later class."""
+    both = (to_align.join(texts.select(F.col("key").alias("earlier"), F.col("lines").alias("a")), "earlier")
+            .join(texts.select(F.col("key").alias("later"), F.col("lines").alias("b"), "sizes"), "later")
+            .select("later", "a", "b", "sizes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,15 +197,60 @@ def removals(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str =
                 made = [(r["later"], common_blocks(r["a"], r["b"], r["sizes"], min_chars)) for r in part]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.string()), pa.array([x for _, x in made], pa.list_(pa.int32()))], names=["key", "places"])
 
-    found = (to_align.mapInArrow(run, "key string, places array<int>").select("key", F.explode("places").alias("place")).distinct()
-             .groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("removed")))
+    return both.mapInArrow(run, "key string, places array<int>").where(F.size("places") > 0)
+
+
+def merged(found: DataFrame) -> DataFrame:
+    return (found.select("key", F.explode("places").alias("place")).distinct()
+            .groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("removed")))
+
+
+def left_over(texts: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
+    """``found`` with what aligning all earlier holders would delete besides.
+
+    A line that stays is open if a run around it, long enough to count, is held by an earlier class. Open runs
+    are tried against 16 earlier holders (the first of each part of their keys), then 256, and so on, at last
+    against all; those that a holder deletes leave the search."""
+    held = windows(texts, min_chars)
+    known = stage(held.groupBy("window").agg(F.count("*").alias("df"), F.min("d").alias("lead")).where("df > 1"), "runs")
+    shared = stage(held.join(known, "window"), "shared")
+    stays = lambda rows, gone: (rows.join(gone, rows["d.key"] == gone["key"], "left")
+                                .where(F.size(F.array_except("places", F.coalesce("removed", F.array().cast("array<int>")))) > 0).drop("key", "removed"))
+    rows = stage(stays(shared.where("lead < d").drop("lead"), found), "open")
+    holders = shared.select("window", F.col("d").alias("e")).join(rows.select("window").distinct(), "window", "left_semi")
+    width = 16
+    while (most := rows.agg(F.max("df")).first()[0]) is not None:
+        tried = holders
+        if width < most:
+            part = F.pmod(F.xxhash64("e.key"), F.lit(width)).alias("part")
+            tried = holders.groupBy("window", part).agg(F.min("e").alias("e")).select("window", "e")
+        pair = rows.select("window", "d").join(tried, "window").where("e < d").select(F.col("d.key").alias("later"), F.col("e.key").alias("earlier")).distinct()
+        now = stage(aligned(pair, texts, min_chars).union(found.select("key", F.col("removed").alias("places"))), "tried")
+        found = stage(merged(now), "removed")
+        if width >= most:
+            break
+        rows = stage(stays(rows, found), "open")
+        width *= 16
+    return found
+
+
+def removals(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``(key, first, removed)`` of each distinct text: the id that leads it and the places, among its lines that
+    are not blank, to delete from the leading document."""
+    lines = classes(docs, id_col, text_col)
+    first = stage(lines.groupBy("key").agg(F.min("id").alias("first")), "first")
+    texts = stage(lines.select("key", "lines", "sizes").dropDuplicates(["key"]).join(first, "key"), "texts")
+    found = merged(aligned(pairs(texts, rare), texts, min_chars))
+    if whole:
+        found = left_over(texts, stage(found, "removed"), min_chars)
     return first.join(found, "key", "left")
 
 
-def deduplicate(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+                whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_lines`` (not blank), ``n_removed``, ``is_copy`` (of an earlier document),
-    ``kept``, the text left, and the columns ``carry`` as they are."""
-    found = stage(removals(docs, rare, min_chars, id_col, text_col), "removals")
+    ``kept``, the text left, and the columns ``carry`` as they are. ``whole`` compares with all earlier holders of a line."""
+    found = stage(removals(docs, rare, min_chars, id_col, text_col, whole), "removals")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.md5(text.cast("binary")).alias("key"),
                        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]).join(found, "key")

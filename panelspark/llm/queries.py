@@ -90,7 +90,7 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = linededup.deduplicate(table(spark, folder, "documents"))
+    found = linededup.deduplicate(table(spark, folder, "documents"), whole=True)
     return found.select("doc_id", "n_lines", "n_removed", "is_copy", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -75,6 +75,17 @@ def test_query(spark):
     assert got == want and sum(r[2] for r in got) > 0
 
 
+def test_all_holders_of_frequent_lines(spark):
+    license, note = "the license that everybody has in their files", "the note that everybody has in their files too"
+    rows = [(0, f"{license}\nfirst own line\n{note}")] + [(i, f"{note}\nown line of {i}\n{license}") for i in range(1, 30)]
+    rnd = random.Random(8)
+    pool = [f"line number {k} of the pool of lines" for k in range(12)] + [f"short {k}" for k in range(6)]
+    rows += [(100 + i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 12)))) for i in range(150)]
+    got = linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, rare=10**9)) != sorted(brute(rows))
+    assert all(r.n_removed == 2 for r in got if 2 <= r.doc_id < 30)
+
+
 def test_passages_held_twice():
     assert linededup.common_blocks([1, 8, 9, 2, 8, 9, 3], [4, 8, 9, 5], [20] * 4, 30) == [1, 2]
     assert linededup.common_blocks([1, 8, 9, 3], [4, 8, 9, 5, 8, 9, 6], [20] * 7, 30) == [1, 2, 4, 5]
