@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Documents are rows (doc_id, text, lang, source, n_chars). Rows that share an id are one document and share
-its decisions; rows without an id share theirs. Null texts are empty texts, null hosts no hosts; other
+Documents are rows (doc_id, text, lang, source, n_chars). Every row is decided by its own text and host, also
+where ids repeat or are missing; rows alike in id, text and host are one document. Null texts are empty texts, null hosts no hosts; other
 columns than the five are not read. Every stage decides on what the stage before it kept.
 """
 
@@ -16,15 +16,22 @@ from panelspark.session import stage
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is in ``kept``."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _named(docs: DataFrame) -> DataFrame:
+    """The rows with ``_row``, a digest of all that a verdict can depend on. Rows that share it are alike."""
+    digest = lambda c: F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-"))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return docs.select(*COLUMNS, F.md5(F.concat(digest("doc_id"), text, digest("source")).cast("binary")).alias("_row"))
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose ``_row`` is in ``kept``."""
+    return rows.join(kept.select("_row").distinct(), "_row", "left_semi").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or whose host does, go."""
-    return _only(docs, hostrules.verdicts(docs).where("kept"))
+    rows = _named(docs)
+    return _only(rows, hostrules.verdicts(rows, id_col="_row").where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +41,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays. Documents without an id stay if
-    a group has nothing else."""
-    return _only(docs, simhash.near_duplicates(docs, ngram=4, distance=4).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of linked fingerprints the document with the smallest id stays, with its repeated rows. If no
+    document of a group has an id, one row of it stays."""
+    rows = _named(docs)
+    groups = simhash.near_duplicates(rows, ngram=4, distance=4, id_col="_row").select("_row", "component_id").distinct()
+    found = stage(groups.join(rows.select("_row", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key")).distinct(), "_row"), "groups")
+    lead = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "_row")).alias("lead"))
+    same = (F.col("doc_id") == F.col("lead.doc_id")) & (F.col("key") == F.col("lead.key"))
+    kept = stage(found.join(lead, "component_id").where((F.col("_row") == F.col("lead._row")) | same), "kept").select("_row")
+    with_id = _only(rows.where("doc_id IS NOT NULL"), kept)
+    return with_id.union(rows.where("doc_id IS NULL").join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return _only(docs, decontam.contamination(docs, queries.table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+    rows = _named(docs)
+    return _only(rows, decontam.contamination(rows, queries.table(spark, sf_dir, "benchmark"), id_col="_row").where("n_hit = 0"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

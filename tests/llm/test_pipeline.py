@@ -64,3 +64,16 @@ def test_stages_with_odd_rows(spark):
             frame.collect()
         ids = sorted(str(r.doc_id) for r in corpus_pipeline.tokenize(spark, frame, folder).collect())
         assert ids in ([], ["1", "1", "4", "None"])
+
+
+def test_rows_without_id_are_decided_one_by_one(spark):
+    folder = "/root/testdata/sf0.001"
+    leak = next(r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("text").collect() if len((r.text or "").split()) > 12)
+    plain = " ".join(f"word{i}" for i in range(60))
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda step, rows: sorted((r.doc_id or 0, r.text) for r in step(spark, frame(rows), folder).collect())
+    assert texts(corpus_pipeline.decontaminate, [(None, plain), (None, leak), (5, plain), (5, leak)]) == [(0, plain), (5, plain)]
+    assert texts(corpus_pipeline.quality, [(None, plain), (None, "few"), (5, plain), (5, "few"), (6, plain), (7, plain)]) == [(0, plain), (5, plain), (6, plain), (7, plain)]
+    other = " ".join(f"else{i}" for i in range(60))
+    rows = [(None, plain)] * 3 + [(3, other), (4, other), (3, other), (None, other)]
+    assert texts(corpus_pipeline.near_dedup, rows) == [(0, plain), (3, other), (3, other)]
