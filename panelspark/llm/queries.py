@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chat, decontam, hostrules, langid, linededup, pii, simhash, suffix, toxicity
+from panelspark.llm import bpe, chat, crosstok, decontam, hostrules, importance, langid, linededup, linkgraph, pii, simhash, suffix, toxicity
 from panelspark.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,19 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_suffix")
 def op6_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, folder, "documents"), length=50)
+
+
+@query("op11_cross_tokenizer")
+def op11_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    return crosstok.digest(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op12_url_filters", linkgraph.SQL)
+def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return linkgraph.judge(table(spark, folder, "pages"))
+
+
+@query("op13_importance_resampling")
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
