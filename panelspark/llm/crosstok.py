@@ -4,11 +4,12 @@ Side A is a byte-level BPE file of ``tokenizers`` and encodes a blank and the te
 model that adds the blank itself. The offsets of A (in characters) and the spans of B (in bytes) are the coarse
 cuts. Where a span does not have the length of the token's decoded bytes, that is inside a character of several
 bytes and for byte-fallback pieces, the cut is refined by those bytes. Tokens between two offsets at which both
-sides end form a group; an A and a B token are linked if their byte ranges overlap.
+sides end form a group; an A and a B token are linked if their byte ranges overlap. (The installed ``sentencepiece``
+refuses ``immutable_proto``; its ``proto`` has the same spans.)
 
-Neither tokenizer joins anything over a single blank between two visible characters, so a text is aligned piece by
-piece between such blanks, and short pieces are remembered by a task (forgetting them changes no result). A model
-with pieces that cross a blank, or with another pre-tokenizer, is refused.
+Neither tokenizer joins anything over a single blank between two visible characters, so a text is cut at such blanks.
+A task remembers short pieces (forgetting them changes no result); the new pieces of a batch go through both libraries
+in one call, joined by blanks. A model with pieces that cross a blank, or with another pre-tokenizer, is refused.
 
 The count of an id pair is the number of documents that hold it linked. Documents keep their distinct pairs packed;
 tasks count the pairs of each batch first. The most frequent pairs, ``HOT_PAIRS`` at most whatever the input, travel
@@ -23,9 +24,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 from typing import NamedTuple
 
@@ -39,11 +40,14 @@ from panelspark.llm.bpe import byte_chars
 from panelspark.session import stage
 
 HOT_PAIRS = 1 << 18
-CACHED = 200_000
-LONG = 64
+REMEMBERED = 150_000  # pieces in each of two generations that a task remembers
+LONG = 64  # longer pieces are aligned each time they occur
+CHUNK = 200_000  # characters that go through the tokenizers at once, one piece at least
 # A blank between two characters that neither side can take for white space.
-CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+CUT, VISIBLE = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"), re.compile(r"[!-~\w]")
 BLANK = "▁"
+END = "\n"
+ROWS = 512
 
 
 class Aligned(NamedTuple):
@@ -56,37 +60,23 @@ class Aligned(NamedTuple):
     pairs: tuple[int, ...]
 
 
-def byte_ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """Where each token ends: at the end of its coarse span if that has the size of the token's bytes, else that
-    many bytes after the token before."""
-    ends, at = [], 0
-    for (begin, end), size in zip(spans, sizes):
-        at = end if end - begin == size else at + size
-        ends.append(at)
-    return ends
+def byte_ends(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where each token ends: at the end of its coarse span if that has the size of the token's bytes, else as many
+    bytes after the last token for which it has."""
+    clean = ends - begins == sizes
+    reach = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(clean, np.arange(len(sizes)), -1))
+    return np.where(last >= 0, ends[last] + reach - reach[last], reach)
 
 
-def merge(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int], base: int) -> Aligned:
-    """One walk over both lists of cuts. Both end at the same byte."""
-    groups, pairs, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        pairs.append(a[i] * base + b[j])
-        x, y = ends_a[i], ends_b[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
-    return Aligned(len(a), len(b), len(groups), ";".join(groups), tuple(pairs))
-
-
-class Aligner(dict):
-    """Piece of text -> its alignment, or None if a side does not give its bytes back."""
+class Aligner:
+    """Both tokenizers, and the alignments of pieces that a task has seen: None where a side does not give the
+    bytes of a piece back. Pieces are remembered in two generations; the older one is forgotten when the newer is full."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        super().__init__()
         spec = json.loads(Path(path_a).read_text(encoding="utf-8"))
         before = spec["pre_tokenizer"] or {}
         if spec["normalizer"] or spec["post_processor"] or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
@@ -94,57 +84,141 @@ class Aligner(dict):
         self.a = Tokenizer.from_file(path_a)
         self.a.no_padding(), self.a.no_truncation()
         self.a.encode_special_tokens = True
-        byte = {c: i for i, c in enumerate(byte_chars())}
-        # Added tokens stand for themselves; with encode_special_tokens none is made from a text.
-        self.bytes_a = {i: bytes(byte[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in byte for c in s)}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.base = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.base)]
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces):
             raise ValueError("side B has pieces that cross a blank")
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
-        self.ids = max(self.bytes_a) + 1
-
-    def __missing__(self, piece: str) -> Aligned | None:
-        out = self.align(piece)
-        if len(piece) <= LONG:
-            if len(self) >= CACHED:
-                self.clear()
-            self[piece] = out
+        byte = {c: i for i, c in enumerate(byte_chars())}
+        bytes_a = {i: bytes(byte[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in byte for c in s)}
+        # Added tokens stand for themselves; with encode_special_tokens none is made from a text.
+        self.bytes = ([bytes_a.get(i, b"") for i in range(self.a.get_vocab_size())],
+                      [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)])
+        self.sizes = [np.array([len(t) for t in side], np.int64) for side in self.bytes]
+        # Every id of A and B as text before a token of its side, before the other side, before a group, and at the end.
+        self.marks = [[f"{i}{mark}" for i in range(len(self.bytes[side])) for mark in marks] for side, marks in ((0, ",|"), (1, f",;{END}"))]
+        self.new: dict[str, Aligned | None] = {}
+        self.old: dict[str, Aligned | None] = {}
+
+    def pieces(self, wanted: Iterable[str]) -> dict[str, Aligned | None]:
+        """The alignment of each of the given pieces."""
+        out, missing, size = {}, [], 0
+        for piece in wanted:
+            if piece in self.new:
+                out[piece] = self.new[piece]
+            elif piece in self.old:
+                out[piece] = self._keep(piece, self.old[piece])
+            elif not VISIBLE.match(piece) or not VISIBLE.match(piece, len(piece) - 1):
+                self._learn([piece], out)  # begins or ends a text with white space, which a neighbour would touch
+            else:
+                missing.append(piece)
+                size += len(piece)
+                if size > CHUNK:
+                    self._learn(missing, out)
+                    missing, size = [], 0
+        self._learn(missing, out)
         return out
 
-    def align(self, piece: str) -> Aligned | None:
-        text = " " + piece
-        raw = text.encode()
-        made = self.a.encode(text, add_special_tokens=False)
-        ids_a, bytes_a = made.ids, [self.bytes_a.get(i, b"") for i in made.ids]
-        found = self.b.encode(piece, return_type="proto").pieces
-        ids_b = [p.id for p in found]
-        bytes_b = [self.bytes_b[i] for i in ids_b]
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+    def _keep(self, piece: str, made: Aligned | None) -> Aligned | None:
+        if len(piece) <= LONG:
+            if len(self.new) >= REMEMBERED:
+                self.new, self.old = {}, self.new
+            self.new[piece] = made
+        return made
+
+    def _learn(self, missing: list[str], out: dict) -> None:
+        """Align new pieces, joined by blanks, in one call. If their bytes are not given back, halves are tried."""
+        if not missing:
+            return
+        made = self.align(missing)
+        if made is None and len(missing) > 1:
+            half = len(missing) // 2
+            self._learn(missing[:half], out)
+            self._learn(missing[half:], out)
+            return
+        for piece, one in zip(missing, made or [None]):
+            out[piece] = self._keep(piece, one)
+
+    def align(self, pieces: list[str]) -> list[Aligned] | None:
+        """The alignments of pieces, or None if a side does not give all bytes back."""
+        joined = " ".join(pieces)
+        text, raw = " " + joined, (" " + joined).encode()
+        made, found = self.a.encode(text, add_special_tokens=False), self.b.encode(joined, return_type="proto").pieces
+        listed = [made.ids, [p.id for p in found]]
+        if any(b"".join(map(table.__getitem__, ids)) != raw for table, ids in zip(self.bytes, listed)):
             return None
-        at = range(len(raw) + 1) if len(raw) == len(text) else [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
-        spans_a = [(at[s], at[e]) for s, e in made.offsets]
-        # The spans of B leave out the blank before the text, which belongs to its first piece.
-        spans_b = [(p.begin + 1 if n else 0, p.end + 1) for n, p in enumerate(found)]
-        return merge(ids_a, byte_ends(spans_a, list(map(len, bytes_a))), ids_b, byte_ends(spans_b, list(map(len, bytes_b))), self.base)
-
-    def text(self, text: str | None) -> tuple:
-        """n_a, n_b, n_groups, n_links, groups (None without tokens), distinct pairs and how often each is linked."""
-        parts = CUT.split(text) if text else []
-        often = Counter(parts)
-        own = {p: self[p] for p in often}
-        if not parts or None in own.values():
-            return 0, 0, 0, 0, None, [], []
-        total, links = [0, 0, 0], Counter()
-        for part, times in often.items():
-            for k in range(3):
-                total[k] += times * own[part][k]
-            for pair in own[part].pairs:
-                links[pair] += times
-        pairs = sorted(links)
-        times = [links[p] for p in pairs]
-        return *total, sum(times), ";".join([own[p].groups for p in parts]), pairs, times
+        ids = [np.array(i, np.int64) for i in listed]
+        # Spans of A count characters; those of B count bytes and leave out the blank before the text, which belongs to its first piece.
+        spans = np.fromiter(chain.from_iterable(made.offsets), np.int64, 2 * len(ids[0])).reshape(-1, 2)
+        if len(raw) != len(text):
+            code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            spans = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])[spans]
+        begin_b = np.array([p.begin for p in found], np.int64) + 1
+        begin_b[0] = 0
+        ends = [byte_ends(spans[:, 0], spans[:, 1], self.sizes[0][ids[0]]), byte_ends(begin_b, np.array([p.end for p in found], np.int64) + 1, self.sizes[1][ids[1]])]
+        return self._cut(pieces, ids, ends)
+
+    def _cut(self, pieces: list[str], ids: list[np.ndarray], ends: list[np.ndarray]) -> list[Aligned]:
+        """Groups and links from the cuts of both sides, piece by piece. Every piece ends with a common cut."""
+        stops = np.cumsum([1 + len(p.encode()) for p in pieces])
+        ending = np.zeros((2, stops[-1] + 1), bool)
+        for side in (0, 1):
+            ending[side, ends[side]] = True
+        before = np.cumsum(ending, axis=1) - ending  # tokens that end earlier
+        every = np.flatnonzero(ending.any(axis=0))  # between two neighbours lies one A and one B token: a link
+        pairs = ids[0][before[0, every]] * self.base + ids[1][before[1, every]]
+        common = np.flatnonzero(ending.all(axis=0))
+        group = [np.searchsorted(common, e) for e in ends]
+        count = [np.bincount(g, minlength=len(common)) for g in group]
+        # The last token of a side in its group has the mark that comes after the side.
+        final = [ending[1 - side, ends[side]].astype(np.int64) for side in (0, 1)]
+        final[1][before[1, stops]] = 2
+        place = [np.arange(len(group[0])) + (np.cumsum(count[1]) - count[1])[group[0]], np.arange(len(group[1])) + np.cumsum(count[0])[group[1]]]
+        shown = np.empty(len(ids[0]) + len(ids[1]), object)
+        for side in (0, 1):
+            marks = self.marks[side]
+            shown[place[side]] = [marks[k] for k in (ids[side] * (2 + side) + final[side]).tolist()]
+        groups = "".join(shown.tolist()).split(END)
+        numbers = [np.diff(np.searchsorted(e, stops, side="right"), prepend=0).tolist() for e in (*ends, common)]
+        at, links = [0, *np.searchsorted(every, stops, side="right").tolist()], pairs.tolist()
+        return [Aligned(*counts, shape, tuple(links[lo:hi])) for *counts, shape, lo, hi in zip(*numbers, groups, at, at[1:])]
+
+    def texts(self, texts: list[str | None]) -> list[tuple]:
+        """For each text n_a, n_b, n_groups, n_links, groups (None without tokens), its distinct pairs in ascending
+        order and how often each is linked, both packed."""
+        parts = [CUT.split(t) if t else [] for t in texts]
+        number: dict[str, int] = {}
+        at = [[number.setdefault(p, len(number)) for p in own] for own in parts]
+        known = self.pieces(number)
+        made = [known[p] for p in number]
+        empty = Aligned(0, 0, 0, "", ())
+        lost = {k for k, m in enumerate(made) if m is None}
+        valid = [bool(own) and (not lost or lost.isdisjoint(own)) for own in at]
+        made = [m or empty for m in made]
+        owner = np.repeat(np.arange(len(texts)), [len(own) if ok else 0 for own, ok in zip(at, valid)])
+        piece = np.fromiter(chain.from_iterable(own for own, ok in zip(at, valid) if ok), np.int64, len(owner))
+        counts = np.array([m[:3] for m in made], np.int64).reshape(-1, 3)
+        sizes = np.array([len(m.pairs) for m in made], np.int64)
+        flat = np.fromiter(chain.from_iterable(m.pairs for m in made), np.int64, int(sizes.sum()))
+        own_links = sizes[piece]
+        # The links of all texts: the links of their pieces, one range after the other.
+        where = np.repeat((np.cumsum(sizes) - sizes)[piece] - (np.cumsum(own_links) - own_links), own_links) + np.arange(int(own_links.sum()))
+        # Text and pair in one number, so that one sort groups the links.
+        span = len(self.bytes[0]) * self.base
+        keys = np.sort(np.repeat(owner, own_links) * span + flat[where])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        often = np.diff(np.append(first, len(keys)))
+        of, distinct = np.divmod(keys[first], span)
+        bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+        total = [np.bincount(owner, counts[piece, k], len(texts)).astype(np.int64).tolist() for k in range(3)]
+        links = np.bincount(of, often, len(texts)).astype(np.int64).tolist()
+        shapes = [m.groups for m in made]
+        out = []
+        for t, (own, ok) in enumerate(zip(at, valid)):
+            lo, hi = bounds[t], bounds[t + 1]
+            out.append((*[c[t] for c in total], links[t], ";".join([shapes[k] for k in own]) if ok else None,
+                        distinct[lo:hi].astype("<i8").tobytes(), often[lo:hi].astype("<i4").tobytes()))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -164,12 +238,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(path_a, path_b)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                made = list(zip(*map(tool.text, part.column(1).to_pylist())))
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                made = list(zip(*tool.texts(part.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *[pa.array(c, pa.int64()) for c in made[:4]], pa.array(made[4], pa.string()),
-                     pa.array([np.array(p, "<i8").tobytes() for p in made[5]], pa.binary()), pa.array([np.array(t, "<i4").tobytes() for t in made[6]], pa.binary())],
+                     pa.array(made[5], pa.binary()), pa.array(made[6], pa.binary())],
                     names=["_id", *counts, "groups", "pairs", "times"])
 
     return source.mapInArrow(run, schema).withColumnRenamed("_id", id_col)

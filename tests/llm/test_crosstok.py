@@ -92,16 +92,26 @@ def test_any_text(text):
 
 
 def assert_same(sides, text):
-    got = crosstok.aligner(A, B).text(text)
+    [got] = crosstok.aligner(A, B).texts([text])
     both = token_bytes(sides, text)
     if both is None:
-        assert got == (0, 0, 0, 0, None, [], [])
+        assert got == (0, 0, 0, 0, None, b"", b"")
         return
     n_a, n_b, n_groups, n_links, _, _, sha = brute(sides, [text])[0]
     assert got[:4] == (n_a, n_b, n_groups, n_links) and hashlib.sha256(got[4].encode()).hexdigest() == sha
     assert [i for g in got[4].split(";") for i in g.split("|")[0].split(",")] == [str(i) for i, _ in both[0]]
 
 
+def test_forgetting_changes_nothing(sides, monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 97}x" for i in range(60)) for k in range(1, 30)] + ODD
+    want = crosstok.Aligner(A, B).texts(texts)
+    monkeypatch.setattr(crosstok, "REMEMBERED", 7)
+    monkeypatch.setattr(crosstok, "CHUNK", 40)
+    small = crosstok.Aligner(A, B)
+    assert [r for t in texts for r in small.texts([t])] == want == small.texts(texts)
+    assert len(small.new) <= 7 and len(small.old) <= 7
+
+
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
