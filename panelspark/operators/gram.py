@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from panelspark.functions.tails import t_pvalue, t_two_sided
 
 NATIVE_LIMIT = 5  # columns; beyond 15 pair aggregates the matrix product is the faster way
-COLUMN_LIMIT = 1500  # a packed row of this width is 9 MB
+COLUMN_LIMIT = 1500  # a packed row of this width is 9 MB; ``tiles`` has no such limit
+TILED_OVER = 100  # columns from which cross-products without groups go by tiles
 
 
 def _names(df_by) -> list[str]:
@@ -147,6 +148,14 @@ def gram(df: DataFrame, cols: list[str], by=None, method: str = "auto") -> DataF
     A constant column has no scale and stays at zero.
     """
     m, by = len(cols), _names(by)
+    if m > TILED_OVER and not by:
+        from panelspark.operators import tiles
+
+        cell = tiles.cells(tiles.tiled_gram(df, cols))
+        s = F.coalesce(F.col("corr") * F.col("n"), F.lit(0.0))
+        name = lambda c: F.element_at(F.array(*map(F.lit, cols)), F.col(c) + 1)
+        both = cell.select("i", "j", s.alias("s")).unionAll(cell.where("i < j").select("j", "i", s))
+        return both.select(name("i").alias("i"), name("j").alias("j"), "s")
     at = {(i, j): k for k, (i, j) in enumerate((i, j) for i in range(m) for j in range(i, m))}
     cell = lambda i, j: F.col("cp")[at[min(i, j), max(i, j)]]
     scale = lambda i: F.sqrt(cell(i, i) / F.col("n"))
@@ -182,6 +191,8 @@ class Gram:
 
     def __add__(self, other: "Gram") -> "Gram":
         n = self.n + other.n
+        if not n:
+            return self
         gap = other.mean - self.mean
         return Gram(n, self.mean + gap * (other.n / n), self.cp + other.cp + np.outer(gap, gap) * (self.n * other.n / n))
 
