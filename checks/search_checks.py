@@ -19,10 +19,11 @@ SOURCES = ["casos_uci", "casos", "aemet", "googletrends", "mitma", "mscbs", "hol
 
 
 @check("subsets", """
-WITH m AS (SELECT i AS mask FROM range(1, 128) t(i)), s AS (SELECT * FROM (VALUES (0, 'casos_uci'), (1, 'casos'), (2, 'aemet'), (3, 'googletrends'), (4, 'mitma'), (5, 'mscbs'), (6, 'holidays')) v(b, name))
-SELECT mask, string_agg(name, ',' ORDER BY b) AS members, count(*) AS length FROM m JOIN s ON (mask >> b) % 2 = 1 GROUP BY ALL""")
+WITH m AS (SELECT unnest(range(1, 1 << (SELECT count(*) FROM region)::INTEGER)) AS mask), s AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS b, r_name AS name FROM region)
+SELECT mask, string_agg(name, ',' ORDER BY b) AS members, count(*) AS length FROM m JOIN s ON (mask >> b::INTEGER) % 2 = 1 GROUP BY ALL""")
 def subsets(spark, d):
-    return Q.subsets(spark, SOURCES).select("mask", F.concat_ws(",", "members").alias("members"), F.col("length").cast("bigint").alias("length"))
+    names = [x.r_name for x in table(spark, d, "region").orderBy("r_regionkey").select("r_name").collect()]
+    return Q.subsets(spark, names).select("mask", F.concat_ws(",", "members").alias("members"), F.col("length").cast("bigint").alias("length"))
 
 
 def lagged(df, name, cols, lags, how="sum", keys=("prov",)):
@@ -119,9 +120,9 @@ def search_single(spark, d):
 
 @check("backward")
 def backward(spark, d):
+    """All columns of two sources, fitted once and thinned out."""
     df, y, groups = search_design(spark, d)
-    columns = {c: [c] for c in [*groups["casos"], *groups["holidays"]]}
-    return Q.coefficients(Q.search_subsets(df, y, columns).where(F.col("length") == len(columns)))
+    return Q.fit_one(df, y, [*groups["casos"], *groups["holidays"]]).terms(spark)
 
 
 @check("column_search")
@@ -157,3 +158,84 @@ def walk_forward_mean(spark, d):
        + f"SELECT l.prov, CAST(l.fecha AS VARCHAR) AS fecha, CAST(y AS DOUBLE) AS y, {r('prev + a + b * x')} AS yhat FROM h JOIN l ON l.prov = h.prov AND l.fecha = origin")
 def walk_forward_ar1(spark, d):
     return shown(Q.walk_forward(small_panel(spark, d), ["prov"], "fecha", "num_casos", 1, 1, 10))
+
+
+# Closed forms on two columns: what the search says about every subset.
+TERMS = """sd AS (SELECT sqrt(saa / n) AS da, sqrt(sbb / n) AS db, e.* FROM e, (SELECT count(*) AS n FROM t WHERE split = 'train')),
+terms AS (SELECT 'a' AS combination, my AS c0, ka * da AS c1, NULL::DOUBLE AS c2 FROM sd UNION ALL SELECT 'b', my, NULL, kb * db FROM sd UNION ALL SELECT 'a,b', my, ba * da, bb * db FROM sd)"""
+
+
+@check("coefficients_two", with_(*TWO, PAIR_TRAIN, TERMS) + "\nUNION ALL ".join(
+    f"SELECT combination, '{f}' AS feature, {r(c, 4)} AS coefficient FROM terms WHERE {c} IS NOT NULL" for f, c in (("const", "c0"), ("a", "c1"), ("b", "c2"))))
+def coefficients_two(spark, d):
+    out = Q.coefficients(Q.search_subsets(two_columns(spark, d), "y", {"a": ["a"], "b": ["b"]}, eliminate=False))
+    return out.select("combination", "feature", F.round("coefficient", 4).alias("coefficient"))
+
+
+@check("coef_matrix_two", with_(*TWO, PAIR_TRAIN, TERMS) + f"SELECT combination, {r('c0', 4)} AS const, {r('c1', 4)} AS a, {r('c2', 4)} AS b FROM terms")
+def coef_matrix_two(spark, d):
+    terms = Q.coefficients(Q.search_subsets(two_columns(spark, d), "y", {"a": ["a"], "b": ["b"]}, eliminate=False))
+    return shown(coef_matrix(terms, ["const", "a", "b"]), 4)
+
+
+ALL_SCORES = "\nUNION ALL ".join([scores("a", 1, 1, "my + ka * (a - ma)"), scores("b", 2, 1, "my + kb * (b - mb)"), scores("a,b", 3, 2, "my + ba * (a - ma) + bb * (b - mb)")])
+
+
+@check("candidates_two", with_(*TWO, PAIR_TRAIN) + f"SELECT * FROM ({ALL_SCORES}) WHERE combination IN ('b', 'a,b') ORDER BY r2_test DESC, length, mask LIMIT 1")
+def candidates_two(spark, d):
+    """The best subset that holds a given source."""
+    out = Q.candidates(Q.search_subsets(two_columns(spark, d), "y", {"a": ["a"], "b": ["b"]}, eliminate=False), must="b", k=1)
+    return out.select("mask", "combination", "length", "n_features", F.round("r2_adj_train", 5).alias("r2_adj_train"), F.round("r2_test", 5).alias("r2_test"))
+
+
+# The value of a day is explained by its cases; a column without spread explains nothing.
+CLEAR = (NATIONAL, f"t AS (SELECT fecha, {SPLIT} AS split, importe / 1e8 AS y, CAST(casos AS DOUBLE) AS a, 0.0 AS nada FROM national)",
+         "e AS (SELECT regr_slope(y, a) AS b1, regr_intercept(y, a) AS b0, regr_r2(y, a) AS r2, regr_sxx(y, a) AS sxx, regr_syy(y, a) AS syy, count(*) AS n, avg(a) AS ma FROM t WHERE split = 'train')")
+
+
+def clear(spark, d):
+    rows = national(spark, d).select("fecha", (F.col("importe") / 1e8).alias("y"), F.col("casos").cast("double").alias("a"), F.lit(0.0).alias("nada"))
+    return hash_split(rows, "fecha")
+
+
+@check("backward_two", with_(*CLEAR) + f"""SELECT feature, {r('coefficient', 5)} AS coefficient, {r('std_error', 5)} AS std_error FROM (
+SELECT 'const' AS feature, b0 AS coefficient, sqrt((1 - r2) * syy / (n - 2) * (1.0 / n + ma * ma / sxx)) AS std_error FROM e
+UNION ALL SELECT 'a', b1, sqrt((1 - r2) * syy / (n - 2) / sxx) FROM e)""")
+def backward_two(spark, d):
+    """Elimination keeps the clear column and drops the empty one; no subset is fitted."""
+    model = Q.fit_one(clear(spark, d), "y", ["nada", "a"])
+    return shown(model.terms(spark).drop("p_value"), 5)
+
+
+@check("predict_rows", with_(*CLEAR) + f"SELECT CAST(fecha AS VARCHAR) AS fecha, {r('b0 + b1 * a')} AS prediction FROM t, e WHERE split = 'test'")
+def predict_rows(spark, d):
+    rows = clear(spark, d)
+    return shown(Q.fit_one(rows, "y", ["a"], eliminate=False).predict(rows.where("split = 'test'")).select("fecha", "prediction"))
+
+
+@check("fit_one", with_(*TWO, PAIR_TRAIN) + f"""SELECT feature, {r('coefficient', 4)} AS coefficient FROM (
+SELECT 'const' AS feature, my - ba * ma - bb * mb AS coefficient FROM e UNION ALL SELECT 'a', ba FROM e UNION ALL SELECT 'b', bb FROM e)""")
+def fit_one(spark, d):
+    """One named list of columns, without elimination, on the unscaled columns."""
+    return shown(Q.fit_one(two_columns(spark, d), "y", ["a", "b"], eliminate=False).terms(spark).select("feature", "coefficient"), 4)
+
+
+# Every subset on its own rows: columns have holes, and each subset uses the days that have its columns.
+HOLES = (*TWO, "h AS (SELECT fecha, split, y, CASE WHEN day(fecha) % 5 <> 0 THEN a END AS a, CASE WHEN day(fecha) % 3 <> 0 THEN b END AS b FROM t)")
+
+
+def own_sample(name, mask, cols, guess):
+    here = f"t_{mask} AS (SELECT * FROM h WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)})"
+    fitted = PAIR_TRAIN.replace("FROM t ", f"FROM t_{mask} ").replace("s AS", f"s_{mask} AS", 1).replace("\ne AS", f"\ne_{mask} AS").replace("FROM s)", f"FROM s_{mask})")
+    return (here, fitted), scores(name, mask, len(cols), guess).replace("FROM t, e", f"FROM t_{mask}, e_{mask}")
+
+
+OWN = [own_sample("a", 1, "a", "my + ka * (a - ma)"), own_sample("b", 2, "b", "my + kb * (b - mb)"), own_sample("a,b", 3, "ab", "my + ba * (a - ma) + bb * (b - mb)")]
+
+
+@check("search_holes", with_(*HOLES, *[c for ctes, _ in OWN for c in ctes]) + "\nUNION ALL ".join(sql for _, sql in OWN))
+def search_holes(spark, d):
+    rows = two_columns(spark, d)
+    holed = rows.withColumns({"a": F.when(F.day("fecha") % 5 != 0, F.col("a")), "b": F.when(F.day("fecha") % 3 != 0, F.col("b"))})
+    out = Q.search_subsets(holed, "y", {"a": ["a"], "b": ["b"]}, eliminate=False, sample="per_subset")
+    return out.select("mask", "combination", "length", "n_features", F.round("r2_adj_train", 5).alias("r2_adj_train"), F.round("r2_test", 5).alias("r2_test"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +13,9 @@ from pyspark.sql.window import Window as W
 from panelspark.operators.gram import Fit, Gram, fit, load_gram, packed_gram, raw_coefficients, spread
 from panelspark.operators.scalars import with_scalars
 from panelspark.operators.series import series_window
+from panelspark.operators.sweep import Sweeper, gray, superset_sums
 
 SUBSET_LIMIT = 20  # 2**20 fits; each more source doubles the work
-MATRIX_BYTES = 1 << 30  # room for the matrices of all patterns of missing sources
 
 
 def subsets(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -75,65 +77,120 @@ def search_subsets(df: DataFrame, y: str, groups: dict[str, list[str]], split: s
                    limit: float = 0.05, rounds: int = 5, sample: str = "common", tasks: int | None = None) -> DataFrame:
     """Fit every non-empty subset of ``groups`` (name to columns) and score it on the test rows.
 
-    One pass over ``df`` gives the cross-products of train and test; each subset is then solved from
-    them by a task of its own partition, and no row is read again. ``sample='common'`` uses the rows
-    that are complete for all groups; ``'per_subset'`` uses, for each subset, the rows complete for
-    its groups: rows are summed by the set of groups that are missing, and a subset adds up the sums
-    that miss none of its groups. Scaling is by the train rows of the same sample.
+    One pass over ``df`` gives the cross-products of train and test; no row is read again. ``sample='common'`` uses
+    the rows that are complete for all groups: the subsets are dealt out along a Gray code, and a task goes from one
+    to the next by sweeping the columns of one group in or out. ``'per_subset'`` uses, for each subset, the rows
+    complete for its groups: rows are summed by the set of groups that are missing, and the sums of all sets that
+    miss none of a subset's groups are added up for every subset at once, in tasks, with no matrix on the driver.
+    Scaling is by the train rows of the same sample.
     """
     spark, names = df.sparkSession, list(groups)
     if len(names) > SUBSET_LIMIT:
         raise ValueError(f"{len(names)} groups have 2**{len(names)} subsets; the limit is {SUBSET_LIMIT} groups")
     cols = list(dict.fromkeys(c for g in groups.values() for c in g))
     at = {c: i for i, c in enumerate(cols)}
-    used = [sorted({at[c] for c in groups[g]}) for g in names]
+    used = [{at[c] for c in groups[g]} for g in names]
     rows = df.where(F.col(split).isin("train", "test")).where(F.col(f"`{y}`").isNotNull())
-    if sample == "per_subset":
-        filled = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in cols]
-        rows = _null_mask(rows, groups).select("_null", split, y, *filled)
-        room = MATRIX_BYTES // (8 * (len(cols) + 1) ** 2)
-        parts = packed_gram(rows, [*cols, y], ["_null", split]).limit(room + 1).collect()
-        if len(parts) > room:
-            raise ValueError(f"more than {room} patterns of missing sources; fill the sources or use sample='common'")
-        grams = {(r["_null"], r[split]): Gram.unpack(r["n"], r["mean"], r["cp"]) for r in parts}
-    else:
-        grams = {(0, s): g for s, g in load_gram(packed_gram(rows, [*cols, y], split), split).items()}
-    y_at = len(cols)
-
-    def pick(mask: int, part: str) -> Gram | None:
-        total = None
-        for (missing, s), g in grams.items():
-            if s == part and missing & mask == 0:
-                total = g if total is None else total + g
-        return total
-
-    def one(mask: int) -> dict:
+    y_at, n = len(cols), 2 ** len(names) - 1
+
+    def columns_of(mask: int) -> set[int]:
+        return set().union(*[u for i, u in enumerate(used) if mask >> i & 1])
+
+    def one(mask: int, train: Gram | None, test: Gram | None, sweeper: Sweeper | None) -> dict:
         members = [i for i in range(len(names)) if mask >> i & 1]
-        xs = sorted({x for i in members for x in used[i]})
-        train, test = pick(mask, "train"), pick(mask, "test")
         out = {"mask": mask, "combination": ",".join(names[i] for i in members), "columns": [], "length": len(members), "n_features": 0,
                "n_train": train.n if train else 0, "n_test": test.n if test else 0, "r2_adj_train": None, "r2_test": None,
                "status": "no rows", "terms": []}
-        if train is None or test is None or train.n < 3:
+        if train is None or test is None or train.n < 3 or not test.n:
             return out
-        model = backward(train, xs, y_at, limit, rounds) if eliminate else fit(train, xs, y_at)
+        sweeper = sweeper or Sweeper(train, y_at)
+        sweeper.move(columns_of(mask))
+        model = sweeper.eliminate(limit, rounds) if eliminate else sweeper.model()
         if model is None:
             return {**out, "status": "no term left"}
-        p_values = model.p
         features = (["const"] if model.constant else []) + [cols[i] for i in model.order]
-        terms = [{"feature": a, "coefficient": float(b), "p_value": float(p)} for a, b, p in zip(features, model.coef, p_values)]
+        terms = [{"feature": a, "coefficient": float(b), "p_value": float(p)} for a, b, p in zip(features, model.coef, model.p)]
         score = r2_on(test, train, model, y_at)
-        return {**out, "columns": features, "n_features": len(features), "r2_adj_train": float(model.r2_adj), "r2_test": score,
+        known = lambda v: float(v) if v == v else None
+        return {**out, "columns": features, "n_features": len(features), "r2_adj_train": known(model.r2_adj), "r2_test": known(score),
                 "status": "ok" if np.isfinite(score) and np.isfinite(model.r2_adj) else "degenerate", "terms": terms}
 
-    def solve(batches):
+    if sample == "per_subset":
+        filled = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in cols]
+        complete = _null_mask(rows, groups).select("_null", F.col(split).alias("_split"), y, *filled)
+        parts = packed_gram(complete, [*cols, y], ["_null", "_split"]).withColumnRenamed("_null", "_set")
+        # A subset whose complement holds no set of missing groups has no rows; two empty sums give it a row all the same.
+        nothing = spark.createDataFrame([(0, s, 0, [0.0] * (y_at + 1), [0.0] * ((y_at + 1) * (y_at + 2) // 2)) for s in ("train", "test")],
+                                        "_set bigint, _split string, n bigint, mean array<double>, cp array<double>")
+        # The sets that miss none of a subset's groups are the subsets of its complement.
+        solve = lambda missing, found: one(n ^ missing, found["train"], found["test"], None)
+        return superset_sums(parts.unionByName(nothing), "_split", len(names), y_at + 1, solve, RESULT_SCHEMA).where("mask > 0")
+    grams = load_gram(packed_gram(rows, [*cols, y], split), split)
+    train, test = grams.get("train"), grams.get("test")
+
+    def walk(batches):
+        sweeper = Sweeper(train, y_at) if train else None
         for batch in batches:
-            out = pd.DataFrame([one(int(m)) for m in batch["mask"]])
+            out = pd.DataFrame([one(gray(int(i)), train, test, sweeper) for i in batch["id"]])
             yield out.where(out.notna(), None)
 
-    n = 2 ** len(names) - 1
     width = tasks or max(1, min(spark.sparkContext.defaultParallelism, n // 16 + 1))
-    return spark.range(1, n + 1, 1, width).select(F.col("id").alias("mask")).mapInPandas(solve, RESULT_SCHEMA)
+    return spark.range(1, n + 1, 1, width).mapInPandas(walk, RESULT_SCHEMA)
+
+
+@dataclass
+class LinearModel:
+    """A least squares fit on unscaled columns: one row per term in ``terms``, ``const`` first if it is kept."""
+
+    y: str
+    columns: list[str]
+    features: list[str]
+    coefficient: np.ndarray
+    std_error: np.ndarray
+    p_value: np.ndarray
+    n_train: int
+    n_test: int
+    r2_adj_train: float
+    r2_test: float
+
+    def terms(self, spark: SparkSession) -> DataFrame:
+        rows = zip(self.features, *[map(float, v) for v in (self.coefficient, self.std_error, self.p_value)])
+        return spark.createDataFrame(list(rows), "feature string, coefficient double, std_error double, p_value double")
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """``df`` with the fitted value; NULL where a kept column is."""
+        value = F.lit(0.0)
+        for f, b in zip(self.features, self.coefficient):
+            value = value + (F.lit(float(b)) if f == "const" else F.lit(float(b)) * F.col(f"`{f}`").cast("double"))
+        return df.withColumn(name, value)
+
+
+def fit_one(df: DataFrame, y: str, columns: list[str], split: str = "split", eliminate: bool = True, limit: float = 0.05, rounds: int = 5) -> LinearModel | None:
+    """Fit one list of columns on the train rows that have them all, and score it on such test rows.
+
+    One pass over the rows. Terms are dropped on the standardised scale, as in ``search_subsets``; the result is on the
+    unscaled columns. None without train rows, or when no term is left.
+    """
+    grams = load_gram(packed_gram(df.where(F.col(split).isin("train", "test")), [*columns, y], split), split)
+    train, test = grams.get("train"), grams.get("test")
+    if train is None or train.n < 3:
+        return None
+    sweeper = Sweeper(train, len(columns))
+    sweeper.move(set(range(len(columns))))
+    model = sweeper.eliminate(limit, rounds) if eliminate else sweeper.model()
+    if model is None:
+        return None
+    beta = (model.coef[1:] if model.constant else model.coef) / model.scale
+    # The columns are centred in the fit, so the unscaled form needs a constant even where the fit dropped its own.
+    mean = train.mean[model.order]
+    start = (model.coef[0] if model.constant else 0.0) - float(beta @ mean)
+    sigma2 = model.ssr / model.df_resid if model.df_resid > 0 else np.nan
+    inverse = model.inverse / np.outer(model.scale, model.scale)
+    se = np.sqrt(sigma2 * np.concatenate([[(1.0 / train.n if model.constant else 0.0) + mean @ inverse @ mean], np.diag(inverse)]))
+    p_values = np.asarray(model.p, float)
+    score = r2_on(test, train, model, len(columns)) if test is not None else float("nan")
+    return LinearModel(y, list(columns), ["const", *[columns[i] for i in model.order]], np.concatenate([[start], beta]), se,
+                       p_values if model.constant else np.concatenate([[np.nan], p_values]), train.n, test.n if test else 0, float(model.r2_adj), score)
 
 
 def coefficients(results: DataFrame) -> DataFrame:
