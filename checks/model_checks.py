@@ -134,3 +134,99 @@ def rfe_time(spark, d):
     df = wide_design(spark, d).where("split = 'train'")
     folds = [(f["train_to"], f["test_from"], f["test_to"]) for f in time_folds(df, "fecha", 3, 7).orderBy("fold").collect()]
     return M.rfe_time(df, "fecha", "num_def", features(df), folds, step=6, minimum=6, trees=8, depth=5)[0]
+
+
+def stump(rows, cols, y, by=()):
+    """The best cut of ``rows`` for ``y``, from sums by value: the column, the cut, and the mean on either side."""
+    head = "".join(f"{b}, " for b in by)
+    sums = " UNION ALL ".join(f"SELECT {head}'{c}' AS f, {c} AS x, count(*) AS n, sum({y}) AS s FROM {rows} GROUP BY ALL" for c in cols)
+    upto, whole = f"PARTITION BY {head}f ORDER BY x", f"PARTITION BY {head}f"
+    return (f"stump_v AS ({sums})",
+            f"stump_c AS (SELECT {head}f, x, lead(x) OVER w AS nx, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER ({whole}) AS tn, sum(s) OVER ({whole}) AS ts FROM stump_v WINDOW w AS ({upto}))",
+            f"stump AS (SELECT {head}arg_max(f, g) AS f, arg_max((x + nx) / 2.0, g) AS cut, arg_max(s / n, g) AS lo, arg_max((ts - s) / (tn - n), g) AS hi "
+            f"FROM (SELECT *, s * s / n + (ts - s) * (ts - s) / (tn - n) AS g FROM stump_c WHERE nx IS NOT NULL) {'GROUP BY ALL' if by else ''})")
+
+
+def cut(cols):
+    """What the stump says about a row that has the columns ``cols``."""
+    below = [f"(f = '{c}' AND {c} <= cut)" for c in cols]
+    return f"CASE WHEN {' OR '.join(below)} THEN lo ELSE hi END"
+
+
+# Few distinct values, so that every cut between two of them is tried.
+LINES = "lines AS (SELECT CAST(floor(l_quantity / 5) AS DOUBLE) AS a, CAST(l_linenumber AS DOUBLE) AS b, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem)"
+
+
+def lines(spark, d):
+    return table(spark, d, "lineitem").select(F.floor(F.col("l_quantity") / 5).cast("double").alias("a"), F.col("l_linenumber").cast("double").alias("b"),
+                                              F.col("l_extendedprice").cast("double").alias("y"))
+
+
+def by_value(model, df):
+    return M.predict(model, df).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg("prediction"), 3).alias("prediction"))
+
+
+SHOW_STUMP = f"SELECT a, b, count(*) AS n, {r(f'avg({cut(list('ab'))})', 3)} AS prediction FROM lines, stump GROUP BY ALL"
+
+
+@check("forest_stump", with_(LINES, *stump("lines", "ab", "y")) + SHOW_STUMP)
+def forest_stump(spark, d):
+    """One tree of one cut."""
+    rows = lines(spark, d)
+    return by_value(M.forest(rows, "y", ["a", "b"], trees=1, depth=1, bootstrap=False), rows)
+
+
+@check("importance_stump", with_(LINES, *stump("lines", "ab", "y")) + "SELECT c AS feature, CASE WHEN f = c THEN 1.0 ELSE 0.0 END::DOUBLE AS importance FROM stump, (VALUES ('a'), ('b')) v(c)")
+def importance_stump(spark, d):
+    rows = lines(spark, d)
+    return M.importance(M.forest(rows, "y", ["a", "b"], trees=1, depth=1, bootstrap=False), ["a", "b"], spark)
+
+
+@check("boosting_stump", with_(LINES.replace("AS y FROM", "* l_discount AS y FROM"), *stump("lines", "ab", "y")) + SHOW_STUMP)
+def boosting_stump(spark, d):
+    """One round of one cut, on another target."""
+    rows = table(spark, d, "lineitem").select(F.floor(F.col("l_quantity") / 5).cast("double").alias("a"), F.col("l_linenumber").cast("double").alias("b"),
+                                              (F.col("l_extendedprice").cast("double") * F.col("l_discount")).alias("y"))
+    return by_value(M.boosting(rows, "y", ["a", "b"], rounds=1, depth=1), rows)
+
+
+LINEAR = """s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, regr_sxx(y, a) AS saa, regr_sxx(y, b) AS sbb, regr_sxy(a, b) AS sab, regr_sxy(y, a) AS say, regr_sxy(y, b) AS sby FROM lines),
+e AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM s)"""
+
+
+@check("linear_two", with_(LINES, LINEAR) + f"SELECT a, b, count(*) AS n, {r('avg(my + ba * (a - ma) + bb * (b - mb))', 3)} AS prediction FROM lines, e GROUP BY ALL")
+def linear_two(spark, d):
+    """Two columns have a closed form."""
+    rows = lines(spark, d)
+    return by_value(M.linear(rows, "y", ["a", "b"]), rows)
+
+
+# The axes of two columns by the angle of their covariance; the cut is searched over both coordinates.
+AXES = """s AS (SELECT avg(a) AS ma, avg(b) AS mb, 0.5 * atan2(2 * covar_samp(a, b), var_samp(a) - var_samp(b)) AS t FROM lines),
+turned AS (SELECT a, b, y, round(cos(t) * (a - ma) + sin(t) * (b - mb), 9) AS p, round(cos(t) * (b - mb) - sin(t) * (a - ma), 9) AS q FROM lines, s)"""
+
+
+@check("pca_stump", with_(LINES, AXES, *stump("turned", "pq", "y")) + f"SELECT a, b, count(*) AS n, {r(f'avg({cut(list('pq'))})', 3)} AS prediction FROM turned, stump GROUP BY ALL")
+def pca_stump(spark, d):
+    """One cut on the components of two columns."""
+    rows = lines(spark, d)
+    return by_value(M.pca_forest(rows, "y", ["a", "b"], share=1.0, trees=1, depth=1, bootstrap=False, bins=256), rows)
+
+
+# Folds of a week each; the cut of every fold is searched on the days before it.
+WEEKS = ("k AS (SELECT i AS fold, z - CAST((3 - i) * 7 + 6 AS INTEGER) AS first, z - CAST((3 - i) * 7 AS INTEGER) AS last FROM range(1, 4) t(i), (SELECT max(fecha) AS z FROM days))",
+         "train AS (SELECT fold, casos, diasemana, y FROM days JOIN k ON days.fecha < first)")
+DAYS = "days AS (SELECT fecha, CAST(casos AS DOUBLE) AS casos, CAST(dayofweek(fecha) + 1 AS DOUBLE) AS diasemana, CAST(importe AS DOUBLE) AS y FROM national)"
+FOLD_SCORE = (f"score AS (SELECT k.fold, 1 - avg(pow(y - ({cut(['casos', 'diasemana'])}), 2)) / nullif(var_pop(y), 0) AS r2 FROM k JOIN days ON days.fecha BETWEEN first AND last "
+              "JOIN stump ON stump.fold = k.fold GROUP BY ALL)")
+
+
+@check("rfe_stump", with_(NATIONAL, DAYS, *WEEKS, *stump("train", ["casos", "diasemana"], "y", ["fold"]), FOLD_SCORE)
+       + f"SELECT CAST(n_features AS INTEGER) AS n_features, count(r2) AS folds, {r('avg(r2)')} AS r2, 'casos' AS best FROM score, (VALUES (1), (2)) v(n_features) GROUP BY ALL")
+def rfe_stump(spark, d):
+    """Elimination with trees of one cut: the cut is on the same column whether the other one is there or not."""
+    from panelspark.operators.elimination import RecursiveElimination
+
+    rows = national(spark, d).select("fecha", F.col("casos").cast("double").alias("casos"), F.dayofweek("fecha").cast("double").alias("diasemana"), F.col("importe").cast("double").alias("y"))
+    model = RecursiveElimination(labelCol="y", features=["casos", "diasemana"], step=1, numTrees=1, maxDepth=1, maxBins=256, bootstrap=False).fit(rows)
+    return model.scores(spark).select("n_features", F.col("folds").cast("bigint").alias("folds"), F.round("r2", 6).alias("r2"), F.lit(model.selected[0]).alias("best"))

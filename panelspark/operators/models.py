@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,20 +66,19 @@ def ar_fit(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int =
 
 
 def ar_forecast(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int = 1, horizon: int = 7) -> DataFrame:
-    """Forecast ``horizon`` days on the original level from an AR(p) fit.
+    """Forecast ``horizon`` days on the original level from an AR(p) fit on the level, first or second differences.
 
     The recursion runs in a higher-order function over the last ``p`` differences of each series.
     """
-    if d not in (0, 1):
-        raise ValueError("forecasts are on the level or on first differences")
     fitted = ar_fit(df, keys, date, col, p, d)
     order = F.when(F.col("feature") == "const", 0).otherwise(F.substring("feature", 4, 9).try_cast("int"))
     coefs = fitted.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("k"), "coefficient"))),
                                                   lambda x: x["coefficient"]).alias("_b"))
-    design = ar_design(df, keys, date, col, 0, d).withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(date))))
+    design = (ar_design(df, keys, date, col, 0, d).withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(date))))
+              .withColumn("_prior", F.lag("_y").over(W.partitionBy(*keys).orderBy(date))))
     tail = design.where(F.col("_k") <= max(p, 1)).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_k", "_w"))), lambda x: x["_w"]).alias("_recent"),
-        F.max_by("_y", date).alias("_level"), F.max(date).alias("_last"))
+        F.max_by("_y", date).alias("_level"), F.max_by(F.col("_y") - F.col("_prior"), date).alias("_slope"), F.max(date).alias("_last"))
     both = tail.join(coefs, keys) if keys else with_scalars(tail, coefs).select("*", "_s._b")
     lag_coefs = F.slice("_b", 2, p) if p else F.array().cast("array<double>")
     # The state is the list of differences, newest first: each step puts the next one in front.
@@ -87,14 +87,22 @@ def ar_forecast(df: DataFrame, keys: list[str], date: str, col: str, p: int, d:
         lambda acc, _: F.concat(F.array(F.get("_b", F.lit(0)) + F.aggregate(
             F.zip_with(lag_coefs, F.slice(acc, 1, max(p, 1)), lambda b, x: b * x), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))), acc))
     steps = F.reverse(F.slice(ahead, 1, horizon))
-    walk = both.select(*keys, "_level", "_last", F.posexplode(steps).alias("_h", "_step"))
-    run = F.sum("_step").over(W.partitionBy(*keys).orderBy("_h").rowsBetween(W.unboundedPreceding, 0))
-    value = F.col("_level") + run if d else F.col("_step")
+    walk = both.select(*keys, "_level", "_slope", "_last", F.posexplode(steps).alias("_h", "_step"))
+    upto = W.partitionBy(*keys).orderBy("_h").rowsBetween(W.unboundedPreceding, 0)
+    if d == 2:  # the steps add up to slopes, the slopes to levels
+        walk = walk.withColumn("_step", F.col("_slope") + F.sum("_step").over(upto))
+    value = F.col("_level") + F.sum("_step").over(upto) if d else F.col("_step")
     return walk.select(*keys, (F.col("_h") + 1).alias("step"), F.date_add("_last", F.col("_h") + 1).alias(date), value.alias("forecast"))
 
 
-def _assemble(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
+def _assemble(features: list[str], invalid: str = "error") -> VectorAssembler:
+    return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid=invalid)
+
+
+def incomplete(df: DataFrame, features: list[str]) -> int:
+    """How many rows lack a feature (NULL or NaN): those that ``invalid='skip'`` leaves out."""
+    lacks = F.exists(F.array(*[_q(c).cast("double") for c in features]), lambda v: v.isNull() | F.isnan(v))
+    return df.agg(F.count_if(lacks)).first()[0]
 
 
 def _depth(depth: int) -> int:
@@ -103,46 +111,52 @@ def _depth(depth: int) -> int:
     return depth
 
 
-def forest(train: DataFrame, y: str, features: list[str], trees: int = 100, depth: int = DEPTH_LIMIT, seed: int = 42) -> PipelineModel:
+# The learners stop at a row that lacks a feature. ``invalid='skip'`` leaves such rows out of fit and score, and
+# ``incomplete`` counts them.
+
+def forest(train: DataFrame, y: str, features: list[str], trees: int = 100, depth: int = DEPTH_LIMIT, seed: int = 42, bootstrap: bool = True,
+           bins: int = 32, invalid: str = "error") -> PipelineModel:
     """Random forest in which every split may use all features."""
-    learner = RandomForestRegressor(featuresCol="_features", labelCol=y, numTrees=trees, maxDepth=_depth(depth),
-                                    featureSubsetStrategy="all", seed=seed)
-    return Pipeline(stages=[_assemble(features), learner]).fit(train)
+    learner = RandomForestRegressor(featuresCol="_features", labelCol=y, numTrees=trees, maxDepth=_depth(depth), maxBins=bins,
+                                    featureSubsetStrategy="all", bootstrap=bootstrap, seed=seed)
+    return Pipeline(stages=[_assemble(features, invalid), learner]).fit(train)
 
 
-def boosting(train: DataFrame, y: str, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42) -> PipelineModel:
+def boosting(train: DataFrame, y: str, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42, bins: int = 32,
+             invalid: str = "error") -> PipelineModel:
     """Gradient boosted trees. A depth beyond Spark's limit is an error."""
-    learner = GBTRegressor(featuresCol="_features", labelCol=y, maxIter=rounds, stepSize=rate, maxDepth=_depth(depth), seed=seed)
-    return Pipeline(stages=[_assemble(features), learner]).fit(train)
+    learner = GBTRegressor(featuresCol="_features", labelCol=y, maxIter=rounds, stepSize=rate, maxDepth=_depth(depth), maxBins=bins, seed=seed)
+    return Pipeline(stages=[_assemble(features, invalid), learner]).fit(train)
 
 
-def linear(train: DataFrame, y: str, features: list[str]) -> PipelineModel:
+def linear(train: DataFrame, y: str, features: list[str], invalid: str = "error") -> PipelineModel:
     """Standard scaling and plain least squares."""
     scaler = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
     learner = LinearRegression(featuresCol="_scaled", labelCol=y, solver="normal")
-    return Pipeline(stages=[_assemble(features), scaler, learner]).fit(train)
-
-
-def pca_forest(train: DataFrame, y: str, features: list[str], share: float = 0.999999, trees: int = 1000,
-               depth: int = DEPTH_LIMIT, seed: int = 42) -> PipelineModel:
-    """Centre, project on the fewest components that hold ``share`` of the variance, scale, forest."""
-    head = Pipeline(stages=[_assemble(features), StandardScaler(inputCol="_features", outputCol="_centred", withMean=True, withStd=False)]).fit(train)
-    full = PCA(k=len(features), inputCol="_centred", outputCol="_all").fit(head.transform(train))
-    held, k = 0.0, 0
-    for part in full.explainedVariance:
-        held, k = held + part, k + 1
-        if held >= share:
-            break
+    return Pipeline(stages=[_assemble(features, invalid), scaler, learner]).fit(train)
+
+
+def pca_forest(train: DataFrame, y: str, features: list[str], share: float = 0.999999, trees: int = 1000, depth: int = DEPTH_LIMIT, seed: int = 42,
+               bootstrap: bool = True, bins: int = 32, invalid: str = "error") -> PipelineModel:
+    """Centre, project on the fewest components that hold ``share`` of the variance, scale, forest.
+
+    The components are fitted once, all of them; the leading ones are sliced off.
+    """
+    head = Pipeline(stages=[_assemble(features, invalid), StandardScaler(inputCol="_features", outputCol="_centred", withMean=True, withStd=False),
+                            PCA(k=len(features), inputCol="_centred", outputCol="_all")]).fit(train)
+    held = np.cumsum(head.stages[-1].explainedVariance.toArray())
+    k = min(int(np.searchsorted(held, share)) + 1, len(features))
     tail = Pipeline(stages=[
-        PCA(k=k, inputCol="_centred", outputCol="_components"),
+        VectorSlicer(inputCol="_all", outputCol="_components", indices=list(range(k))),
         StandardScaler(inputCol="_components", outputCol="_scaled", withMean=True, withStd=True),
-        RandomForestRegressor(featuresCol="_scaled", labelCol=y, numTrees=trees, maxDepth=_depth(depth), featureSubsetStrategy="all", seed=seed),
+        RandomForestRegressor(featuresCol="_scaled", labelCol=y, numTrees=trees, maxDepth=_depth(depth), maxBins=bins, featureSubsetStrategy="all",
+                              bootstrap=bootstrap, seed=seed),
     ]).fit(head.transform(train))
     return PipelineModel(stages=[*head.stages, *tail.stages])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("_features", "_scaled", "_centred", "_components")
+    return model.transform(df).drop("_features", "_scaled", "_centred", "_all", "_components")
 
 
 def importance(model: PipelineModel, features: list[str], spark, k: int = 20) -> DataFrame:
@@ -154,38 +168,11 @@ def importance(model: PipelineModel, features: list[str], spark, k: int = 20) ->
 
 def rfe_time(df: DataFrame, date: str, y: str, features: list[str], folds: list[tuple], step: int = 50, minimum: int = 1,
              trees: int = 100, depth: int = DEPTH_LIMIT, seed: int = 42) -> tuple[DataFrame, list[str]]:
-    """Recursive elimination by forest importance, scored by mean R2 over expanding time folds.
+    """Recursive elimination over given folds ``(train_to, test_from, test_to)``: the mean R2 per size, and the features kept.
 
-    ``folds`` holds ``(train_to, test_from, test_to)`` per fold. In each fold the weakest ``step``
-    features are dropped until ``minimum`` are left. Returns the score per size and the features kept
-    by eliminating down to the best size on all rows.
-    """
-    def weakest_first(rows: DataFrame, cols: list[str]):
-        model = forest(rows, y, cols, trees, depth, seed)
-        weights = model.stages[-1].featureImportances.toArray()
-        return model, [c for _, c in sorted(zip(weights, cols), key=lambda x: (x[0], x[1]))]
-
-    def next_size(size: int) -> int:
-        return max(size - step, minimum)
-
-    scores: dict[int, list[float]] = {}
-    for train_to, test_from, test_to in folds:
-        train, test = df.where(_q(date) <= train_to), df.where(_q(date).between(test_from, test_to))
-        cols = list(features)
-        while True:
-            model, ranked = weakest_first(train, cols)
-            error = _q(y) - F.col("prediction")
-            r2 = predict(model, test).agg(1 - F.try_divide(F.avg(error * error), F.var_pop(_q(y)))).first()[0]
-            scores.setdefault(len(cols), []).append(float("nan") if r2 is None else r2)
-            if len(cols) <= minimum:
-                break
-            kept = set(ranked[len(cols) - next_size(len(cols)):])
-            cols = [c for c in cols if c in kept]
-    table = [(size, float(sum(v) / len(v))) for size, v in sorted(scores.items())]
-    best = max(table, key=lambda x: (x[1], -x[0]))[0]
-    cols = list(features)
-    while len(cols) > best:
-        _, ranked = weakest_first(df, cols)
-        kept = set(ranked[len(cols) - max(next_size(len(cols)), best):])
-        cols = [c for c in cols if c in kept]
-    return df.sparkSession.createDataFrame(table, "n_features int, r2 double"), cols
+    ``elimination.RecursiveElimination`` is the estimator behind it."""
+    from panelspark.operators.elimination import RecursiveElimination
+
+    how = RecursiveElimination(labelCol=y, dateCol=date, features=list(features), step=step, minimum=minimum, numTrees=trees, maxDepth=depth, seed=seed)
+    made = how.fit_folds(how._staged(df), folds)
+    return made.scores(df.sparkSession).drop("folds"), made.selected
