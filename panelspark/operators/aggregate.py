@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from panelspark.functions.clean import flat_name
 from panelspark.operators.scalars import with_scalars
@@ -55,9 +56,10 @@ def two_level(df: DataFrame, inner_keys: list[str], outer_keys: list[str], col:
 STATE = ("sum", "count", "mean", "m2", "min", "max")
 
 
-def mergeable_stats(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """State that a later roll-up can merge without loss: sum, count, mean, squared deviations from it, min and max."""
-    aggs = []
+def mergeable_stats(df: DataFrame, keys: list[str], cols: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """State that a later roll-up can merge without loss: sum, count, mean, squared deviations from it, min and max.
+    ``more`` names further aggregates."""
+    aggs = [c.alias(n) for n, c in (more or {}).items()]
     for c in cols:
         value = F.col(f"`{c}`").cast("double")
         made = {"sum": STATS["sum"](value), "count": F.count(value), "mean": F.avg(value),
@@ -69,9 +71,17 @@ def mergeable_stats(df: DataFrame, keys: list[str], cols: list[str]) -> DataFram
 def merge_state(state: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Roll mergeable state up to ``keys``; the result is state again.
 
-    Deviations are moved to the common mean part by part, so large values with little spread keep it."""
-    w, n = W.partitionBy(*keys), lambda c: F.col(flat_name(c, "count"))
-    centred = state.select("*", *[F.try_divide(F.sum(flat_name(c, "sum")).over(w), F.sum(n(c)).over(w)).alias(f"_g{i}") for i, c in enumerate(cols)])
+    Two aggregates, both begun before their shuffle: the first gives the common means, the second moves the
+    deviations to them part by part, so large values with little spread keep it. A NULL key is a group of its own.
+    """
+    n = lambda c: F.col(flat_name(c, "count"))
+    means = state.groupBy(*keys).agg(*[F.try_divide(F.sum(flat_name(c, "sum")), F.sum(n(c))).alias(f"_g{i}") for i, c in enumerate(cols)])
+    if keys:
+        other = means.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_g{i}" for i in range(len(cols))])
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        centred = state.join(other, reduce(and_, same))
+    else:
+        centred = with_scalars(state, means, "_g").select("*", "_g.*")
     aggs = []
     for i, c in enumerate(cols):
         off = F.col(flat_name(c, "mean")) - F.col(f"_g{i}")

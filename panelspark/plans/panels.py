@@ -17,6 +17,7 @@ from panelspark.operators.series import cumulative_to_daily, holiday_panel, resa
 from panelspark.operators.text import keyword_groups
 from panelspark.plans import presets as P
 from panelspark.sources.files import read_delimited
+from panelspark.streaming.ledger import ingest_ledger, read_days
 
 DIMENSION_COLUMNS = {
     "Code comunidad autónoma numérico": "region_num", "Code comunidad autónoma alpha": "region", "Comunidad Autónoma": "region_name",
@@ -139,6 +140,13 @@ def mobility_aggregate(rows: DataFrame) -> DataFrame:
     return mergeable_stats(named, ["fecha", "origen_num", "destino_num"], FLOWS)
 
 
+def ingest_mobility(spark: SparkSession, in_dir: str, base_dir: str, checkpoint_dir: str, schema: str, max_files: int = 1000, unit: str = r"^(.*)$") -> DataFrame:
+    """Take in the trip files that arrived, in bounded batches, and give the rows of ``mobility_aggregate`` for all days so far."""
+    named = lambda rows: rows.select("fecha", prefix_code("origen").alias("origen_num"), prefix_code("destino").alias("destino_num"), *FLOWS, "_delivery", "_sent")
+    ingest_ledger(spark, in_dir, base_dir, checkpoint_dir, schema, ["origen_num", "destino_num"], FLOWS, named, unit=unit, max_files=max_files)
+    return read_days(spark, base_dir)
+
+
 def mobility_placed(daily: DataFrame, dim: DataFrame) -> DataFrame:
     codes = dim.select("prov_num", "prov", "region").distinct()
     origin = join_dim(daily, codes.select(F.col("prov_num").alias("_o"), F.col("region").alias("origen_region")), "origen_num", "_o")
