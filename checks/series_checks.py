@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from checks.base import CASES, DIM, FLOWS, NATIONAL, PANEL, PLACED, cases, check, dense_sql, dimension, flows, national, r, shown, table, with_
+from panelspark.operators import halo as H
 from panelspark.operators import series as S
 from panelspark.operators.joins import join_dim
 
@@ -154,3 +155,36 @@ def mobility_daily(spark, d):
 def resample_inner(spark, d):
     """Bounds inside the data: rows beyond them still take part in the interpolation."""
     return shown(S.resample_daily(cases(spark, d), ["prov"], "fecha", ["num_casos"], "linear", "1996-03-10", "1997-08-20"))
+
+
+# One series of all events, at full grain, in ranges of time.
+EVENTS = "e AS (SELECT event_id, ts, value, user_id % 7 AS grupo FROM events)"
+IN_TIME = "ORDER BY ts, event_id"
+
+
+def events(spark, d, keys=()):
+    rows = table(spark, d, "events").select("event_id", "ts", "value", (F.col("user_id") % 7).alias("grupo"))
+    return H.Ranges(rows, list(keys), ["ts", "event_id"], 16)
+
+
+@check("long_lags", with_(EVENTS) + f"SELECT event_id, {r('lag(value, 1) OVER w')} AS value__lag_1, {r('lag(value, 30) OVER w')} AS value__lag_30, {r('lead(value, 2) OVER w')} AS \"value__lag_-2\" FROM e WINDOW w AS ({IN_TIME})")
+def long_lags(spark, d):
+    return shown(H.lags(events(spark, d), ["value"], [1, 30, -2]).drop("ts", "value", "grupo"))
+
+
+@check("long_rolling", with_(EVENTS) + f"""SELECT event_id, CASE WHEN count(value) OVER w = 20 THEN {r('avg(value) OVER w', 5)} END AS value__mean_20, CASE WHEN count(value) OVER w = 20 THEN {r('stddev_samp(value) OVER w', 5)} END AS value__std_20
+FROM e WINDOW w AS (PARTITION BY grupo {IN_TIME} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def long_rolling(spark, d):
+    return shown(H.rolling(events(spark, d, ["grupo"]), "value", 20).drop("ts", "value", "grupo"), 5)
+
+
+@check("long_running", with_(EVENTS) + f"SELECT event_id, grupo, {r('sum(round(value * 100)) OVER (PARTITION BY grupo ' + IN_TIME + ')', 2)} AS total FROM e")
+def long_running(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts", F.round(F.col("value") * 100).alias("centimos"), (F.col("user_id") % 7).alias("grupo"))
+    return shown(H.running_sum(H.Ranges(rows, ["grupo"], ["ts", "event_id"], 16), "centimos", "total").drop("ts", "centimos"), 2)
+
+
+@check("long_acf", with_(EVENTS, "m AS (SELECT avg(value) AS m FROM e)", f"x AS (SELECT value - m AS x, {', '.join(f'lag(value - m, {k}) OVER w AS x{k}' for k in range(1, 6))} FROM e, m WINDOW w AS ({IN_TIME}))")
+       + "\nUNION ALL ".join(f"SELECT {k} AS lag, count(*) AS n, {r(f'sum(x * {f'x{k}' if k else 'x'}) / sum(x * x)')} AS acf FROM x" for k in range(6)))
+def long_acf(spark, d):
+    return H.acf(events(spark, d), "value", 5).select("lag", "n", F.round("acf", 6).alias("acf"))

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import CASES, DIM, NATIONAL, PANEL, PLACED, cases, check, dense_sql, national, r, shown, table, with_
+from checks.base import CASES, DIM, FLOWS, NATIONAL, PANEL, PLACED, cases, check, dense_sql, flows, national, r, shown, table, with_
 from checks.series_checks import DAILY, DENSE, daily, panel
 from panelspark.operators import diagnostics as D
 from panelspark.operators import gram as G
+from panelspark.operators import tiles as T
 from panelspark.operators.models import hash_split
 from panelspark.operators.series import diff
 
@@ -159,3 +160,55 @@ def gram_null_keys(spark, d):
     """Six columns and a NULL group: the matrix way keeps the group, as the aggregates do."""
     rows = table(spark, d, "lineitem").withColumn("flag", F.expr("nullif(l_returnflag, 'N')"))
     return shown(G.gram(rows, WIDE, "flag"), 3)
+
+
+# A wide design: trips between all pairs of places on a day, on the last four days that have trips: 2,500 columns.
+PLACES, BACK = 25, 4
+PAIRS = PLACES * PLACES
+
+
+def trip_lags(spark, d):
+    from pyspark.sql.window import Window as W
+
+    pair = (F.col("origin") * PLACES + F.col("dest")).cast("int")
+    by_pair = flows(spark, d).groupBy("fecha", pair.alias("cell")).agg(F.sum("viajes").alias("v"))
+    day = by_pair.groupBy("fecha").agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"))
+    dense = day.select("fecha", F.transform(F.sequence(F.lit(0), F.lit(PAIRS - 1)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0))).alias("v"))
+    w = W.orderBy("fecha")
+    return dense.select(F.concat(*[F.lag("v", k).over(w) for k in range(1, BACK + 1)]).alias("x"))
+
+
+@check("gram_tiled", with_(FLOWS, f"v AS (SELECT fecha, origin * {PLACES} + dest AS cell, sum(viajes) AS v FROM flows GROUP BY ALL)",
+                           "d AS (SELECT fecha, row_number() OVER (ORDER BY fecha) AS rn FROM (SELECT DISTINCT fecha FROM flows))", "z AS (SELECT count(*) AS days FROM d)",
+                           f"x AS (SELECT rn + k AS t, (k - 1) * {PAIRS} + cell AS c, v FROM v JOIN d ON d.fecha = v.fecha, range(1, {BACK + 1}) r(k))",
+                           f"seen AS (SELECT t, c, v, days - {BACK} AS n FROM x, z WHERE t > {BACK} AND t <= days)",
+                           "b AS (SELECT t, c // 256 AS b, sum(v) AS s FROM seen GROUP BY ALL)",
+                           f"f AS (SELECT g.t, g.b, coalesce(s, 0) AS s FROM (SELECT t, k AS b FROM (SELECT DISTINCT t FROM seen), range(0, {(PAIRS * BACK - 1) // 256 + 1}) r(k)) g LEFT JOIN b ON b.t = g.t AND b.b = g.b)",
+                           "own AS (SELECT c // 256 AS b, sum(q - s * s / n) AS trace FROM (SELECT c, n, sum(v * v) AS q, sum(v) AS s FROM seen GROUP BY ALL) GROUP BY ALL)")
+       + f"""SELECT CAST(p.b AS BIGINT) AS bi, CAST(q.b AS BIGINT) AS bj, count(*) AS n, {r('count(*) * covar_pop(p.s, q.s)', 2)} AS total, {r('any_value(CASE WHEN p.b = q.b THEN trace END)', 2)} AS trace
+FROM f p JOIN f q ON p.t = q.t AND p.b <= q.b JOIN own ON own.b = p.b GROUP BY p.b, q.b""")
+def gram_tiled(spark, d):
+    """The sum of every tile, and the trace of those on the diagonal."""
+    tiles = T.tiled_gram(trip_lags(spark, d), "x", PAIRS * BACK)
+    total = F.aggregate("cp", F.lit(0.0), lambda a, x: a + x)
+    width = F.size("mean_j")
+    diagonal = F.aggregate(F.sequence(F.lit(0), width - 1), F.lit(0.0), lambda a, k: a + F.element_at("cp", k * width + k + 1))
+    return shown(tiles.select("bi", "bj", "n", total.alias("total"), F.when(F.col("bi") == F.col("bj"), diagonal).alias("trace")), 2)
+
+
+TWO_SQL = "m AS (SELECT var_samp(l_quantity) AS a, var_samp(l_linenumber) AS c, covar_samp(l_quantity, l_linenumber) AS b FROM lineitem), e AS (SELECT a + c AS whole, sqrt((a - c) * (a - c) + 4 * b * b) AS gap FROM m)"
+
+
+@check("pca_tiled", with_(TWO_SQL) + f"SELECT 1 AS component, {r('(whole + gap) / 2')} AS variance, {r('(1 + gap / whole) / 2')} AS share FROM e UNION ALL SELECT 2, {r('(whole - gap) / 2')}, {r('(1 - gap / whole) / 2')} FROM e")
+def pca_tiled(spark, d):
+    """Two columns in blocks of one: variances of the components have a closed form."""
+    found = T.components(T.tiled_gram(table(spark, d, "lineitem"), ["l_quantity", "l_linenumber"], block=1), 2, 1)
+    rows = [(i + 1, float(v), float(s)) for i, (v, s) in enumerate(zip(found.variance, found.share))]
+    return shown(spark.createDataFrame(rows, "component int, variance double, share double")).withColumn("component", F.col("component").cast("int"))
+
+
+@check("corr_tiled", "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, {r(f'corr({a}, {b})')} AS corr FROM lineitem" for i, a in enumerate(LINE) for b in LINE[i + 1:]))
+def corr_tiled(spark, d):
+    cells = T.cells(T.tiled_gram(table(spark, d, "lineitem"), LINE, block=2), 2).where("i < j")
+    name = lambda c: F.element_at(F.array(*map(F.lit, LINE)), F.col(c) + 1)
+    return shown(cells.select(name("i").alias("a"), name("j").alias("b"), "n", "corr"))
