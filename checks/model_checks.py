@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import NATIONAL, PANEL, check, daily_facts, flows, national, r, shown, table, with_
 from checks.series_checks import DAILY, DENSE, daily, panel
 from checks.statistics_checks import SPLIT
+from panelspark.operators import likelihood as L
 from panelspark.operators import models as M
 from panelspark.operators.aggregate import group_sum
 from panelspark.operators.gram import metrics
@@ -230,3 +231,45 @@ def rfe_stump(spark, d):
     rows = national(spark, d).select("fecha", F.col("casos").cast("double").alias("casos"), F.dayofweek("fecha").cast("double").alias("diasemana"), F.col("importe").cast("double").alias("y"))
     model = RecursiveElimination(labelCol="y", features=["casos", "diasemana"], step=1, numTrees=1, maxDepth=1, maxBins=256, bootstrap=False).fit(rows)
     return model.scores(spark).select("n_features", F.col("folds").cast("bigint").alias("folds"), F.round("r2", 6).alias("r2"), F.lit(model.selected[0]).alias("best"))
+
+
+# The exact likelihood of an AR(1) without a mean: its maximum solves a cubic, here by Newton's steps.
+EXACT = ("w AS (SELECT prov, fecha, num_casos AS y, CAST(num_casos - lag(num_casos) OVER v AS DOUBLE) AS w, row_number() OVER v AS i FROM panel WINDOW v AS (PARTITION BY prov ORDER BY fecha))",
+         "l AS (SELECT *, lag(w) OVER (PARTITION BY prov ORDER BY fecha) AS x, lead(w) OVER (PARTITION BY prov ORDER BY fecha) AS z FROM w WHERE w IS NOT NULL)",
+         "s AS (SELECT prov, count(*) AS n, sum(w * w) AS a, sum(w * x) AS b, sum(CASE WHEN x IS NOT NULL AND z IS NOT NULL THEN w * w END) AS c FROM l GROUP BY ALL)",
+         "go(prov, n, a, b, c, k, f) AS (SELECT prov, n, a, b, c, 0, b / c FROM s UNION ALL SELECT prov, n, a, b, c, k + 1, "
+         "f - (c * (n - 1) * f * f * f - b * (n - 2) * f * f - (a + n * c) * f + n * b) / (3 * c * (n - 1) * f * f - 2 * b * (n - 2) * f - (a + n * c)) FROM go WHERE k < 30)",
+         "fit AS (SELECT *, a - 2 * b * f + c * f * f AS q FROM go WHERE k = 30)")
+
+
+@check("ar1_likelihood", "WITH RECURSIVE " + ",\n".join([*PANEL, *DENSE, *EXACT])
+       + f"\nSELECT prov, 'ar_1' AS feature, {r('f')} AS coefficient, {r('q / n')} AS sigma2, n, {r('-0.5 * n * (ln(2 * pi() * q / n) + 1) + 0.5 * ln(1 - f * f)', 4)} AS loglik FROM fit")
+def ar1_likelihood(spark, d):
+    out = L.ar_likelihood(small_panel(spark, d), ["prov"], "fecha", "num_casos", 1, 1)
+    return shown(out.select("prov", "feature", "coefficient", "sigma2", "n", F.round("loglik", 4).alias("loglik")))
+
+
+@check("ar1_likelihood_forecast", "WITH RECURSIVE " + ",\n".join([*PANEL, *DENSE, *EXACT, "e AS (SELECT prov, arg_max(y, fecha) AS y, arg_max(w, fecha) AS w, max(fecha) AS fecha FROM l GROUP BY ALL)"])
+       + f"\nSELECT e.prov, CAST(h AS INTEGER) AS step, CAST(e.fecha + CAST(h AS INTEGER) AS VARCHAR) AS fecha, {r('y + w * f * (1 - pow(f, h)) / (1 - f)', 5)} AS forecast FROM e JOIN fit ON fit.prov = e.prov, range(1, 8) t(h)")
+def ar1_likelihood_forecast(spark, d):
+    out = L.ar_likelihood_forecast(small_panel(spark, d), ["prov"], "fecha", "num_casos", 1, 1, 7)
+    return out.select("prov", "step", F.col("fecha").cast("string").alias("fecha"), F.round("forecast", 5).alias("forecast"))
+
+
+@check("ar12_likelihood")
+def ar12_likelihood(spark, d):
+    return L.ar_likelihood(small_panel(spark, d), ["prov"], "fecha", "num_casos", 12, 1)
+
+
+SECOND = ("w AS (SELECT prov, fecha, num_casos AS y, num_casos - lag(num_casos) OVER v AS s, num_casos - 2 * lag(num_casos) OVER v + lag(num_casos, 2) OVER v AS w FROM panel WINDOW v AS (PARTITION BY prov ORDER BY fecha))",
+          "l AS (SELECT *, lag(w) OVER (PARTITION BY prov ORDER BY fecha) AS x FROM w)",
+          "f AS (SELECT prov, regr_slope(w, x) AS b, regr_intercept(w, x) AS a FROM l WHERE w IS NOT NULL AND x IS NOT NULL GROUP BY ALL)",
+          "e AS (SELECT prov, arg_max(y, fecha) AS y, arg_max(s, fecha) AS s, arg_max(w, fecha) AS w, max(fecha) AS fecha FROM l GROUP BY ALL)",
+          "go(prov, step, fecha, y, s, w) AS (SELECT prov, 0, fecha, CAST(y AS DOUBLE), CAST(s AS DOUBLE), CAST(w AS DOUBLE) FROM e UNION ALL "
+          "SELECT go.prov, step + 1, go.fecha + 1, go.y + go.s + a + b * go.w, go.s + a + b * go.w, a + b * go.w FROM go JOIN f ON f.prov = go.prov WHERE step < 7)")
+
+
+@check("second_difference_forecast", "WITH RECURSIVE " + ",\n".join([*PANEL, *DENSE, *SECOND]) + f"\nSELECT prov, step, {DAY}, {r('y', 5)} AS forecast FROM go WHERE step > 0")
+def second_difference_forecast(spark, d):
+    out = M.ar_forecast(small_panel(spark, d), ["prov"], "fecha", "num_casos", 1, 2, 7)
+    return out.select("prov", "step", F.col("fecha").cast("string").alias("fecha"), F.round("forecast", 5).alias("forecast"))
