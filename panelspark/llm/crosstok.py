@@ -28,7 +28,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +49,10 @@ END = "\n"
 ROWS = 512
 
 
-class Aligned(NamedTuple):
-    """The alignment of one piece of text. ``pairs`` holds ``a * (ids of B) + b`` for each link."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    pairs: tuple[int, ...]
+# The alignment of one piece of text: tokens of A, tokens of B, groups, the groups as text, and ``a * (ids of B) + b`` for
+# each link, packed. A plain tuple of plain values, which the garbage collector leaves alone.
+Aligned = tuple[int, int, int, str, bytes]
+NOTHING: Aligned = (0, 0, 0, "", b"")
 
 
 def byte_ends(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -102,12 +97,12 @@ class Aligner:
 
     def pieces(self, wanted: Iterable[str]) -> dict[str, Aligned | None]:
         """The alignment of each of the given pieces."""
-        out, missing, size = {}, [], 0
+        out, missing, size, new, old = {}, [], 0, self.new, self.old
         for piece in wanted:
-            if piece in self.new:
-                out[piece] = self.new[piece]
-            elif piece in self.old:
-                out[piece] = self._keep(piece, self.old[piece])
+            if piece in new:
+                out[piece] = new[piece]
+            elif piece in old:
+                out[piece] = self._keep(piece, old[piece])
             elif not VISIBLE.match(piece) or not VISIBLE.match(piece, len(piece) - 1):
                 self._learn([piece], out)  # begins or ends a text with white space, which a neighbour would touch
             else:
@@ -115,7 +110,7 @@ class Aligner:
                 size += len(piece)
                 if size > CHUNK:
                     self._learn(missing, out)
-                    missing, size = [], 0
+                    missing, size, new, old = [], 0, self.new, self.old
         self._learn(missing, out)
         return out
 
@@ -143,19 +138,18 @@ class Aligner:
         """The alignments of pieces, or None if a side does not give all bytes back."""
         joined = " ".join(pieces)
         text, raw = " " + joined, (" " + joined).encode()
-        made, found = self.a.encode(text, add_special_tokens=False), self.b.encode(joined, return_type="proto").pieces
-        listed = [made.ids, [p.id for p in found]]
+        made, found = self.a.encode(text, add_special_tokens=False), [(p.id, p.end) for p in self.b.encode(joined, return_type="proto").pieces]
+        listed = [made.ids, [i for i, _ in found]]
         if any(b"".join(map(table.__getitem__, ids)) != raw for table, ids in zip(self.bytes, listed)):
             return None
         ids = [np.array(i, np.int64) for i in listed]
-        # Spans of A count characters; those of B count bytes and leave out the blank before the text, which belongs to its first piece.
+        # Spans of A count characters; those of B count bytes, begin where the one before ends, and leave out the blank before the text.
         spans = np.fromiter(chain.from_iterable(made.offsets), np.int64, 2 * len(ids[0])).reshape(-1, 2)
         if len(raw) != len(text):
             code = np.frombuffer(text.encode("utf-32-le"), "<u4")
             spans = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])[spans]
-        begin_b = np.array([p.begin for p in found], np.int64) + 1
-        begin_b[0] = 0
-        ends = [byte_ends(spans[:, 0], spans[:, 1], self.sizes[0][ids[0]]), byte_ends(begin_b, np.array([p.end for p in found], np.int64) + 1, self.sizes[1][ids[1]])]
+        end_b = np.array([e for _, e in found], np.int64) + 1
+        ends = [byte_ends(spans[:, 0], spans[:, 1], self.sizes[0][ids[0]]), byte_ends(np.concatenate([[0], end_b[:-1]]), end_b, self.sizes[1][ids[1]])]
         return self._cut(pieces, ids, ends)
 
     def _cut(self, pieces: list[str], ids: list[np.ndarray], ends: list[np.ndarray]) -> list[Aligned]:
@@ -180,26 +174,26 @@ class Aligner:
             shown[place[side]] = [marks[k] for k in (ids[side] * (2 + side) + final[side]).tolist()]
         groups = "".join(shown.tolist()).split(END)
         numbers = [np.diff(np.searchsorted(e, stops, side="right"), prepend=0).tolist() for e in (*ends, common)]
-        at, links = [0, *np.searchsorted(every, stops, side="right").tolist()], pairs.tolist()
-        return [Aligned(*counts, shape, tuple(links[lo:hi])) for *counts, shape, lo, hi in zip(*numbers, groups, at, at[1:])]
+        at, links = [0, *(8 * np.searchsorted(every, stops, side="right")).tolist()], pairs.tobytes()
+        return [(n_a, n_b, n_groups, shape, links[lo:hi]) for n_a, n_b, n_groups, shape, lo, hi in zip(*numbers, groups, at, at[1:])]
 
     def texts(self, texts: list[str | None]) -> list[tuple]:
         """For each text n_a, n_b, n_groups, n_links, groups (None without tokens), its distinct pairs in ascending
         order and how often each is linked, both packed."""
         parts = [CUT.split(t) if t else [] for t in texts]
-        number: dict[str, int] = {}
-        at = [[number.setdefault(p, len(number)) for p in own] for own in parts]
-        known = self.pieces(number)
-        made = [known[p] for p in number]
-        empty = Aligned(0, 0, 0, "", ())
+        distinct = dict.fromkeys(chain.from_iterable(parts))
+        number = dict(zip(distinct, range(len(distinct))))
+        at = [list(map(number.__getitem__, own)) for own in parts]
+        known = self.pieces(distinct)
+        made = [known[p] for p in distinct]
         lost = {k for k, m in enumerate(made) if m is None}
         valid = [bool(own) and (not lost or lost.isdisjoint(own)) for own in at]
-        made = [m or empty for m in made]
+        made = [m or NOTHING for m in made]
         owner = np.repeat(np.arange(len(texts)), [len(own) if ok else 0 for own, ok in zip(at, valid)])
         piece = np.fromiter(chain.from_iterable(own for own, ok in zip(at, valid) if ok), np.int64, len(owner))
-        counts = np.array([m[:3] for m in made], np.int64).reshape(-1, 3)
-        sizes = np.array([len(m.pairs) for m in made], np.int64)
-        flat = np.fromiter(chain.from_iterable(m.pairs for m in made), np.int64, int(sizes.sum()))
+        links_of = [m[4] for m in made]
+        sizes = np.fromiter(map(len, links_of), np.int64, len(made)) // 8
+        flat = np.frombuffer(b"".join(links_of), np.int64)
         own_links = sizes[piece]
         # The links of all texts: the links of their pieces, one range after the other.
         where = np.repeat((np.cumsum(sizes) - sizes)[piece] - (np.cumsum(own_links) - own_links), own_links) + np.arange(int(own_links.sum()))
@@ -208,16 +202,16 @@ class Aligner:
         keys = np.sort(np.repeat(owner, own_links) * span + flat[where])
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         often = np.diff(np.append(first, len(keys)))
-        of, distinct = np.divmod(keys[first], span)
+        of, held = np.divmod(keys[first], span)
         bounds = np.searchsorted(of, np.arange(len(texts) + 1))
-        total = [np.bincount(owner, counts[piece, k], len(texts)).astype(np.int64).tolist() for k in range(3)]
+        total = [np.bincount(owner, np.array([m[k] for m in made], np.int64)[piece], len(texts)).astype(np.int64).tolist() for k in range(3)]
         links = np.bincount(of, often, len(texts)).astype(np.int64).tolist()
-        shapes = [m.groups for m in made]
+        shapes = [m[3] for m in made]
         out = []
         for t, (own, ok) in enumerate(zip(at, valid)):
             lo, hi = bounds[t], bounds[t + 1]
-            out.append((*[c[t] for c in total], links[t], ";".join([shapes[k] for k in own]) if ok else None,
-                        distinct[lo:hi].astype("<i8").tobytes(), often[lo:hi].astype("<i4").tobytes()))
+            out.append((*[c[t] for c in total], links[t], ";".join(map(shapes.__getitem__, own)) if ok else None,
+                        held[lo:hi].astype("<i8").tobytes(), often[lo:hi].astype("<i4").tobytes()))
         return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import pytest
 from hypothesis import given, settings
@@ -15,8 +16,8 @@ ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "x\ty z", "naïve 🙂
        "\x1c x \x85 y z　w\u200bv \ufeff", "e\u0301 ﬁ ½ ²", "it's we'll I'D 12 345", "語" * 300, "ab" * 3000, "word " * 50 + "x", "\r\n \r\n", "\U0001fae8 \U000e0001 \u0378 a"]
 
 
-@pytest.fixture(scope="module")
-def sides():
+@cache
+def libraries():
     import sentencepiece
     from tokenizers import Tokenizer
 
@@ -25,6 +26,11 @@ def sides():
     return a, sentencepiece.SentencePieceProcessor(model_file=B)
 
 
+@pytest.fixture(scope="module")
+def sides():
+    return libraries()
+
+
 def token_bytes(sides, text):
     """Whole text through both libraries: (id, bytes) lists, or None where the bytes are not given back."""
     a, b = sides
@@ -83,12 +89,7 @@ def test_pieces_equal_whole_text(sides, text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("  ab1.,\n\t"), st.characters(codec="utf-8")), max_size=40))
 def test_any_text(text):
-    import sentencepiece
-    from tokenizers import Tokenizer
-
-    a = Tokenizer.from_file(A)
-    a.encode_special_tokens = True
-    assert_same((a, sentencepiece.SentencePieceProcessor(model_file=B)), text)
+    assert_same(libraries(), text)
 
 
 def assert_same(sides, text):
