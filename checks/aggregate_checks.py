@@ -160,3 +160,13 @@ LAGGED = [f"num_casos__lag_{k}" for k in range(1, 9)]
 def corr_lagged(spark, d):
     """Columns with NULL holes at the start of each series: every pair has its own rows."""
     return shown(A.corr_matrix(lag_features(cases(spark, d), ["prov"], "fecha", ["num_casos"], list(range(1, 9))), LAGGED))
+
+
+@check("kde_binned", with_(NATIONAL, """b AS (SELECT count(*) AS n, min(casos) AS lo, max(casos) AS hi, stddev_samp(casos) * pow(count(*), -0.2) AS h FROM national)""",
+                           "s AS (SELECT n, h, lo - 3 * h AS first, (hi - lo + 6 * h) / 199 AS step FROM b)", "u AS (SELECT (casos - first) / step AS u, least(floor((casos - first) / step), 198) AS i FROM national, s)",
+                           "w AS (SELECT i, sum(w) AS w FROM (SELECT i, 1 - (u - i) AS w FROM u UNION ALL SELECT i + 1, u - i FROM u) GROUP BY i)") + f"""
+SELECT p AS point, {r('first + p * step')} AS x, {r('sum(w * exp(-0.5 * pow((p - i) * step / h, 2))) / (n * h * sqrt(2 * pi()))', 8)} AS density FROM range(0, 200) t(p), s, w GROUP BY p, first, step, n, h""")
+def kde_binned(spark, d):
+    """Every value split over its two neighbours on the grid."""
+    out = A.kde_binned(national(spark, d), "casos", 200)
+    return out.select(F.col("point").cast("bigint").alias("point"), F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))

@@ -153,9 +153,13 @@ def walk_forward_mean(spark, d):
     return shown(Q.walk_forward(small_panel(spark, d), ["prov"], "fecha", "num_casos", 0, 0, 10))
 
 
-@check("walk_forward_ar1", with_(*PANEL, *DENSE, LAST, "w AS (SELECT prov, fecha, num_casos AS y, lag(num_casos) OVER v AS prev, num_casos - lag(num_casos) OVER v AS w FROM panel WINDOW v AS (PARTITION BY prov ORDER BY fecha))",
-       "l AS (SELECT *, lag(w) OVER (PARTITION BY prov ORDER BY fecha) AS x FROM w)", "h AS (SELECT o.prov, origin, regr_slope(l.w, x) AS b, regr_intercept(l.w, x) AS a FROM o JOIN l ON l.prov = o.prov AND l.fecha < origin WHERE x IS NOT NULL GROUP BY ALL)")
-       + f"SELECT l.prov, CAST(l.fecha AS VARCHAR) AS fecha, CAST(y AS DOUBLE) AS y, {r('prev + a + b * x')} AS yhat FROM h JOIN l ON l.prov = h.prov AND l.fecha = origin")
+PAST = "(PARTITION BY prov ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@check("walk_forward_ar1", with_(*PANEL, *DENSE, "w AS (SELECT prov, fecha, num_casos AS y, lag(num_casos) OVER v AS prev, num_casos - lag(num_casos) OVER v AS w FROM panel WINDOW v AS (PARTITION BY prov ORDER BY fecha))",
+       "l AS (SELECT *, lag(w) OVER (PARTITION BY prov ORDER BY fecha) AS x, row_number() OVER (PARTITION BY prov ORDER BY fecha DESC) AS k FROM w)",
+       f"h AS (SELECT *, regr_slope(w, x) OVER {PAST} AS b, regr_intercept(w, x) OVER {PAST} AS a FROM l)")
+       + f"SELECT prov, CAST(fecha AS VARCHAR) AS fecha, CAST(y AS DOUBLE) AS y, {r('prev + a + b * x')} AS yhat FROM h WHERE k <= 10")
 def walk_forward_ar1(spark, d):
     return shown(Q.walk_forward(small_panel(spark, d), ["prov"], "fecha", "num_casos", 1, 1, 10))
 

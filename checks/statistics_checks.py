@@ -212,3 +212,16 @@ def corr_tiled(spark, d):
     cells = T.cells(T.tiled_gram(table(spark, d, "lineitem"), LINE, block=2), 2).where("i < j")
     name = lambda c: F.element_at(F.array(*map(F.lit, LINE)), F.col(c) + 1)
     return shown(cells.select(name("i").alias("a"), name("j").alias("b"), "n", "corr"))
+
+
+# One lag: two regressors, the level and the last change, by series.
+ADF_1 = ("s AS (SELECT prov, fecha, CAST(num_casos - lag(num_casos) OVER w AS DOUBLE) AS y, CAST(lag(num_casos) OVER w AS DOUBLE) AS a FROM panel WINDOW w AS (PARTITION BY prov ORDER BY fecha))",
+         "t AS (SELECT prov, y, a, lag(y) OVER (PARTITION BY prov ORDER BY fecha) AS b FROM s WHERE y IS NOT NULL)",
+         """c AS (SELECT prov, count(*) AS n, regr_sxx(y, a) AS saa, regr_sxx(y, b) AS sbb, regr_sxy(a, b) AS sab, regr_sxy(y, a) AS say, regr_sxy(y, b) AS sby, regr_syy(y, a) AS syy FROM t WHERE b IS NOT NULL GROUP BY ALL)""",
+         "f AS (SELECT *, saa * sbb - sab * sab AS det FROM c)", "g AS (SELECT *, (sbb * say - sab * sby) / det AS ba, (saa * sby - sab * say) / det AS bb FROM f)")
+
+
+@check("adf_lag1", with_(*PANEL, *DENSE, *ADF_1) + f"SELECT prov, {r('ba / sqrt((syy - ba * say - bb * sby) / (n - 3) * sbb / det)', 4)} AS statistic, 1 AS lags, n FROM g")
+def adf_lag1(spark, d):
+    out = D.adf(panel(spark, d).select("prov", "fecha", "num_casos"), ["prov"], "fecha", "num_casos", 1, False)
+    return out.select("prov", F.round("statistic", 4).alias("statistic"), "lags", "n")

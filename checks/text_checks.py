@@ -32,3 +32,17 @@ FROM tok LEFT JOIN near USING (doc_id) LEFT JOIN rep USING (doc_id)"""
 def near_repeat(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", X.near("text", 30, *NEAR).cast("bigint").alias("near"), X.repeat("text", 5, "the").cast("bigint").alias("repeat"))
+
+
+# Pairs of words from the benchmark, five of each item: some two hundred phrases.
+PHRASES = """w AS (SELECT string_split(lower(text), ' ') AS ws FROM benchmark), p AS (SELECT DISTINCT ws[i] || ' ' || ws[i + 1] AS phrase FROM w, range(1, 11, 2) t(i) WHERE len(ws) > i),
+d AS (SELECT lang, lower(text) AS text FROM documents)"""
+
+
+@check("keyword_volumes", f"""WITH {PHRASES} SELECT lang, phrase, count(*) AS docs, CAST(sum(CASE WHEN contains(text, phrase) THEN 1 ELSE 0 END) AS BIGINT) AS hits,
+{r("avg(CASE WHEN contains(text, phrase) THEN 1.0 ELSE 0.0 END)")} AS volume FROM d, p GROUP BY ALL""")
+def keyword_volumes(spark, d):
+    words = F.split(F.lower("text"), " ", -1)
+    pairs = F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.lit(9), F.lit(2)), lambda i: F.size(words) > i), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
+    phrases = [x.p for x in table(spark, d, "benchmark").select(pairs.alias("p")).distinct().orderBy("p").collect()]  # the question asked, not the data
+    return shown(X.keyword_volumes(table(spark, d, "documents"), phrases, ["lang"]))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelspark.functions.clean import flat_name
 from panelspark.operators.scalars import with_scalars
@@ -136,36 +137,47 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlations below the diagonal; each pair uses the rows where both are present (neither NULL nor NaN).
 
-    Each task forms the sums of all pairs with a few matrix products, on values moved to the column
-    means so that no digits are lost; only one row per pair and task is shuffled.
+    One pass: each task forms the sums of all pairs with a few matrix products, on values moved to the means of its
+    first rows so that no digits are lost, and sends one row per pair: count, means and centred products. Those of a
+    pair are merged exactly, whatever means they are centred on.
     """
     m = len(cols)
     values = [F.when(~F.isnan(v), v) for v in (F.col(f"`{c}`").cast("double") for c in cols)]
-    centre = [x or 0.0 for x in df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()]
     i, j = np.tril_indices(m, -1)
+    names = ["n", "ma", "mb", "caa", "cbb", "cab"]
 
     def sums(batches):
-        total = np.zeros((6, m, m))
+        total, centre = np.zeros((6, m, m)), None
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m) - centre
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
             known = ~np.isnan(x)
-            x, known = np.where(known, x, 0.0), known.astype(float)
+            if centre is None:
+                centre = np.where(known, x, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+            x, known = np.where(known, x - centre, 0.0), known.astype(float)
             n, left, right = known.T @ known, x.T @ known, (x * x).T @ known
             total += np.stack([n, left, left.T, right, right.T, x.T @ x])
-        flat = total[:, i, j]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(i))), *map(pa.array, flat)], names=["k", *names])
-
-    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
-    rows = df.select(F.array(*values).alias("x")).mapInArrow(sums, "k bigint, " + ", ".join(f"{c} double" for c in names))
-    made = rows.groupBy("k").agg(*[F.sum(c).alias(c) for c in names])
-    c = F.col
-    spread = lambda s, q: c(q) - F.try_divide(c(s) * c(s), c("n"))
-    both = F.sqrt(F.greatest(spread("sa", "saa"), F.lit(0.0)) * F.greatest(spread("sb", "sbb"), F.lit(0.0)))
-    r = F.try_divide(c("sab") - F.try_divide(c("sa") * c("sb"), c("n")), F.nullif(both, F.lit(0.0)))
-    name = lambda at: F.element_at(F.array(*[F.lit(x) for x in cols]), F.element_at(F.array(*[F.lit(int(a) + 1) for a in at]), (c("k") + 1).cast("int")))
+        if centre is None:
+            return
+        n, sa, sb, saa, sbb, sab = total[:, i, j]
+        some = np.maximum(n, 1.0)
+        flat = (n, sa / some + centre[i], sb / some + centre[j], saa - sa * sa / some, sbb - sb * sb / some, sab - sa * sb / some)
+        kept = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(i))[kept]), *[pa.array(v[kept]) for v in flat]], names=["k", *names])
+
     if not len(i):
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    return made.select(name(i).alias("a"), name(j).alias("b"), r.alias("r"))
+    made = df.select(F.array(*values).alias("x")).mapInArrow(sums, "k bigint, " + ", ".join(f"{c} double" for c in names))
+    # One row per pair and task. The spread between the tasks is added on means that are near each other.
+    c, w = F.col, W.partitionBy("k")
+    mean = lambda a: F.sum(c("n") * (c(a) - c(f"_{a}"))) / F.sum("n")
+    parts = made.withColumns({"_ma": F.first("ma").over(w), "_mb": F.first("mb").over(w)})
+    between = lambda a, b: F.sum(c("n") * (c(a) - c(f"_{a}")) * (c(b) - c(f"_{b}"))) - F.sum("n") * mean(a) * mean(b)
+    whole = parts.groupBy("k").agg((F.sum("caa") + between("ma", "ma")).alias("caa"), (F.sum("cbb") + between("mb", "mb")).alias("cbb"), (F.sum("cab") + between("ma", "mb")).alias("cab"))
+    both = F.sqrt(F.greatest("caa", F.lit(0.0)) * F.greatest("cbb", F.lit(0.0)))
+    r = F.try_divide("cab", F.nullif(both, F.lit(0.0)))
+    name = lambda at: F.element_at(F.array(*[F.lit(x) for x in cols]), F.element_at(F.array(*[F.lit(int(a) + 1) for a in at]), (c("k") + 1).cast("int")))
+    every = df.sparkSession.range(len(i)).withColumnRenamed("id", "k").join(whole, "k", "left")
+    return every.select(name(i).alias("a"), name(j).alias("b"), r.alias("r"))
 
 
 def kde(df: DataFrame, col: str, points: int = 50, cut: float = 3.0) -> DataFrame:
@@ -188,64 +200,102 @@ def kde(df: DataFrame, col: str, points: int = 50, cut: float = 3.0) -> DataFram
         "point", (F.col("_s.first") + F.col("point") * F.col("_s.step")).alias("x"), density.alias("density"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = 4096) -> dict[tuple[str, float], float | None]:
-    """Exact quantiles with linear interpolation, without sorting or holding the values anywhere.
+def kde_binned(df: DataFrame, col: str, points: int = 1000, cut: float = 3.0) -> DataFrame:
+    """The density of ``kde`` on many points: every value is split over its two neighbours on the grid, tasks add up
+    the weights, and the kernel is applied to the grid.
 
-    Each pass counts the values of a bracket in equal bins and keeps the bin that holds the wanted
-    rank, shrunk to the values really in it. A bracket of one repeated value ends the search, so
-    heavy duplicates make it shorter. Per pass, at most ``bins`` rows per open bracket come back.
+    Splitting moves the density by at most (step / bandwidth) ** 2 / 8 of its curvature; with 1,000 points the
+    difference to ``kde`` stays below 1e-3 of the highest density while the data spans less than 80 bandwidths.
+    """
+    rows = df.select(F.col(f"`{col}`").cast("double").alias("v")).where("v is not null")
+    base = rows.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                    (F.stddev_samp("v") * F.pow(F.count("v"), F.lit(-0.2))).alias("h"))
+    grid = base.select("n", "h", (F.col("lo") - cut * F.col("h")).alias("first"),
+                       ((F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)).alias("step"))
+    place = with_scalars(rows, grid).select(((F.col("v") - F.col("_s.first")) / F.col("_s.step")).alias("u"))
+    at = F.least(F.floor("u"), F.lit(points - 2))
+    bins = place.groupBy(at.cast("int").alias("i")).agg(F.sum(1 - (F.col("u") - at)).alias("left"), F.sum(F.col("u") - at).alias("right"))
+    # At most one row per grid point from here on.
+    weights = bins.select(F.inline(F.array(F.struct("i", F.col("left").alias("w")), F.struct((F.col("i") + 1).alias("i"), F.col("right").alias("w"))))).groupBy("i").agg(F.sum("w").alias("w"))
+    one = weights.agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("ws"))
+    line = with_scalars(with_scalars(df.sparkSession.range(points).select(F.col("id").cast("int").alias("point")), grid), one, "_w")
+    du = F.col("_s.step") / F.col("_s.h")
+    k = F.aggregate("_w.ws", F.lit(0.0), lambda a, x: a + x["w"] * F.exp(-0.5 * F.pow((F.col("point") - x["i"]) * du, 2)))
+    return line.select("point", (F.col("_s.first") + F.col("point") * F.col("_s.step")).alias("x"),
+                       (k / (F.col("_s.n") * F.col("_s.h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10_000, held: int = 200_000) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles with linear interpolation, without sorting or holding all values anywhere.
+
+    Sketches that tasks merge give a bracket of values around each wanted rank. One more pass counts the rows below it
+    and the rows of each value in it, which says exactly which values have the rank, or that the bracket missed it
+    and must be wider. Two passes are enough up to ``held * accuracy / 5`` rows; beyond that the sketch is taken
+    again inside the brackets. Two rows per quantile come to the driver. Infinite values have their ranks.
     """
     spark = df.sparkSession
     long = (df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
             .unpivot([], cols, "name", "v").where(F.col("v").isNotNull() & ~F.isnan("v")))
-    # Infinite values have their ranks, but no place in a bracket.
-    finite = F.when(F.abs("v") < math.inf, F.col("v"))
-    below_all = F.sum((F.col("v") == -math.inf).cast("bigint"))
-    seen = {r["name"]: r for r in long.groupBy("name").agg(F.count("v").alias("n"), F.count(finite).alias("finite"), below_all.alias("low"),
-                                                           F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()}
-    long = long.where(F.abs("v") < math.inf)
-    wanted = {(c, p): (seen[c]["n"] - 1) * p for c in cols if c in seen for p in probs}
-    found: dict[tuple[str, int], float] = {}
-    open_ranks = {}
-    for (c, _), position in wanted.items():
-        for rank in {math.floor(position), math.ceil(position)}:
-            low, count = seen[c]["low"], seen[c]["finite"]
-            if low <= rank < low + count:
-                open_ranks[c, rank] = (seen[c]["lo"], seen[c]["hi"], low)
+    margin = 2.0 / accuracy
+    seen = {r["name"]: r for r in long.groupBy("name").agg(
+        F.count("v").alias("n"), F.percentile_approx("v", [min(max(e, 0.0), 1.0) for p in probs for e in (p - margin, p + margin)], accuracy).alias("ends")).collect()}
+
+    def cut(share: float, m: float, values, lo: float = -math.inf, hi: float = math.inf) -> tuple[float, float]:
+        """A bracket from two sketched values; an end that covers all rows on its side is the old one."""
+        return (values[0] if share - m > 0 else lo), (values[1] if share + m < 1 else hi)
+
+    def sketched(rows: DataFrame, c: str, share: float, m: float):
+        return rows.where(F.col("name") == c).agg(F.percentile_approx("v", [min(max(e, 0.0), 1.0) for e in (share - m, share + m)], accuracy)).first()[0]
+
+    # A bracket (low, high) and the share of the rows on either side that it means to hold, for each open quantile.
+    open_ = {(c, p): (*cut(p, margin, seen[c]["ends"][2 * i:2 * i + 2]), margin) for c in cols if c in seen for i, p in enumerate(probs)}
+    # Where a bracket holds too many rows to number, sketches within it go closer to the rank.
+    found: dict[tuple[str, float], tuple[float, float]] = {}
+    while open_:
+        keys = sorted(open_)
+        side = spark.createDataFrame([(k, c, *open_[c, p][:2], float((seen[c]["n"] - 1) * p)) for k, (c, p) in enumerate(keys)], "k int, name string, lo double, hi double, at double")
+        near = long.join(side, "name").where(F.col("v") <= F.col("hi"))
+        wide = [k for k, (c, p) in enumerate(keys) if 5 * open_[c, p][2] * seen[c]["n"] > held and open_[c, p][0] < open_[c, p][1]]
+        if wide:
+            inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+            counts = near.where(F.col("k").isin(wide)).groupBy("k").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count(inside).alias("inside"))
+            for r in counts.collect():
+                c, p = keys[r["k"]]
+                rank, m = (seen[c]["n"] - 1) * p - r["below"], open_[c, p][2]
+                if not 0 <= rank <= r["inside"] - 1:
+                    open_[c, p] = (*cut(p, 8 * m, sketched(long, c, p, 8 * m)), 8 * m)
+                    continue
+                lo, hi = open_[c, p][:2]
+                share = rank / max(r["inside"] - 1, 1)
+                closer = cut(share, margin, sketched(long.where(F.col("v").between(lo, hi)), c, share, margin), lo, hi)
+                # A bracket that came no closer is numbered as it is.
+                open_[c, p] = (*closer, margin * r["inside"] / seen[c]["n"] if closer != (lo, hi) else 0.0)
+            continue
+        values = near.groupBy("k", "at", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+        here = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+        ranked = values.withColumn("upto", upto).where(here(F.floor("at")) | here(F.ceil("at")))
+        at: dict[int, list[tuple]] = {}
+        for r in ranked.collect():
+            at.setdefault(r["k"], []).append((r["upto"], r["v"]))
+        for k, key in enumerate(keys):
+            c, p = key
+            got = sorted(at.get(k, []))
+            position = (seen[c]["n"] - 1) * p
+            if not got or got[0][1] is None or got[-1][0] <= math.ceil(position):  # the bracket lies beside the rank
+                m = 8 * max(open_[key][2], margin)
+                open_[key] = (*cut(p, m, sketched(long, c, p, m)), m)
             else:
-                found[c, rank] = -math.inf if rank < low else math.inf
-    while True:
-        for key, (lo, hi, _) in list(open_ranks.items()):
-            if lo == hi:
-                found[key] = lo
-                del open_ranks[key]
-        if not open_ranks:
-            break
-        brackets = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()})
-        side = spark.createDataFrame(brackets, "name string, lo double, hi double")
-        # Halved, so that a bracket over the whole range of doubles has a finite width.
-        step = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
-        counted = (long.join(side, "name").where(F.col("v").between(F.col("lo"), F.col("hi")))
-                   .groupBy("name", "lo", "hi", step.alias("bin"))
-                   .agg(F.count("v").alias("n"), F.min("v").alias("first"), F.max("v").alias("last")).collect())
-        cells: dict[tuple, list] = {}
-        for r in counted:
-            cells.setdefault((r["name"], r["lo"], r["hi"]), []).append((r["bin"], r["n"], r["first"], r["last"]))
-        for (c, rank), (lo, hi, below) in list(open_ranks.items()):
-            for _, n, first, last in sorted(cells[c, lo, hi]):
-                if rank < below + n:
-                    open_ranks[c, rank] = (first, last, below)
-                    break
-                below += n
+                found[key] = (got[0][1], got[-1][1])
+                del open_[key]
     out = {}
     for c in cols:
         for p in probs:
             if c not in seen:
                 out[c, p] = None
                 continue
-            position = wanted[c, p]
-            a, b = found[c, math.floor(position)], found[c, math.ceil(position)]
-            share = position - math.floor(position)
+            a, b = found[c, p]
+            share = (seen[c]["n"] - 1) * p % 1.0
             out[c, p] = a if a == b or share == 0 else a + (b - a) * share
     return out
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from panelspark.functions.tails import chi2_pvalue, normal_cdf
-from panelspark.operators.gram import Gram, fit, packed_gram, spread
+from panelspark.operators.gram import Gram, fit, spread
 from panelspark.operators.series import series_window
+from panelspark.operators.whole import map_series
 
 
 def _q(name: str):
@@ -94,66 +95,45 @@ def default_maxlag(n: int) -> int:
     return max(min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2), 0)
 
 
-def _adf_design(df: DataFrame, keys: list[str], date: str, col: str, maxlag: int) -> DataFrame:
-    """Difference, level before it and lagged differences. ``_i`` counts the differences from 1."""
-    w = series_window(keys, date)
-    steps = (df.where(_q(col).isNotNull()).select(*keys, date, F.lag(_q(col)).over(w).cast("double").alias("_level"),
-             (_q(col) - F.lag(_q(col)).over(w)).cast("double").alias("_dy"), (F.row_number().over(w) - 1).alias("_i"))
-             .where("_i > 0"))
-    return steps.select(*keys, "_i", "_level", "_dy", *[F.lag("_dy", k).over(w).alias(f"_d{k}") for k in range(1, maxlag + 1)])
+def _lag_scores(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """AIC of the fits of ``y`` on a constant and the first 1, 2, ... columns of ``x``, from one Cholesky factor.
+
+    The factor of the cross-products grows column by column; with ``y`` as the last row, each of its entries is what
+    that column takes from the sum of squares."""
+    n, g = len(y), Gram.of(np.column_stack([x, y]))
+    scale = np.sqrt(np.maximum(np.diag(g.cp), 1e-300))
+    try:
+        factor = np.linalg.cholesky(g.cp / np.outer(scale, scale))
+        left = 1.0 - np.cumsum(factor[-1, :-1] ** 2)
+        if (np.diag(factor)[:-1] < 1e-6).any():
+            raise np.linalg.LinAlgError
+        sums = np.maximum(left, 0.0) * g.cp[-1, -1]
+    except np.linalg.LinAlgError:  # columns that hang on each other share their effect
+        sums = np.array([fit(g, range(p + 1), x.shape[1]).ssr for p in range(x.shape[1])])
+    return [n * (math.log(2 * math.pi * max(s, 1e-300) / n) + 1.0) + 2.0 * (p + 2) for p, s in enumerate(sums)]
 
 
 def adf(df: DataFrame, keys: list[str], date: str, col: str, maxlag: int | None = None, autolag: bool = True) -> DataFrame:
     """Augmented Dickey-Fuller test with constant: statistic, p-value, lags, n, critical values.
 
-    With ``autolag`` the lag count has the least AIC on the common sample of all candidates, and the
-    test is fitted again on the full sample of that count. Rows that belong to every sample are
-    summed once; the few first rows, which only shorter lags may use, are kept and added as needed.
-    Without ``maxlag`` each series has its own bound from its length; the longest sets the width.
+    With ``autolag`` the lag count has the least AIC on the common sample of all candidates, and the test is fitted
+    again on the full sample of that count. Without ``maxlag`` each series has its own bound from its length.
     """
-    width = maxlag
-    if width is None:
-        sizes = df.where(_q(col).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
-        width = default_maxlag(sizes.agg(F.max("n")).first()[0] or 0)
-    design = _adf_design(df, keys, date, col, width)
-    cols = ["_level", *[f"_d{k}" for k in range(1, width + 1)], "_dy"]
-    main = packed_gram(design.where(F.col("_i") > width), cols, keys)
-    # A lag that does not exist yet reads 0: no sample that uses it holds that row.
-    values = F.array(*[F.coalesce(c, F.lit(0.0)) for c in cols])
-    heads = (design.where(F.col("_i") <= width + 1).groupBy(*keys)
-             .agg(F.sort_array(F.collect_list(F.struct("_i", values.alias("x")))).alias("_heads")))
-    joined = heads.join(main, keys, "left") if keys else heads.join(main, how="left")
-    kinds, y = dict(design.dtypes), width + 1
-
-    def test(row: dict) -> dict:
-        early = {h["_i"]: np.asarray(h["x"], float) for h in row["_heads"] if h["_i"] <= width}
-        late = Gram.unpack(row["n"], row["mean"], row["cp"]) if row["cp"] is not None else None
-
-        def sample(p: int) -> Gram | None:
-            extra = [x for i, x in early.items() if i > p]
-            if not extra:
-                return late
-            return Gram.of(np.array(extra)) + late if late else Gram.of(np.array(extra))
-
-        n_rows = len(early) + (late.n if late else 0)
-        lags = min(maxlag if maxlag is not None else default_maxlag(n_rows + 1), width)
+    def sample(steps: np.ndarray, level: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Level before and p lagged differences, and the difference, of all days that have them."""
+        return np.column_stack([level[p:], *[steps[p - k:len(steps) - k] for k in range(1, p + 1)]]), steps[p:]
+
+    def one(y, _):
+        steps, level = np.diff(y), y[:-1]
+        lags = min(maxlag if maxlag is not None else default_maxlag(len(y)), max(len(steps) - 1, 0))
+        if not len(steps):
+            return []
         if autolag:
-            common, scores = sample(lags), []
-            for p in range(lags + 1):
-                ssr = max(fit(common, range(p + 1), y).ssr, 1e-300) if common else math.nan
-                scores.append(common.n * (math.log(2 * math.pi * ssr / common.n) + 1.0) + 2.0 * (p + 2) if common else math.inf)
-            lags = int(np.argmin(scores))
-        g = sample(lags)
-        f = fit(g, range(lags + 1), y) if g else None
-        tau = float(f.coef[1] / f.se[1]) if f and f.se[1] > 0 else math.nan
-        n = g.n if g else 0
-        return {**{k: row[k] for k in keys}, "statistic": tau, "p_value": df_pvalue(tau), "lags": lags, "n": n,
-                **{f"critical_{a[:-1]}": df_critical(a, n) if n else math.nan for a in DF_CRITICAL}}
-
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame([test(row) for row in batch.to_dict("records")])
-
-    return spread(joined, keys).mapInPandas(run, ", ".join(
-        [f"`{k}` {kinds[k]}" for k in keys]
-        + ["statistic double, p_value double, lags int, n bigint, critical_1 double, critical_5 double, critical_10 double"]))
+            lags = int(np.argmin(_lag_scores(*sample(steps, level, lags))))
+        x, target = sample(steps, level, lags)
+        g = Gram.of(np.column_stack([x, target]))
+        f = fit(g, range(lags + 1), lags + 1)
+        tau = float(f.coef[1] / f.se[1]) if f.se[1] > 0 else math.nan
+        return [{"statistic": tau, "p_value": df_pvalue(tau), "lags": lags, "n": g.n, **{f"critical_{a[:-1]}": df_critical(a, g.n) for a in DF_CRITICAL}}]
+
+    return map_series(df, keys, date, col, one, "statistic double, p_value double, lags int, n bigint, critical_1 double, critical_5 double, critical_10 double")

@@ -14,11 +14,9 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from panelspark.operators.gram import spread
+from panelspark.operators.whole import day, map_series
 
 EDGE = 0.9999  # partial autocorrelations of a start that is not stationary are brought within it
 
@@ -182,28 +180,6 @@ def ahead(y: np.ndarray, model: ARModel, d: int, horizon: int) -> tuple[list[flo
     return out, error
 
 
-def _series(df: DataFrame, keys: list[str], date: str, col: str) -> DataFrame:
-    """One row per series: its values in order of the day, and the last day. Missing values are left out."""
-    value = F.col(f"`{col}`").cast("double")
-    rows = df.where(value.isNotNull() & ~F.isnan(value)).select(*[F.col(f"`{k}`") for k in keys], F.struct(F.col(f"`{date}`").alias("d"), value.alias("v")).alias("_x"))
-    made = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.sort_array(F.collect_list("_x")).alias("_s"))
-    return made.select(*[F.col(f"`{k}`") for k in keys], F.transform("_s", lambda x: x["v"]).alias("_v"), F.try_element_at("_s", F.lit(-1))["d"].alias("_last"))
-
-
-def _mapped(df: DataFrame, keys: list[str], date: str, col: str, one, columns: str) -> DataFrame:
-    kinds = dict(df.dtypes)
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                found = one(np.asarray(row["_v"], float), row["_last"])
-                if found:
-                    yield pd.DataFrame({**{k: [row[k]] * len(found) for k in keys}, **{c: [f[c] for f in found] for c in found[0]}})
-
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [columns])
-    return spread(_series(df, keys, date, col), keys).mapInPandas(run, schema)
-
-
 def ar_likelihood(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int = 1, constant: bool | None = None) -> DataFrame:
     """AR(p) of the d-times differenced series by exact likelihood: one row per series and term (``const`` is the mean),
     with ``sigma2``, ``loglik`` and ``aic``. A constant is fitted on the level only, if not said otherwise.
@@ -221,19 +197,18 @@ def ar_likelihood(df: DataFrame, keys: list[str], date: str, col: str, p: int, d
         aic = 2.0 * (len(terms) + 1) - 2.0 * model.loglik
         return [{"feature": f, "coefficient": b, "std_error": s, "sigma2": model.sigma2, "n": model.n, "loglik": model.loglik, "aic": aic} for f, b, s in terms or [("none", math.nan, math.nan)]]
 
-    return _mapped(df, keys, date, col, one, "feature string, coefficient double, std_error double, sigma2 double, n bigint, loglik double, aic double")
+    return map_series(df, keys, date, col, one, "feature string, coefficient double, std_error double, sigma2 double, n bigint, loglik double, aic double")
 
 
 def ar_likelihood_forecast(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int = 1, horizon: int = 7, constant: bool | None = None) -> DataFrame:
     """Forecast ``horizon`` days on the level from the model of ``ar_likelihood``, with standard errors."""
     own = d == 0 if constant is None else constant
 
-    def one(y, last):
+    def one(y, days):
         model = fit_exact(np.diff(y, d), p, own) if len(y) > d else None
         if model is None:
             return []
         values, errors = ahead(y, model, d, horizon)
-        return [{"step": h + 1, "forecast": v, "std_error": e, "_last": last} for h, (v, e) in enumerate(zip(values, errors))]
+        return [{"step": h, date: day(days[-1] + h), "forecast": v, "std_error": e} for h, (v, e) in enumerate(zip(values, errors), 1)]
 
-    made = _mapped(df, keys, date, col, one, "step int, forecast double, std_error double, _last date")
-    return made.select(*[F.col(f"`{k}`") for k in keys], "step", F.date_add("_last", F.col("step")).alias(date), "forecast", "std_error")
+    return map_series(df, keys, date, col, one, f"step int, `{date}` date, forecast double, std_error double")

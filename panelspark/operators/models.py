@@ -8,11 +8,11 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlice
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from panelspark.operators.gram import ols
+from panelspark.functions.tails import t_two_sided
+from panelspark.operators.gram import Gram, fit, raw_coefficients
 from panelspark.operators.scalars import with_scalars
-from panelspark.operators.search import ar_design
+from panelspark.operators.whole import day, lagged, map_series
 
 DEPTH_LIMIT = 30  # the deepest tree Spark grows
 
@@ -55,44 +55,53 @@ def residuals(df: DataFrame, y: str, yhat: str, keep: list[str], name: str = "re
     return df.select(*keep, (_q(y) - _q(yhat)).alias(name))
 
 
+def _conditional(w: np.ndarray, p: int):
+    """Least squares of a series on its p lags and a constant: the fit, coefficients and their errors; None without rows."""
+    z = lagged(w, p)
+    if not len(z):
+        return None
+    g = Gram.of(z)
+    f = fit(g, range(p), p)
+    return g, f, *raw_coefficients(g, f)
+
+
 def ar_fit(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int = 1) -> DataFrame:
     """AR(p) with constant on the d-times differenced series, by conditional least squares.
 
     One row per series and term. The first ``p + d`` values only serve as lags.
     """
-    lags = [f"_l{k}" for k in range(1, p + 1)]
-    fitted = ols(ar_design(df, keys, date, col, p, d), "_w", lags, keys)
-    return fitted.withColumn("feature", F.regexp_replace("feature", "^_l", "ar_"))
+    terms = ["const", *[f"ar_{k}" for k in range(1, p + 1)]]
 
+    def one(y, _):
+        made = _conditional(np.diff(y, d), p) if len(y) > d else None
+        if made is None:
+            return []
+        g, f, coef, se = made
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = coef / se
+        return [{"feature": a, "coefficient": b, "std_error": s, "t": x, "p_value": v, "n": g.n, "r2": f.r2, "r2_adj": f.r2_adj}
+                for a, b, s, x, v in zip(terms, coef, se, t, t_two_sided(t, f.df_resid))]
 
-def ar_forecast(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int = 1, horizon: int = 7) -> DataFrame:
-    """Forecast ``horizon`` days on the original level from an AR(p) fit on the level, first or second differences.
+    return map_series(df, keys, date, col, one, "feature string, coefficient double, std_error double, t double, p_value double, n bigint, r2 double, r2_adj double")
 
-    The recursion runs in a higher-order function over the last ``p`` differences of each series.
-    """
-    fitted = ar_fit(df, keys, date, col, p, d)
-    order = F.when(F.col("feature") == "const", 0).otherwise(F.substring("feature", 4, 9).try_cast("int"))
-    coefs = fitted.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("k"), "coefficient"))),
-                                                  lambda x: x["coefficient"]).alias("_b"))
-    design = (ar_design(df, keys, date, col, 0, d).withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(date))))
-              .withColumn("_prior", F.lag("_y").over(W.partitionBy(*keys).orderBy(date))))
-    tail = design.where(F.col("_k") <= max(p, 1)).groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_k", "_w"))), lambda x: x["_w"]).alias("_recent"),
-        F.max_by("_y", date).alias("_level"), F.max_by(F.col("_y") - F.col("_prior"), date).alias("_slope"), F.max(date).alias("_last"))
-    both = tail.join(coefs, keys) if keys else with_scalars(tail, coefs).select("*", "_s._b")
-    lag_coefs = F.slice("_b", 2, p) if p else F.array().cast("array<double>")
-    # The state is the list of differences, newest first: each step puts the next one in front.
-    ahead = F.aggregate(
-        F.sequence(F.lit(1), F.lit(horizon)), F.col("_recent"),
-        lambda acc, _: F.concat(F.array(F.get("_b", F.lit(0)) + F.aggregate(
-            F.zip_with(lag_coefs, F.slice(acc, 1, max(p, 1)), lambda b, x: b * x), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))), acc))
-    steps = F.reverse(F.slice(ahead, 1, horizon))
-    walk = both.select(*keys, "_level", "_slope", "_last", F.posexplode(steps).alias("_h", "_step"))
-    upto = W.partitionBy(*keys).orderBy("_h").rowsBetween(W.unboundedPreceding, 0)
-    if d == 2:  # the steps add up to slopes, the slopes to levels
-        walk = walk.withColumn("_step", F.col("_slope") + F.sum("_step").over(upto))
-    value = F.col("_level") + F.sum("_step").over(upto) if d else F.col("_step")
-    return walk.select(*keys, (F.col("_h") + 1).alias("step"), F.date_add("_last", F.col("_h") + 1).alias(date), value.alias("forecast"))
+
+def ar_forecast(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int = 1, horizon: int = 7) -> DataFrame:
+    """Forecast ``horizon`` days on the original level from an AR(p) fit on the d-times differenced series."""
+    def one(y, days):
+        made = _conditional(np.diff(y, d), p) if len(y) > d else None
+        if made is None:
+            return []
+        beta, recent, levels, out = made[2], list(np.diff(y, d)), [np.diff(y, k)[-1] for k in range(d)], []
+        for h in range(1, horizon + 1):
+            value = beta[0] + sum(b * v for b, v in zip(beta[1:], recent[::-1]))
+            recent.append(value)
+            for k in range(d - 1, -1, -1):  # the steps add up to slopes, the slopes to levels
+                levels[k] += value
+                value = levels[k]
+            out.append({"step": h, date: day(days[-1] + h), "forecast": float(value)})
+        return out
+
+    return map_series(df, keys, date, col, one, f"step int, `{date}` date, forecast double")
 
 
 def _assemble(features: list[str], invalid: str = "error") -> VectorAssembler:

@@ -8,12 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from panelspark.operators.gram import Fit, Gram, fit, load_gram, packed_gram, raw_coefficients, spread
+from panelspark.operators.gram import Fit, Gram, fit, load_gram, packed_gram, raw_coefficients
 from panelspark.operators.scalars import with_scalars
-from panelspark.operators.series import series_window
 from panelspark.operators.sweep import Sweeper, gray, superset_sums
+from panelspark.operators.whole import day, lagged, map_series
 
 SUBSET_LIMIT = 20  # 2**20 fits; each more source doubles the work
 
@@ -220,51 +219,22 @@ def time_folds(df: DataFrame, date: str, folds: int = 3, horizon: int = 7) -> Da
 def walk_forward(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int = 1, n: int = 10) -> DataFrame:
     """Refit an AR(p) on the d-times differenced series before each of its last ``n`` days, predict that day.
 
-    The history of an origin is not copied: rows are summed once by the interval between two origins,
-    and the sums before an origin are added up. The prediction is on the original level.
+    The history of an origin is not copied: its cross-products are those of the origin before and one more row. The
+    prediction is on the original level; it is NULL while there are no more rows than coefficients.
     """
-    design = ar_design(df, keys, date, col, p, d)
-    back = W.partitionBy(*keys).orderBy(F.desc(date))
-    placed = design.withColumn("_from_end", F.row_number().over(back)).withColumn(
-        "_seg", F.greatest(F.lit(n + 1) - F.col("_from_end"), F.lit(0)))
-    cols = [*[f"_l{k}" for k in range(1, p + 1)], "_w"]
-    sums = packed_gram(placed, cols, [*keys, "_seg"]).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_seg", "n", "mean", "cp"))).alias("_parts"))
-    tests = placed.where("_seg > 0").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
-        "_seg", F.col(date).alias("d"), F.array(*cols).alias("x"), F.col("_y").alias("y"), F.col("_base").alias("base")))).alias("_tests"))
-    kinds = dict(df.dtypes)
-
-    def predict(batches):
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                total, parts, out = None, {s["_seg"]: Gram.unpack(s["n"], s["mean"], s["cp"]) for s in row["_parts"]}, []
-                for test in row["_tests"]:
-                    for s in [s for s in parts if s < test["_seg"]]:
-                        total = parts[s] if total is None else total + parts[s]
-                        del parts[s]
-                    guess = None
-                    if total is not None and total.n > p + 1:
-                        beta, _ = raw_coefficients(total, fit(total, range(p), p))
-                        guess = float(test["base"] + beta[0] + beta[1:] @ np.asarray(test["x"], float)[:p])
-                    out.append({**{k: row[k] for k in keys}, date: test["d"], "y": test["y"], "yhat": guess})
-                yield pd.DataFrame(out)
-
-    joined = sums.join(tests, keys) if keys else with_scalars(sums, tests, "_t").select("_parts", "_t._tests")
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{date}` {kinds[date]}", "y double, yhat double"])
-    return spread(joined, keys).mapInPandas(predict, schema)
-
-
-def ar_design(df: DataFrame, keys: list[str], date: str, col: str, p: int, d: int) -> DataFrame:
-    """``_w``: the d-times differenced value, ``_l1.._lp`` its lags, ``_y`` the level, ``_base`` what
-    must be added to a predicted difference to get the level back."""
-    if d not in (0, 1, 2):
-        raise ValueError("the order of differencing is 0, 1 or 2")
-    w = series_window(keys, date)
-    y = F.col(f"`{col}`").cast("double")
-    one, two = F.lag(y, 1).over(w), F.lag(y, 2).over(w)
-    base = {0: F.lit(0.0), 1: one, 2: 2 * one - two}[d]
-    steps = df.where(F.col(f"`{col}`").isNotNull()).select(*keys, date, y.alias("_y"), base.alias("_base"), (y - base).alias("_w"))
-    place = F.row_number().over(w)
-    lags = steps.select("*", *[F.lag("_w", k).over(w).alias(f"_l{k}") for k in range(1, p + 1)], place.alias("_i"))
-    # The first d + p rows lack a difference or a lag; the position says so with one plain test.
-    return lags.where(F.col("_i") > p + d).drop("_i")
+    def one(y, days):
+        w = np.diff(y, d) if len(y) > d else np.zeros(0)
+        z = lagged(w, p)
+        first, out = max(len(z) - n, 0), []
+        total = Gram.of(z[:first])
+        for i in range(first, len(z)):
+            at = i + p + d
+            guess = None
+            if total.n > p + 1:
+                beta, _ = raw_coefficients(total, fit(total, range(p), p))
+                guess = float(y[at] - w[i + p] + beta[0] + beta[1:] @ z[i, :p])
+            out.append({date: day(days[at]), "y": float(y[at]), "yhat": guess})
+            total = total + Gram.of(z[i:i + 1])
+        return out
+
+    return map_series(df, keys, date, col, one, f"`{date}` {dict(df.dtypes)[date]}, y double, yhat double")

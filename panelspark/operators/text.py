@@ -83,3 +83,52 @@ def adjacency_to_edges(matrix: DataFrame, row: str, nodes: DataFrame | None = No
     edges = (matrix.unpivot([row], others, "dst", "weight").where(F.col("weight") != 0)
              .withColumnRenamed(row, "src"))
     return edges if nodes is None else attach_nodes(edges, nodes, key)
+
+
+def keyword_volumes(docs: DataFrame, phrases: list[str | list[str]], by: list[str], text: str = "text") -> DataFrame:
+    """``keyword_volume`` of many phrases from one scan: rows ``(by..., phrase, docs, hits, volume)``, every phrase in every group.
+
+    A phrase is a string, or a list of which one is enough; the list is named by its members joined with `` OR ``. All
+    strings are found together by one automaton per task, in whole lower-case texts; tasks send one row per group and
+    phrase. A null text is a document without any hit.
+    """
+    import pyarrow as pa
+
+    wanted = [[p] if isinstance(p, str) else list(p) for p in phrases]
+    names = [" OR ".join(p) for p in wanted]
+    if len(set(names)) < len(names):
+        raise ValueError("a phrase is listed twice")
+    rows = docs.select(F.struct(*[F.col(f"`{b}`") for b in by]).alias("_by") if by else F.lit(0).alias("_by"), F.lower(F.col(f"`{text}`")).alias("_text"))
+    kind = rows.schema["_by"].dataType.simpleString()
+
+    def count(batches):
+        import ahocorasick
+
+        automaton, holders = ahocorasick.Automaton(), {}
+        for number, group in enumerate(wanted):
+            for one in group:
+                holders.setdefault(one.lower(), []).append(number)
+        for one, numbers in holders.items():
+            automaton.add_word(one, numbers)
+        automaton.make_automaton()
+        for batch in batches:
+            # Groups are counted per batch, so that a task holds the groups of one batch only.
+            held: dict = {}
+            for group, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key = tuple(group.values()) if by else 0
+                own = held.setdefault(key, (group, {-1: 0}))[1]
+                own[-1] += 1
+                hits = {n for _, numbers in automaton.iter(value) for n in numbers} if value and holders else ()
+                for n in hits:
+                    own[n] = own.get(n, 0) + 1
+            flat = [(group, n, times) for group, own in held.values() for n, times in own.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], batch.schema.field(0).type), pa.array([f[1] for f in flat], pa.int32()), pa.array([f[2] for f in flat], pa.int64())],
+                                             names=["_by", "p", "n"])
+
+    counts = rows.mapInArrow(count, f"_by {kind}, p int, n bigint").groupBy("_by", "p").agg(F.sum("n").alias("n"))
+    # One row per group from here on: documents stand under -1.
+    wide = counts.groupBy("_by").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("m"))
+    listed = F.posexplode(F.array(*[F.lit(n) for n in names]).cast("array<string>"))
+    at = wide.select("_by", F.element_at("m", F.lit(-1)).alias("docs"), "m", listed.alias("_p", "phrase"))
+    hits = F.coalesce(F.try_element_at("m", F.col("_p")), F.lit(0).cast("long"))
+    return at.select(*[F.col(f"_by.`{b}`").alias(b) for b in by], "phrase", "docs", hits.alias("hits"), (hits / F.col("docs")).alias("volume"))

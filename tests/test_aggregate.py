@@ -24,10 +24,12 @@ def test_merged_state_equals_direct_statistics(spark):
 
 
 @pytest.mark.parametrize("values", [[1.0], [3.0, 1.0, 2.0], [5.0] * 400 + list(range(50)), [1e300, -1e300, 0.1, 0.1], list(np.random.default_rng(0).lognormal(0, 4, 3000))])
-def test_exact_quantiles(spark, values):
+@pytest.mark.parametrize("accuracy, held", [(10_000, 200_000), (20, 50)])
+def test_exact_quantiles(spark, values, accuracy, held):
+    """Also with sketches so coarse that brackets miss their rank, and with too many rows in a bracket."""
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = A.exact_quantiles(df, ["v"], probs, bins=16)
+    got = A.exact_quantiles(df, ["v"], probs, accuracy, held)
     if max(values) < 1e299:
         assert [got["v", p] for p in probs] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
     else:
@@ -61,3 +63,35 @@ def test_near_and_repeat(spark):
     assert [bool(r["n"]) for r in got] == [True, False, True, False, False, False]
     assert [bool(r["m"]) for r in got] == [False, False, True, False, False, False]
     assert [bool(r["r"]) for r in got] == [False, False, False, False, False, True]
+
+
+def test_quantiles_with_infinities_and_no_values(spark):
+    df = spark.createDataFrame([(float("-inf"), None), (1.0, None), (2.0, None), (float("inf"), None), (float("inf"), None), (float("nan"), None)], "v double, w double")
+    got = A.exact_quantiles(df, ["v", "w"], [0.0, 0.25, 0.5, 0.75])
+    assert got == {("v", 0.0): float("-inf"), ("v", 0.25): 1.0, ("v", 0.5): 2.0, ("v", 0.75): float("inf"), ("w", 0.0): None, ("w", 0.25): None, ("w", 0.5): None, ("w", 0.75): None}
+
+
+def test_binned_density_is_near_the_exact_one(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(0, 1, 700), rng.normal(6, 0.5, 300), [12.0]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    near = [(r.point, r.x, r.density) for r in A.kde_binned(df, "v", 1000).orderBy("point").collect()]
+    assert [p for p, *_ in near] == list(range(1000))
+    h = values.std(ddof=1) * len(values) ** -0.2
+    exact = np.array([np.exp(-0.5 * ((x - values) / h) ** 2).sum() for _, x, _ in near]) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert np.abs(np.array([d for *_, d in near]) - exact).max() < 1e-3 * exact.max()
+    few = {r.point: r for r in A.kde(df, "v", 50).collect()}
+    again = {r.point: r for r in A.kde_binned(df, "v", 50).collect()}
+    assert again[0].x == pytest.approx(few[0].x) and again[49].x == pytest.approx(few[49].x)
+
+
+def test_correlations_merge_over_tasks(spark):
+    """Tasks with far apart means, holes, a constant column and a pair that never meets."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2)) + np.repeat([0.0, 1e6, -1e6], 100)[:, None]
+    rows = [(float(a), float(b) if i % 3 else None, 4.0, 1.0 * i if i < 50 else None, 2.0 * i if i >= 50 else None) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartitionByRange(5, "a")
+    got = {(r.a, r.b): r.r for r in A.corr_matrix(df, ["a", "b", "c", "d", "e"]).collect()}
+    held = [(a, b) for a, b, *_ in rows if b is not None]
+    assert got["b", "a"] == pytest.approx(np.corrcoef(np.array(held).T)[0, 1], rel=1e-12)
+    assert got["c", "a"] is None and got["e", "d"] is None and len(got) == 10
