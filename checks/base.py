@@ -98,6 +98,12 @@ def daily_facts(spark, d) -> DataFrame:
     return stage(facts, "facts")
 
 
+def span(spark, d) -> tuple:
+    """First and last day that has orders, as scalar subqueries."""
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("fecha"))
+    return days.agg(F.min("fecha")).scalar(), days.agg(F.max("fecha")).scalar()
+
+
 def national(spark, d) -> DataFrame:
     """One row per day that has orders."""
     return (table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("fecha"))
@@ -129,6 +135,7 @@ DIM = "dim AS (SELECT n_nationkey, n_name AS prov, r_name AS region FROM nation
 PLACED = ("placed AS (SELECT *, CAST(o_orderdate AS DATE) AS fecha FROM orders JOIN customer ON o_custkey = c_custkey "
           "JOIN dim ON c_nationkey = n_nationkey)")
 CASES = "cases AS (SELECT fecha, prov, region, count(*) AS num_casos, sum(round(o_totalprice * 100)) AS importe FROM placed GROUP BY ALL)"
+SPAN = "(SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders), INTERVAL 1 DAY"
 OUTCOMES = ("outcomes AS (SELECT fecha, prov, region, " + ", ".join(
     f"CAST(sum(CASE WHEN o_orderstatus = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
     for s, n in (("F", "num_hosp"), ("O", "num_uci"), ("P", "num_def"))) + " FROM placed GROUP BY ALL)")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import (CASES, DIM, FLOWS, INTEREST, NATIONAL, OUTCOMES, PANEL, PLACED, cases, check, dimension, flows, interest, national, outcomes, r,
+from checks.base import (CASES, DIM, FLOWS, INTEREST, NATIONAL, OUTCOMES, PANEL, PLACED, SPAN, cases, check, dimension, flows, interest, national, outcomes, r, span,
                          shown, table, with_)
 from panelspark.operators import joins as J
 from panelspark.operators.aggregate import collapse
@@ -90,11 +90,11 @@ def align_panels(spark, d):
     return shown(both.withColumn("casos", F.coalesce("casos", F.lit(-1)).cast("double")), 2)
 
 
-@check("dense_spine", with_(DIM, PLACED) + """
-SELECT region, CAST(g.fecha AS VARCHAR) AS fecha, count(p.o_orderkey) AS n FROM (SELECT r_name AS region, CAST(unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS fecha FROM region) g
+@check("dense_spine", with_(DIM, PLACED) + f"""
+SELECT region, CAST(g.fecha AS VARCHAR) AS fecha, count(p.o_orderkey) AS n FROM (SELECT r_name AS region, CAST(unnest(generate_series({SPAN})) AS DATE) AS fecha FROM region) g
 LEFT JOIN placed p USING (region, fecha) GROUP BY ALL""")
 def dense_spine(spark, d):
-    spine = J.dense_spine(table(spark, d, "region").select(F.col("r_name").alias("region")), "1995-01-01", "1996-12-31")
+    spine = J.dense_spine(table(spark, d, "region").select(F.col("r_name").alias("region")), *span(spark, d))
     counts = cases(spark, d).groupBy("region", "fecha").agg(F.sum("num_casos").alias("n"))
     return shown(spine.join(counts, ["region", "fecha"], "left").fillna(0, ["n"]))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import NATIONAL, PANEL, WORDS, check, daily_facts, flows, national, r, shown, table, with_
+from checks.base import NATIONAL, PANEL, WORDS, check, daily_facts, flows, national, r, shown, span, table, with_
 from checks.model_checks import small_panel
 from checks.series_checks import DAILY, DENSE, daily
 from checks.statistics_checks import SPLIT
@@ -43,7 +43,7 @@ def search_design(spark, d):
     trips = flows(spark, d).groupBy("fecha", F.col("dest").alias("prov")).agg(F.sum("viajes").alias("viajes"), F.sum("viajes_km").alias("viajes_km"))
     rate = facts.groupBy("fecha").agg(F.sum("num_casos").cast("double").alias("daily"))
     trends = group_sum(facts, ["fecha"], WORDS)
-    free = holiday_panel(facts.where(F.day("fecha") == 1), facts, "1995-01-01", "2001-08-01")
+    free = holiday_panel(facts.where(F.day("fecha") == 1), facts, *span(spark, d))
     sources = {
         "casos_uci": lagged(at, "casos_uci", ["num_hosp", "num_uci", "num_def"], [1, 7, 14, 21]),
         "casos": lagged(at, "casos", ["num_casos", "importe"], [0, 7, 14, 21]),

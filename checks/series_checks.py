@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from checks.base import CASES, DIM, FLOWS, NATIONAL, PANEL, PLACED, cases, check, dense_sql, dimension, flows, national, r, shown, table, with_
+from checks.base import CASES, DIM, FLOWS, NATIONAL, PANEL, PLACED, SPAN, cases, check, dense_sql, dimension, flows, national, r, shown, span, table, with_
 from panelspark.operators import halo as H
 from panelspark.operators import series as S
 from panelspark.operators.joins import join_dim
@@ -128,11 +128,11 @@ def decompose_7(spark, d):
 
 for level, keys in (("prov", "prov, region"), ("region", "region")):
     @check("holiday_panel" if level == "prov" else "holiday_region", with_(DIM, PLACED, "h AS (SELECT DISTINCT prov, fecha FROM placed WHERE day(fecha) = 1)",
-           "p AS (SELECT prov, region, CAST(unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS fecha FROM dim)") + f"""
+           f"p AS (SELECT prov, region, CAST(unnest(generate_series({SPAN})) AS DATE) AS fecha FROM dim)") + f"""
 SELECT {DAY}, {keys}, CAST(max(CASE WHEN h.fecha IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS holiday FROM p LEFT JOIN h USING (prov, fecha) GROUP BY ALL""")
     def holidays(spark, d, level=level):
         marked = cases(spark, d).where(F.day("fecha") == 1)
-        return shown(S.holiday_panel(marked, dimension(spark, d), "1995-01-01", "1996-12-31", level))
+        return shown(S.holiday_panel(marked, dimension(spark, d), *span(spark, d), level))
 
 
 @check("time_split", with_(NATIONAL, *DAILY) + f"""SELECT {DAY}, CASE WHEN daily.fecha < (SELECT min(fecha) + 21 FROM daily) THEN 'warmup' WHEN daily.fecha > (SELECT max(fecha) - 7 FROM daily) THEN 'test' ELSE 'train' END AS split FROM daily""")
