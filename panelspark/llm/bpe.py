@@ -5,9 +5,10 @@ pattern, bytes as printable characters, and merges with an end-of-word suffix. A
 refused. The token ids are a packed binary column (little-endian unsigned 32-bit), the usual form of a
 token file; ``sha2`` and ``length`` of Spark work on it directly.
 
-Defined results: a null text is an empty text (no ids, decoded text ''); characters that Unicode assigned after version 15 may be
-classed otherwise than in the library; a null id column in ``decode``
-gives ''. Texts are never cut; ties between equal ranks go to the leftmost pair; repeated rows give
+Python's character tables are older than those of the library. A text with a character that they do not know, or order
+otherwise, is normalized and cut by the library's own steps; its pieces are merged here like all others.
+
+Defined results: a null text is an empty text (no ids, decoded text ''); a null id column in ``decode`` gives ''. Texts are never cut; ties between equal ranks go to the leftmost pair; repeated rows give
 repeated results; other columns of the input, whatever their names, are not read.
 """
 
@@ -26,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 CACHED_WORDS = 400_000  # texts and pieces remembered by one task; forgetting them changes no result
 LONG_WORD = 64  # longer words are encoded each time, so that the memory of a task is bounded
@@ -63,6 +65,24 @@ class Vocabulary:
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.byte = byte_chars()
+        self.steps = Tokenizer.from_file(path)
+        self.reordered = self._reordered()
+
+    def _reordered(self) -> frozenset[str]:
+        """Marks that the library's tables place otherwise beside another mark than Python's do."""
+        marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M"]
+        normal = self.steps.normalizer.normalize_str
+        return frozenset(m for m in marks if any(normal(x) != unicodedata.normalize("NFC", x) for other in "\u0301\u0316\u0334" for x in (f"x{m}{other}", f"x{other}{m}")))
+
+    def strange(self, text: str) -> bool:
+        """Whether Python's tables are too old for a character of the text."""
+        return not text.isascii() and any(c > "\x7f" and (unicodedata.category(c) == "Cn" or c in self.reordered) for c in set(text))
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a strange text that holds no added token."""
+        number = {c: b for b, c in enumerate(self.byte)}
+        found = self.steps.pre_tokenizer.pre_tokenize_str(self.steps.normalizer.normalize_str(text))
+        return [bytes(number[c] for c in piece).decode() for piece, _ in found]
 
     def words(self, text: str) -> list[str]:
         """Normalized text that holds no added token, cut at white space; no piece of the pattern spans a blank."""
@@ -135,12 +155,17 @@ def _loaded(path: str) -> tuple[Vocabulary, _Words]:
 
 def _entries(vocabulary: Vocabulary, cache: _Words, text: str) -> list[tuple[bytes, str]]:
     """The parts of a text in order, added tokens included, each as (packed ids, strings)."""
+    def plain(part: str) -> list[tuple[bytes, str]]:
+        if vocabulary.strange(part):
+            return [cache.piece(p) for p in vocabulary.cut(part)]
+        return [cache[w] for w in vocabulary.words(part) if w]
+
     out, at = [], 0
     for m in vocabulary.specials.finditer(text) if vocabulary.specials else ():
-        out += [cache[w] for w in vocabulary.words(text[at:m.start()]) if w]
+        out += plain(text[at:m.start()])
         out.append((struct.pack("<I", vocabulary.added[m[0]]), m[0]))
         at = m.end()
-    return out + [cache[w] for w in vocabulary.words(text[at:] if at else text) if w]
+    return out + plain(text[at:] if at else text)
 
 
 def encode_text(path: str, text: str | None) -> bytes:

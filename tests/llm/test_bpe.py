@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -44,6 +45,23 @@ def test_any_latin_text(text):
     assert ids(text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point(library):
+    """Alone between letters, before and after marks of several classes, in both orders."""
+    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(codes), 20_000):
+        texts = [f"a{c}b {c}\u0301 x{c}\u0316 1{c}" for c in codes[lo:lo + 20_000]]
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert bpe.encode_text(PATH, text) == struct.pack(f"<{len(want.ids)}I", *want.ids), ascii(text)
+
+
+def test_marks_of_every_class(library):
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    one_of = {unicodedata.combining(m): m for m in marks}
+    texts = [f"a{m}{o} e{o}{m}{m}" for m in marks for o in one_of.values()]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert bpe.encode_text(PATH, text) == struct.pack(f"<{len(want.ids)}I", *want.ids), ascii(text)
+
+
 def test_table(spark, library):
     rows = [(i, t, "x", "y") for i, t in enumerate([*ODD, None, ODD[2]])] + [(None, "no id", None, None), (0, "again", "x", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded string")
