@@ -1,7 +1,9 @@
 """Personal data by weak supervision.
 
 Base spans follow fixed patterns (email, ip, card, phone) and always stay. Further candidates are looser:
-phone numbers without a plus sign, spelled-out email addresses, social security numbers. Six labelers vote
+phone numbers without a plus sign, spelled-out email addresses, social security numbers, bank account numbers whose
+check digits are right, and secrets: values of 16 characters or more that are assigned to a name, hold letters and
+digits, and have ``ENTROPY`` bits a character. Six labelers vote
 on every candidate, base spans included: shape (regular expressions), gazetteers of words that announce or
 rule out the kind, and context around the span; each votes for, against, or not at all.
 
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "ssn")
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
+ENTROPY = 2.8  # of a candidate for a secret; words and counters have less
 LABELERS = 6
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -42,6 +45,8 @@ LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)+"),
     "phone": re.compile(r"(?<![0-9+.(/-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "secret": re.compile(r"""(?<=[\w"'\])])\s?[:=]\s?["']?([A-Za-z0-9+_=-][A-Za-z0-9+/_=-]{15,})"""),
 }
 CUES = {  # fixed values: words that announce a kind
     "email": {"email", "e-mail", "mail", "contact", "write", "correo", "courriel"},
@@ -49,7 +54,11 @@ CUES = {  # fixed values: words that announce a kind
     "card": {"card", "visa", "mastercard", "credit", "tarjeta", "carte", "karte"},
     "phone": {"phone", "tel", "call", "mobile", "fax", "telephone", "cell", "telefon", "teléfono", "téléphone", "whatsapp"},
     "ssn": {"ssn", "social", "security"},
+    "iban": {"iban", "account", "bank", "transfer", "cuenta", "banco", "konto", "compte", "virement"},
+    "secret": {"token", "secret", "password", "passwd", "pwd", "pass", "key", "apikey", "auth", "authorization", "credential", "credentials", "bearer", "private", "signature",
+               "clave", "contraseña", "passwort", "kennwort", "jeton"},
 }
+DIGESTS = {"sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "commit", "revision", "etag", "uuid", "guid", "class", "href", "src", "id"}  # fixed values: long codes that are no secrets
 AGAINST = {"version", "isbn", "page", "pages", "figure", "section", "chapter", "order", "invoice", "no", "number", "ratio", "score", "id", "code", "price"}
 YEAR = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")
 
@@ -66,6 +75,18 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
+def checked(account: str) -> bool:
+    """Whether the check digits of a bank account number are right: letters as numbers from 10, modulo 97."""
+    code = account.replace(" ", "")
+    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def entropy(value: str) -> float:
+    """Bits a character of the characters' own counts."""
+    n = np.array(list(Counter(value).values())) / len(value)
+    return float(-(n * np.log2(n)).sum())
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Leftmost non-overlapping matches of each kind that pass its test."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -95,16 +116,22 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def loose_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
     """Further candidates, leftmost first, that overlap neither a base span nor each other."""
     found = []
-    kinds = ["phone", "ssn"] if DIGIT.search(text) else []
+    kinds = ["phone", "ssn", "iban", "secret"] if DIGIT.search(text) else []
     if "dot" in text:
         kinds.append("email")
     for kind in kinds:
         for m in LOOSE[kind].finditer(text):
-            if kind == "email" or 9 <= len(digits(m[0])) <= 15:
+            if kind == "secret":
+                value = m[1]
+                holds = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= ENTROPY
+                if holds:
+                    found.append((*m.span(1), kind))
+            elif kind == "email" or (checked(m[0]) if kind == "iban" else 9 <= len(digits(m[0])) <= 15):
                 found.append((m.start(), m.end(), kind))
     taken = sorted(chain.from_iterable(base.values()))
     out, end, i = [], 0, 0
-    for a, b, kind in sorted(found, key=lambda f: (f[0], -f[1], f[2])):
+    # Of candidates over the same characters the stricter pattern holds; that of phone numbers is the loosest.
+    for a, b, kind in sorted(found, key=lambda f: (f[0], -f[1], f[2] == "phone", f[2])):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if a >= end and (i == len(taken) or taken[i][0] >= b):
@@ -118,14 +145,18 @@ def evidence(text: str, kind: str, begin: int, end: int) -> tuple[int, int]:
     span, before, after = text[begin:end], text[max(0, begin - 48):begin], text[end:end + 24]
     words = re.findall(r"[^\W\d_][\w-]*", before.lower())[-4:]
     n, near = len(digits(span)), set(words)
-    shape = {"email": "@" in span, "ip": True, "card": n in (15, 16), "phone": span[0] in "+(" or n in (10, 11), "ssn": not span.startswith(("000", "666", "9"))}[kind]
-    cue, ruled = bool(near & CUES[kind]), bool(near & AGAINST)
+    if kind == "secret":  # the name that the value is assigned to, in its parts
+        near = {part for w in words[-2:] for part in re.split(r"[_-]+", w)}
+    hexadecimal, mixed = not set(span.lower()) - set("0123456789abcdef"), span != span.lower() and span != span.upper()
+    shape = {"email": "@" in span, "ip": True, "card": n in (15, 16), "phone": span[0] in "+(" or n in (10, 11), "ssn": not span.startswith(("000", "666", "9")),
+             "iban": len(span) >= 18, "secret": hexadecimal or mixed}[kind]
+    cue, ruled = bool(near & CUES[kind]), bool(near & (DIGESTS if kind == "secret" else AGAINST))
     closed = not (after[:1].isalnum() or before[-1:].isalnum())
     number_next = bool(re.match(r"\s*[0-9]", after)) or bool(re.search(r"[0-9]\s*$", before))
     currency = bool(re.search(r"[$€£%#=]\s*$", before)) or bool(re.match(r"\s*[%€$£]", after))
     year = bool(YEAR.search(span)) and kind in ("phone", "ssn")
     parts = {len(p) for p in re.split(r"[^0-9]+", span) if p}
-    even = len(parts) == 1 and kind == "phone"
+    even = len(parts) == 1 and kind == "phone" or kind == "secret" and not 0.05 <= n / len(span) <= 0.95
     votes = (2 if shape else 1, 2 if cue else 0, 1 if ruled else 0, 0 if closed and not number_next else 1, 1 if currency or year else 0, 1 if even else 2)
     features = (shape, cue, ruled, closed, number_next, currency, year, even, "(" in span or "+" in span or "@" in span)
     return sum(v * 3 ** i for i, v in enumerate(votes)), sum(1 << i for i, f in enumerate(features) if f)
