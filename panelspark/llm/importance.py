@@ -150,3 +150,36 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: in
     """``draw`` of ``docs`` scored by their likeness to the texts of ``target``."""
     gain = gains(bucket_counts(docs, text_col, buckets), bucket_counts(target, target_col, buckets))
     return draw(score(docs, gain, id_col, text_col, seed), percent, min_words, id_col)
+
+
+def _sql(percent: int = 5, min_words: int = 20, seed: int = 42, buckets: int = BUCKETS) -> str:
+    """The SQL of the query. The checksum goes by half bytes, the low one first; a run of words carries on the state of
+    the run without its last word, so each distinct run costs its last word only."""
+    def half(x: int) -> int:
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        return x
+
+    table = f"[{', '.join(str(half(i)) for i in range(16))}]::BIGINT[]"
+    go = lambda halves, start: f"list_reduce({halves}, lambda c, n: xor(c >> 4, ({table})[((xor(c, n)) & 15) + 1]), {start})"
+    lower = f"translate(text, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
+    words = f"regexp_extract_all(coalesce({lower}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH item AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS ws, false AS goal FROM documents UNION ALL SELECT row_number() OVER (), NULL, {words}, true FROM benchmark),
+run AS MATERIALIZED (SELECT goal, r, unnest(ws) AS a, unnest(ws[2:] || [NULL]) AS b, unnest(ws[3:] || [NULL, NULL]) AS c FROM item WHERE len(ws) > 0),
+hexed AS (SELECT a AS w, hex(encode(a)) AS h FROM run GROUP BY a),
+halved AS MATERIALIZED (SELECT w, [CAST(instr('0123456789ABCDEF', h[2 * (j // 2) + 2 - j % 2]) - 1 AS BIGINT) for j in range(length(h))] AS hs FROM hexed),
+one AS MATERIALIZED (SELECT w AS a, {go('hs', '4294967295')} AS s FROM halved),
+two AS MATERIALIZED (SELECT p.a, p.b, {go('[0, 2]::BIGINT[] || hs', 's')} AS s FROM (SELECT DISTINCT a, b FROM run WHERE b IS NOT NULL) p JOIN one ON one.a = p.a JOIN halved ON w = p.b),
+three AS MATERIALIZED (SELECT p.a, p.b, p.c, {go('[0, 2]::BIGINT[] || hs', 's')} AS s FROM (SELECT DISTINCT a, b, c FROM run WHERE c IS NOT NULL) p JOIN two ON two.a = p.a AND two.b = p.b JOIN halved ON w = p.c),
+feature AS MATERIALIZED (SELECT goal, r, xor(s, 4294967295) % {buckets} AS k FROM (SELECT goal, r, s FROM run JOIN one USING (a) UNION ALL SELECT goal, r, s FROM run JOIN two USING (a, b) UNION ALL SELECT goal, r, s FROM run JOIN three USING (a, b, c))),
+total AS (SELECT count(*) FILTER (NOT goal) AS s, count(*) FILTER (goal) AS t FROM feature),
+gain AS (SELECT k, floor(1000 * ln((t + 1.0::DOUBLE) * (bs + {buckets}) / ((s + 1.0::DOUBLE) * (bt + {buckets}))))::BIGINT AS g
+  FROM (SELECT k, count(*) FILTER (NOT goal)::DOUBLE AS s, count(*) FILTER (goal)::DOUBLE AS t FROM feature GROUP BY k), (SELECT s::DOUBLE AS bs, t::DOUBLE AS bt FROM total)),
+weighed AS (SELECT r, count(*) AS n, sum(g)::BIGINT AS w FROM feature JOIN gain USING (k) WHERE NOT goal GROUP BY r),
+scored AS (SELECT item.r, doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight,
+  coalesce(w, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM item LEFT JOIN weighed ON weighed.r = item.r WHERE NOT goal),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM scored WHERE n_words >= {min_words})
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= {percent} * (SELECT count(*) FROM ranked) // 100 THEN k END AS rank FROM scored LEFT JOIN ranked USING (r)"""
+
+
+SQL = _sql()

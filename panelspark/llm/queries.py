@@ -94,7 +94,7 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "is_copy", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op6_suffix")
+@query("op6_suffix", suffix.SQL)
 def op6_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, folder, "documents"), length=50)
 
@@ -109,7 +109,7 @@ def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return linkgraph.judge(table(spark, folder, "pages"))
 
 
-@query("op13_importance_resampling")
+@query("op13_importance_resampling", importance.SQL)
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     found = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")

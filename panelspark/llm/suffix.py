@@ -407,3 +407,17 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
         at = max(at, end)
     out.update(text[at:])
     return removed, runs, out.hexdigest()
+
+
+# The same from the definition: every window of 50 bytes, the least document that holds it, runs of covered bytes.
+SQL = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS MATERIALIZED (SELECT r, doc_id, i, h[i + 1:i + 50] AS s FROM (SELECT r, doc_id, h, unnest(range(0, octet_length(h) - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS lead FROM w GROUP BY s),
+c AS (SELECT w.r, w.i, w.i > lag(w.i) OVER (PARTITION BY w.r ORDER BY w.i) + 50 AS apart FROM w JOIN m ON m.s = w.s WHERE m.lead < w.doc_id),
+g AS (SELECT r, i, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM c),
+runs AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY r, k),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM runs),
+kept AS (SELECT runs.r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(hex(h[z + 1:a]), '' ORDER BY a) AS before
+  FROM gaps AS runs JOIN d ON d.r = runs.r GROUP BY runs.r)
+SELECT doc_id, CAST(octet_length(h) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(before, '') || hex(h[coalesce(tail, 0) + 1:octet_length(h)]))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r"""
