@@ -7,7 +7,7 @@ Which pairs: documents with the same text are one class, led by its smallest id;
 with it from end to end and lose all their lines. Between classes, a rare line (held by ``rare`` classes or
 fewer) pairs every two of its holders. A more frequent line pairs each holder with the first holder only, so
 that its occurrences give as many pairs, not their square; every line that an earlier document holds is
-still compared with one that holds it. With ``whole`` (the registered query and the pipeline) what an earlier
+still compared with one that holds it. Unless ``whole`` is turned off, what an earlier
 class holds and this pass leaves is tried against its other earlier holders until one deletes it or none is
 left, so the result is that of aligning all earlier holders.
 
@@ -234,7 +234,7 @@ def left_over(texts: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
     return found
 
 
-def removals(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def removals(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """``(key, first, removed)`` of each distinct text: the id that leads it and the places, among its lines that
     are not blank, to delete from the leading document."""
     lines = classes(docs, id_col, text_col)
@@ -247,7 +247,7 @@ def removals(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str =
 
 
 def deduplicate(docs: DataFrame, rare: int = 10, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
-                whole: bool = False) -> DataFrame:
+                whole: bool = True) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_lines`` (not blank), ``n_removed``, ``is_copy`` (of an earlier document),
     ``kept``, the text left, and the columns ``carry`` as they are. ``whole`` compares with all earlier holders of a line."""
     found = stage(removals(docs, rare, min_chars, id_col, text_col, whole), "removals")
