@@ -104,7 +104,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
     labelled = rows.where(~held_out("_id") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     chosen = sample_ids(labelled, "_lang", "_id", per_lang)
-    texts = labelled.join(chosen.select("_id").distinct(), "_id").select("_lang", F.col("_text").cast("binary").alias("_text"))
+    # Rows that repeat an id count once, with the language and text that sort first.
+    one = labelled.join(chosen.select("_id").distinct(), "_id").groupBy("_id").agg(F.min(F.struct("_lang", "_text")).alias("_r"))
+    texts = one.select("_r._lang", F.col("_r._text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -277,7 +277,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = sample_ids(known.where(~held_out("_id") & F.col("_id").isNotNull()), "_label", "_id", per_label).where("_label IN (0, 1)")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where(F.col("_text").isNotNull())
     # At most per_label ids of either label, so the ids go to the texts and not the texts to the ids.
-    found = sorted(texts.join(F.broadcast(chosen), "_id").select("_label", F.xxhash64("_id").alias("_h"), "_text").collect())
+    # Rows that repeat an id count once, with the text that sorts first.
+    one = texts.join(F.broadcast(chosen), "_id").groupBy("_label", "_id").agg(F.min("_text").alias("_text"))
+    found = sorted(one.select("_label", F.xxhash64("_id").alias("_h"), "_text").collect())
     return fit([r._text for r in found if r._label == 1], [r._text for r in found if r._label == 0])
 
 

@@ -50,3 +50,12 @@ def test_held_out_accuracy(spark):
     assert len(got) == len(want) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == want[r.doc_id] for r in held) / len(held) > 0.98
+
+
+def test_rows_of_one_id_count_once(spark):
+    """A hundred thousand rows of one id change nothing in what is learned."""
+    rows = [(i, f"the cat and the dog in the house {i}", "en") for i in range(30)] + [(100 + i, f"der hund und die katze im haus {i}", "de") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = docs.union(spark.range(100_000).selectExpr("0L", "'the cat and the dog in the house 0'", "'en'"))
+    once, again = langid.train(docs), langid.train(many)
+    assert once.langs == again.langs and np.array_equal(once.weights, again.weights)

@@ -69,3 +69,16 @@ def test_held_out_accuracy(spark):
     held = [(r.predicted, label[r.doc_id]) for r in got if r.held_out and r.doc_id in label]
     assert sum(p for p, t in held if t) / sum(t for _, t in held) > 0.75  # some 200 toxic documents to learn from, a third of them by forms seen once or twice
     assert sum(p for p, t in held if not t) / sum(1 - t for _, t in held) < 0.05
+
+
+def test_rows_of_one_id_count_once(spark):
+    """Twenty thousand rows of one labelled id change nothing in what is learned."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    first = docs.join(labels.where("toxic = 1"), "doc_id").where("crc32(CAST(doc_id AS STRING)) % 3 <> 1").orderBy("doc_id").select("doc_id", "text").first()
+    many = docs.select("doc_id", "text").union(spark.range(20_000).selectExpr(f"{first.doc_id}L").crossJoin(spark.createDataFrame([(first.text,)], "text string")))
+    once, again = toxicity.train(docs, labels), toxicity.train(many, labels)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(50).collect()]
+    assert (once is None) == (again is None)
+    if once:
+        assert toxicity.Scorer(once)(texts) == toxicity.Scorer(again)(texts)
