@@ -2,13 +2,14 @@
 
 ``build_index`` stores a posting (document row, position, term) for every training token whose term the
 test set uses; the lists of other terms would never be read. ``phrase_matches`` looks up the rarest term
-of each test window, shifts its list by the term's place in the window, and intersects the result with the
-lists of the other terms at their own places; a window occurs where all its places are met. With ``slack``
-a place is met within so many words, which gives proximity matches.
-
-Scale: the texts are read once. Postings are written, not shuffled; lists are keyed by document row and
-position when they are intersected, so neither a frequent term nor a hot passage lands in one task. The
-candidates are as many as the rarest terms have postings. Small sides are broadcast only as far as the
+of each test window, shifts its list by the term's place in the window, intersects the result with the list
+of the second rarest, and what is left with the lists of the other terms at their own places; a window occurs
+where all its places are met. With ``slack`` a place is met within so many words, which gives proximity matches.
+
+Scale: the texts are read once. Postings are written; only those of second rarest terms, and of documents in
+which two terms of a window meet, are shuffled. Lists are keyed by document row and position when they are
+intersected, so neither a frequent term nor a hot passage lands in one task. The candidates are as many as the
+rarest terms have postings. Small sides are broadcast only as far as the
 session threshold says for their written size.
 
 Defined results: a null text has no words; a null or wordless test item has no window; an item shorter
@@ -58,17 +59,24 @@ def phrase_matches(index: DataFrame, test: DataFrame, slack: int = 0) -> DataFra
     places = test.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "word")).withColumn("term", F.xxhash64("word")).drop("word")
     postings = index.where("term IS NOT NULL").select("row", "pos", "term")
     counts = postings.groupBy("term").count()
+    # Places of a window, rarest term first. Another place with the same term is a place of its own.
     ranked = (places.join(counts, "term").groupBy("window", "length")
-              .agg(F.count("*").alias("found"), F.min(F.struct("count", "offset", "term")).alias("rarest")))
-    anchors = stage(ranked.where("found = length").select("window", "length", "rarest.offset", "rarest.term"), "anchors")
+              .agg(F.count("*").alias("found"), F.array_sort(F.collect_list(F.struct("count", "offset", "term"))).alias("by")))
+    order = stage(ranked.where("found = length").select("window", "length", F.col("by")[0].alias("rarest"), F.get("by", F.lit(1)).alias("next")), "order")
     # The rarest term may itself stand up to slack words away from its place.
     shift = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
+    anchors = order.select("window", "length", "rarest.offset", "rarest.term")
     starts = (postings.join(anchors, "term").select("row", "window", "length", F.col("pos") - F.col("offset"), shift.alias("s"))
               .toDF("row", "window", "length", "start", "s").select("row", "window", "length", (F.col("start") + F.col("s")).alias("start")).distinct())
-    wanted = (starts.join(places.drop("length"), "window")
-              .select("row", "start", "window", "length", "offset", "term", shift.alias("s"))
-              .withColumn("pos", F.col("start") + F.col("offset") + F.col("s")))
-    met = wanted.join(postings, ["row", "pos", "term"]).groupBy("row", "start", "window", "length")
+    wanted = lambda found, at: (found.join(at, "window").select("row", "start", "window", "length", "offset", "term", shift.alias("s"))
+                                .withColumn("pos", F.col("start") + F.col("offset") + F.col("s")))
+    # Only starts that also meet the next term look up the other lists, and only in the documents that are left.
+    second = order.where("next IS NOT NULL").select("window", "next.offset", "next.term")
+    held = postings.join(second.select("term").distinct(), "term", "left_semi")
+    both = wanted(starts.where("length > 1"), second).join(held, ["row", "pos", "term"]).select("row", "start", "window", "length").distinct()
+    left = stage(both.unionByName(starts.where("length = 1").select("row", "start", "window", "length")), "starts")
+    lists = postings.join(left.select("row").distinct(), "row", "left_semi")
+    met = wanted(left, places.drop("length")).join(lists, ["row", "pos", "term"]).groupBy("row", "start", "window", "length")
     full = met.agg(F.countDistinct("offset").alias("met")) if slack else met.agg(F.count("*").alias("met"))
     return full.where("met = length").select("row", "start", "window", "length")
 

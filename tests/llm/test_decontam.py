@@ -67,3 +67,16 @@ def test_query_equals_sql(spark):
     rows = sorted(want.fetchall())
     assert sum(r[-1] for r in rows) > 0
     assert sorted(map(tuple, queries.op8_decontamination(spark, folder).select(*names).collect())) == rows
+
+
+def test_only_documents_in_which_two_terms_meet_are_looked_up(spark, monkeypatch):
+    """Starts at which the second rarest term is missing do not reach the lists of the other terms."""
+    kept, write = {}, decontam.stage
+    monkeypatch.setattr(decontam, "stage", lambda df, purpose: kept.setdefault(purpose, write(df, purpose)))
+    texts = ["x the rare second of", "rare word", "the the of", "of rare", "solo", "the rare of second"] + ["the of"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the rare second of"), (2, "solo"), (3, "of of of")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontam.contamination(docs, items).collect()}
+    assert {d: v for d, v in got.items() if v[0]} == {0: (4, ["1"]), 4: (1, ["2"])}
+    looked = kept["starts"].join(kept["postings"].select("row", "id").distinct(), "row")
+    assert sorted({r.id for r in looked.collect()}) == [0, 4]
