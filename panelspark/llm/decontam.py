@@ -6,10 +6,10 @@ of each test window, shifts its list by the term's place in the window, intersec
 of the second rarest, and what is left with the lists of the other terms at their own places; a window occurs
 where all its places are met. With ``slack`` a place is met within so many words, which gives proximity matches.
 
-Scale: the texts are read once. Postings are written; only those of second rarest terms, and of documents in
-which two terms of a window meet, are shuffled. Lists are keyed by document row and position when they are
-intersected, so neither a frequent term nor a hot passage lands in one task. The candidates are as many as the
-rarest terms have postings. Small sides are broadcast only as far as the
+Scale: the texts are read once and the postings shuffled once, those of second rarest terms twice. Lists are
+keyed by document row and position when they are intersected, so neither a frequent term nor a hot passage
+lands in one task. The candidates are as many as the rarest terms have postings; places are made only for those
+that meet a second term. Small sides are broadcast only as far as the
 session threshold says for their written size.
 
 Defined results: a null text has no words; a null or wordless test item has no window; an item shorter
@@ -70,13 +70,12 @@ def phrase_matches(index: DataFrame, test: DataFrame, slack: int = 0) -> DataFra
               .toDF("row", "window", "length", "start", "s").select("row", "window", "length", (F.col("start") + F.col("s")).alias("start")).distinct())
     wanted = lambda found, at: (found.join(at, "window").select("row", "start", "window", "length", "offset", "term", shift.alias("s"))
                                 .withColumn("pos", F.col("start") + F.col("offset") + F.col("s")))
-    # Only starts that also meet the next term look up the other lists, and only in the documents that are left.
+    # Only starts that also meet the next term look up the other lists.
     second = order.where("next IS NOT NULL").select("window", "next.offset", "next.term")
     held = postings.join(second.select("term").distinct(), "term", "left_semi")
     both = wanted(starts.where("length > 1"), second).join(held, ["row", "pos", "term"]).select("row", "start", "window", "length").distinct()
     left = stage(both.unionByName(starts.where("length = 1").select("row", "start", "window", "length")), "starts")
-    lists = postings.join(left.select("row").distinct(), "row", "left_semi")
-    met = wanted(left, places.drop("length")).join(lists, ["row", "pos", "term"]).groupBy("row", "start", "window", "length")
+    met = wanted(left, places.drop("length")).join(postings, ["row", "pos", "term"]).groupBy("row", "start", "window", "length")
     full = met.agg(F.countDistinct("offset").alias("met")) if slack else met.agg(F.count("*").alias("met"))
     return full.where("met = length").select("row", "start", "window", "length")
 

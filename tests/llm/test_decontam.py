@@ -69,7 +69,7 @@ def test_query_equals_sql(spark):
     assert sorted(map(tuple, queries.op8_decontamination(spark, folder).select(*names).collect())) == rows
 
 
-def test_only_documents_in_which_two_terms_meet_are_looked_up(spark, monkeypatch):
+def test_only_starts_at_which_two_terms_meet_are_looked_up(spark, monkeypatch):
     """Starts at which the second rarest term is missing do not reach the lists of the other terms."""
     kept, write = {}, decontam.stage
     monkeypatch.setattr(decontam, "stage", lambda df, purpose: kept.setdefault(purpose, write(df, purpose)))
