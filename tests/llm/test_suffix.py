@@ -110,3 +110,38 @@ def test_classes_of_equal_starts():
             start = tuple(text[i:i + length]) if i + length <= n + 1 else i
             assert seen.setdefault(start, group[i]) == group[i]
         assert len(set(seen.values())) == len(seen)
+
+
+def test_pieces_to_index_and_rows_of_marks(spark):
+    rnd = random.Random(11)
+    some = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    passages = [some(rnd.randrange(20, 90)) for _ in range(12)]  # the short ones share anchors but no window
+    texts = [b"".join(rnd.choice(passages) + some(rnd.randrange(3, 40)) for _ in range(12)) for _ in range(40)]
+    ids, entries, pieces = [], [], []
+    for i, text in enumerate(texts):
+        h, first, last, sides = suffix.scan_sides(text, 50)
+        made = np.empty(len(h), suffix.ENTRY)
+        names = suffix._names(text, first, last, 50)
+        made["anchor"], made["name"], made["more"] = h >> np.uint64(32), names & np.uint64(0xFFFFFFFF), names >> np.uint64(32)
+        made["left"], made["right"] = sides
+        ids, entries = ids + [i] * len(h), entries + [made]
+        pieces += [(i, int(n), int(x), text[a:b + 50]) for n, x, a, b in zip(names, h, first, last)]
+    marks = {(i, n): m for i, n, m in zip(*(x.tolist() for x in suffix.decide(np.array(ids), np.concatenate(entries))))}
+    least, holders, of_anchor = {}, {}, {}
+    for i, n, x, piece in pieces:
+        least[n] = min(i, least.get(n, i))
+        of_anchor.setdefault(x, {}).setdefault(n, piece)
+        for p in range(len(piece) - 49):
+            holders.setdefault(piece[p:p + 50], set()).add(n)
+    differ = {n for names in of_anchor.values() if len(names) > 1 for n in names}
+    for i, n, _, _ in pieces:
+        assert (marks.get((i, n)) == 0) == (i > least[n])  # covered by an equal piece
+    must = {n for own in holders.values() if len({least[n] for n in own}) > 1 for n in own}
+    indexed = {n for (i, n), m in marks.items() if m}
+    assert must and must <= indexed < differ and all(least[n] == i for (i, n), m in marks.items() if m)
+    # One row for a document, whatever the number of buckets, and marks travel in rows of a bucket and a group of documents.
+    docs = suffix._texts(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string"), "doc_id", "text")
+    rows = suffix._shared(suffix._anchor_lists(docs, 50, 97), 2).collect()
+    assert len(rows) == len({r.ord for r in rows})
+    got = {(r.ord, int(n)): m for r in rows for m, packed in ((0, r.covered), (1, r.mixed)) for n in suffix._unpack(bytes(packed))}
+    assert got == marks
