@@ -7,9 +7,12 @@ bytes and for byte-fallback pieces, the cut is refined by those bytes. Tokens be
 sides end form a group; an A and a B token are linked if their byte ranges overlap. (The installed ``sentencepiece``
 refuses ``immutable_proto``; its ``proto`` has the same spans.)
 
-Neither tokenizer joins anything over a single blank between two visible characters, so a text is cut at such blanks.
-A task remembers short pieces (forgetting them changes no result); the new pieces of a batch go through both libraries
-in one call, joined by blanks. A model with pieces that cross a blank, or with another pre-tokenizer, is refused.
+Neither tokenizer joins anything over a single blank between two visible characters, so a text is cut before such blanks.
+A's pre-tokenizer also ends a token where a letter meets a punctuation mark or a visible character a line break, so a text is
+cut there too, unless B has pieces that cross or A has added tokens. Each piece keeps the blank that it begins with. A task
+remembers short pieces (forgetting them changes no result); the new pieces of a batch go through both libraries in one
+call, those without a blank after a letter that is dropped again. A model with pieces that cross a blank, or with another
+pre-tokenizer, is refused.
 
 The count of an id pair is the number of documents that hold it linked. Documents keep their distinct pairs packed;
 tasks count the pairs of each batch first. The most frequent pairs, ``HOT_PAIRS`` at most whatever the input, travel
@@ -42,8 +45,14 @@ HOT_PAIRS = 1 << 18
 REMEMBERED = 150_000  # pieces in each of two generations that a task remembers
 LONG = 64  # longer pieces are aligned each time they occur
 CHUNK = 200_000  # characters that go through the tokenizers at once, one piece at least
-# A blank between two characters that neither side can take for white space.
-CUT, VISIBLE = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"), re.compile(r"[!-~\w]")
+# Before a blank between two characters that neither side can take for white space.
+VISIBLE = re.compile(r"[!-~\w]")
+BLANKS = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+# There, before a line break after such a character, and between a letter and a mark. The first look ahead is only for speed.
+LETTER, MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+WORDS = re.compile(rf"(?=[ \n{MARK}])(?:(?<=[!-~\w])(?= [!-~\w]|\n)|(?<=[{LETTER}])(?=[{MARK}]))")
+CROSSING = re.compile(rf"[{LETTER}][{MARK}]|[^\n]\n")
+BEFORE = " a"  # goes through the tokenizers before a piece without a blank
 BLANK = "▁"
 END = "\n"
 ROWS = 512
@@ -84,6 +93,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.base)]
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces):
             raise ValueError("side B has pieces that cross a blank")
+        from_text = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        crossed = any(map(CROSSING.search, from_text)) or not all(t["special"] for t in spec["added_tokens"])
+        self.cut = BLANKS if crossed else WORDS
         byte = {c: i for i, c in enumerate(byte_chars())}
         bytes_a = {i: bytes(byte[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in byte for c in s)}
         # Added tokens stand for themselves; with encode_special_tokens none is made from a text.
@@ -103,7 +115,7 @@ class Aligner:
                 out[piece] = new[piece]
             elif piece in old:
                 out[piece] = self._keep(piece, old[piece])
-            elif not VISIBLE.match(piece) or not VISIBLE.match(piece, len(piece) - 1):
+            elif piece[0] == " " and not VISIBLE.match(piece, 1) or not VISIBLE.match(piece, len(piece) - 1):
                 self._learn([piece], out)  # begins or ends a text with white space, which a neighbour would touch
             else:
                 missing.append(piece)
@@ -122,7 +134,7 @@ class Aligner:
         return made
 
     def _learn(self, missing: list[str], out: dict) -> None:
-        """Align new pieces, joined by blanks, in one call. If their bytes are not given back, halves are tried."""
+        """Align new pieces, one after the other, in one call. If their bytes are not given back, halves are tried."""
         if not missing:
             return
         made = self.align(missing)
@@ -136,9 +148,15 @@ class Aligner:
 
     def align(self, pieces: list[str]) -> list[Aligned] | None:
         """The alignments of pieces, or None if a side does not give all bytes back."""
-        joined = " ".join(pieces)
-        text, raw = " " + joined, (" " + joined).encode()
-        made, found = self.a.encode(text, add_special_tokens=False), [(p.id, p.end) for p in self.b.encode(joined, return_type="proto").pieces]
+        spread, at = [], []
+        for piece in pieces:
+            if piece[0] != " ":
+                spread.append(BEFORE)
+            at.append(len(spread))
+            spread.append(piece)
+        text = "".join(spread)
+        raw = text.encode()
+        made, found = self.a.encode(text, add_special_tokens=False), [(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
         listed = [made.ids, [i for i, _ in found]]
         if any(b"".join(map(table.__getitem__, ids)) != raw for table, ids in zip(self.bytes, listed)):
             return None
@@ -150,11 +168,12 @@ class Aligner:
             spans = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])[spans]
         end_b = np.array([e for _, e in found], np.int64) + 1
         ends = [byte_ends(spans[:, 0], spans[:, 1], self.sizes[0][ids[0]]), byte_ends(np.concatenate([[0], end_b[:-1]]), end_b, self.sizes[1][ids[1]])]
-        return self._cut(pieces, ids, ends)
+        every = self._cut(spread, ids, ends)
+        return [every[k] for k in at]
 
     def _cut(self, pieces: list[str], ids: list[np.ndarray], ends: list[np.ndarray]) -> list[Aligned]:
         """Groups and links from the cuts of both sides, piece by piece. Every piece ends with a common cut."""
-        stops = np.cumsum([1 + len(p.encode()) for p in pieces])
+        stops = np.cumsum([len(p.encode()) for p in pieces])
         ending = np.zeros((2, stops[-1] + 1), bool)
         for side in (0, 1):
             ending[side, ends[side]] = True
@@ -180,7 +199,7 @@ class Aligner:
     def texts(self, texts: list[str | None]) -> list[tuple]:
         """For each text n_a, n_b, n_groups, n_links, groups (None without tokens), its distinct pairs in ascending
         order and how often each is linked, both packed."""
-        parts = [CUT.split(t) if t else [] for t in texts]
+        parts = [self.cut.split(" " + t) if t else [] for t in texts]
         distinct = dict.fromkeys(chain.from_iterable(parts))
         number = dict(zip(distinct, range(len(distinct))))
         at = [list(map(number.__getitem__, own)) for own in parts]

@@ -103,6 +103,36 @@ def assert_same(sides, text):
     assert [i for g in got[4].split(";") for i in g.split("|")[0].split(",")] == [str(i) for i, _ in both[0]]
 
 
+MARKED = ["word. word, word\nword! (word) word$$$", "it's 'tis rock'n'roll don't.Don't", "a.\nB\n\n c.\n", "ü,é.ÿ!×a÷ ß\u0301.", "<s>.</s> a_b a<0x41>b|c", ".\n", "a\n", "x=1.5;y\t.z", "语.\n語,a"]
+
+
+@pytest.mark.parametrize("text", MARKED)
+def test_marks_and_line_breaks(sides, text):
+    assert_same(sides, text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aBsé \n\t.,'!_<1\u0301\u0338語▁"), max_size=30))
+def test_any_marked_text(text):
+    assert_same(libraries(), text)
+
+
+def test_words_are_learned_once():
+    """A word is the same piece before a blank, a mark and a line break."""
+    tool = crosstok.Aligner(A, B)
+    tool.texts(["word. word, word\nword! word word$$$"])
+    assert set(tool.new) == {" word", ".", ",", "\nword", "!", "$$$"}
+
+
+def test_crossing_pieces_keep_to_blanks():
+    """Where a piece of B crosses a letter and a mark, only blanks cut; the results are the same."""
+    assert all(map(crosstok.CROSSING.search, ("a.", "é,", "_\n"))) and not any(map(crosstok.CROSSING.search, (".a", "\n", "▁a", "1.", "語.")))
+    fine, coarse = crosstok.Aligner(A, B), crosstok.Aligner(A, B)
+    assert fine.cut is crosstok.WORDS
+    coarse.cut = crosstok.BLANKS
+    assert fine.texts([*ODD, *MARKED]) == coarse.texts([*ODD, *MARKED])
+
+
 def test_forgetting_changes_nothing(sides, monkeypatch):
     texts = [" ".join(f"w{(i * k) % 97}x" for i in range(60)) for k in range(1, 30)] + ODD
     want = crosstok.Aligner(A, B).texts(texts)
